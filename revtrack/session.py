@@ -17,6 +17,9 @@ _RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+# For the session builder: recording the call site of every column operation makes large plans slow to build.
+BUILDER_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings every plan here relies on. Sizing stays with the cluster."""
