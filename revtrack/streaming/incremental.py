@@ -34,6 +34,8 @@ def ingest_stream(
     first_batch: int = 0,
     max_files: int | None = None,
     clock: Callable[[DataFrame], datetime] = latest_fetch,
+    detail: DataFrame | None = None,
+    publications: DataFrame | None = None,
 ) -> StreamingQuery:
     """Read what has landed since the last call and merge it, then stop.
 
@@ -45,7 +47,7 @@ def ingest_stream(
         store = Store(session, store_root)
         batch = first_batch + batch_id
         if batch > store.last_batch():
-            ingest(store, pages, clock(pages), batch, scorer)
+            ingest(store, pages, clock(pages), batch, scorer, detail, publications)
 
     return (
         stream_pages(spark, landing, max_files)
