@@ -1 +1,221 @@
-QUERIES = {}
+"""Extraction queries over pages and over bodies made from the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from revtrack import fixed_values as fv
+from revtrack.functions import html, urls
+from revtrack.operators.pick import first_per_url
+from revtrack.sources import detail, lawsearch, registry
+from revtrack.sources.board import board_page, followed, frontier
+from revtrack.sources.feed import feed_page
+from revtrack.sources.publications import publications_page
+
+from .roles import Tables
+from .titles import _q
+
+_NONE = "array<string>"
+
+
+def _no_keywords():
+    return F.array().cast(_NONE)
+
+
+# ---- pages ------------------------------------------------------------------------------------
+
+_CLEAN = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<style>.*?</style>', '', 'g'), '(?s)<script>.*?</script>', '', 'g'), '(?s)<nav>.*?</nav>', '', 'g'), '(?s)<footer>.*?</footer>', '', 'g')"
+_UNESCAPED = "replace(replace(replace(replace({}, '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"
+_TEXT = "trim(regexp_replace(" + _UNESCAPED.format(f"regexp_replace(regexp_extract({_CLEAN}, '(?s)<article>.*?</article>'), '<[^>]*>', ' ', 'g')") + ", '\\s+', ' ', 'g'))"
+
+
+def _links(t: Tables) -> DataFrame:
+    """The navigation of every page read as a listing."""
+    pages = t.raw("pages")
+    page = board_page(
+        F.col("html"), F.col("url"), _no_keywords(), F.lit(html.open_tag("tag", "nav")), F.lit(html.ENTRY)
+    )
+    host = F.regexp_extract("url", r"^(https?://[^/?#]*)", 1)
+    return pages.select("page_id", host.alias("host"), F.posexplode(page["items"]).alias("pos", "item")).select("page_id", "host", "pos", "item.title", "item.url")
+
+
+_LINKS = """links AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS host, CAST(u.i AS INTEGER) AS pos, regexp_extract(u.l, '>([^<]*)</a>', 1) AS title,
+  regexp_extract(url, '^(https?://[^/?#]*)', 1) || regexp_extract(u.l, 'href="([^"]*)"', 1) AS url FROM pages, LATERAL (SELECT unnest(x) AS l, generate_subscripts(x, 1) - 1 AS i
+  FROM (SELECT regexp_extract_all(regexp_extract(html, '(?s)<nav>.*?</nav>'), '<li>.*?</li>') AS x)) u)"""
+
+
+def _listing(t: Tables) -> DataFrame:
+    """Pages of a host as one listing that matches links with a keyword."""
+    page = board_page(F.col("html"), F.col("url"), F.array(F.lit("the"), F.lit("la")), F.lit(html.open_tag("tag", "nav")), F.lit(html.ENTRY))
+    return t.raw("pages").select(
+        F.regexp_extract("url", r"^(https?://[^/?#]*)", 1).alias("config_id"), F.col("page_id").alias("page_num"),
+        F.lit(200).alias("http_status"), F.size(page["items"]).alias("matched"),
+    )
+
+
+_LISTING = f"""{_LINKS}, listing AS (SELECT regexp_extract(p.url, '^(https?://[^/?#]*)', 1) AS config_id, p.page_id AS page_num, 200 AS http_status,
+  CAST(count_if(contains(lower(title), 'the') OR contains(lower(title), 'la')) AS INTEGER) AS matched FROM pages p LEFT JOIN links USING (page_id) GROUP BY ALL),
+stops AS (SELECT config_id, min(page_num) AS stop_page FROM listing WHERE matched = 0 GROUP BY 1)"""
+
+# ---- bodies made from tables ------------------------------------------------------------------
+
+
+def _orders_body(t: Tables, expr: str) -> DataFrame:
+    return t.raw("orders").selectExpr("*", f"{expr} AS body")
+
+
+_FEED = """concat('<rss version="2.0"><channel><title>c</title><item><title> order ', CAST(o_orderkey AS STRING), ' &amp; ', o_orderpriority, ' </title><link>http://h/', CAST(o_custkey AS STRING),
+  '</link><pubDate>', CAST(CAST(o_orderdate AS DATE) AS STRING), '</pubDate><category>', o_orderstatus, '</category><enclosure url="http://h/', CAST(o_orderkey AS STRING), '.pdf"/></item>
+  <item><title>no link</title></item>', CASE WHEN o_orderstatus = 'P' THEN '</chan' ELSE '</channel></rss>' END)"""
+_DETAIL = """concat('<p>head</p>', CASE o_orderstatus WHEN 'P' THEN '오류가 발생' WHEN 'O' THEN '<div class="titleBox"><h3> ' ELSE '<h3>early</h3><div class="titleBox"><h3>' END, o_orderpriority,
+  ' 가이드</h3><span class="date">', CAST(CAST(o_orderdate AS DATE) AS STRING), '</span></div><a fileNo="', CAST(o_custkey AS STRING), '" filePage="board">a.PDF</a><a fileNo="7" filePage="board">b.png</a>')"""
+_PUBS = """concat('<img class="border-gray01" src="x">head', '<img class="border-gray01" alt="', o_orderpriority, '<br/>guide"> <a href="/common/download.do?seq=A', CAST(o_orderkey AS STRING),
+  '">x</a> 등록일자: ', CAST(CAST(o_orderdate AS DATE) AS STRING), '<img class="border-gray01" alt="copy"> <a href="/common/download.do?seq=A', CAST(o_orderkey AS STRING), '">x</a><img class="border-gray01" alt="second ',
+  o_orderstatus, '"><a href="/common/download.do?seq=B', CAST(o_custkey AS STRING), '">x</a><img class="border-gray01" alt="no link">')"""
+_LAW_RULE = """concat('{{"행정규칙명":"', {title}, '","행정규칙일련번호":"', {serial}, '","행정규칙종류":"', CASE WHEN p_type = 'LARGE' THEN '규칙' ELSE '예규' END, '","발령일자":"2001', lpad(CAST(p_size % 12 + 1 AS STRING), 2, '0'), '09"}}')"""
+_LAW_TITLE = "concat(CASE p_type WHEN 'SMALL' THEN '암호 ' WHEN 'PROMO' THEN '데이터 ' WHEN 'ECONOMY' THEN '개인정보보호위원회 ' ELSE '정보보호 ' END, p_name)"
+_LAW_SERIAL = "CASE WHEN p_type = 'PROMO' THEN '' ELSE concat(p_brand, p_name) END"
+_LAW = (
+    "CASE WHEN p_type = 'LARGE' THEN concat('{\"AdmRulSearch\":{\"admrul\":', " + _LAW_RULE.format(title=_LAW_TITLE, serial=_LAW_SERIAL).replace("{{", "{").replace("}}", "}") + ", '}}') "
+    "ELSE concat('{\"AdmRulSearch\":{\"admrul\":[', " + _LAW_RULE.format(title=_LAW_TITLE, serial=_LAW_SERIAL).replace("{{", "{").replace("}}", "}") + ", ',', "
+    + _LAW_RULE.format(title="concat('보안 ', p_brand)", serial="concat('S', CAST(p_partkey AS STRING))").replace("{{", "{").replace("}}", "}") + ", ']}}') END"
+)
+# Two agencies of the registry; the whole table is their searches' answers, page by page.
+_LAW_AGENCY = "CASE WHEN p_size <= 25 THEN 'PIPC' ELSE 'FSC' END"
+
+
+def _feed(t: Tables) -> DataFrame:
+    page = feed_page(F.col("body"), _no_keywords())
+    return _orders_body(t, _FEED).select("o_orderkey", page.alias("p"))
+
+
+def _detail_profile() -> F:
+    fields = {
+        "error_marker": "오류가 발생", "title_section_marker": "titleBox", "title_regex": r"<h3>([^<]+)</h3>", "date_regex": r'class="date"[^>]*>(\d{4}-\d{2}-\d{2})',
+        "file_regex": registry.DETAIL_PROFILES[0]["file_regex"], "file_download_template": "http://d/{file_id}", "url_template": "http://v/{id}",
+    }
+    return F.struct(*[F.lit(v).alias(k) for k, v in fields.items()], F.lit(True).alias("file_has_name"))
+
+
+def _publication_profile() -> F:
+    fields = {k: v for k, v in registry.PAGE_PROFILES[0].items() if k != "config_label"}
+    return F.struct(*[F.lit(v).alias(k) for k, v in fields.items()])
+
+
+def _law_pages(t: Tables) -> DataFrame:
+    return t.raw("part").selectExpr(f"{_LAW_AGENCY} AS agency_code", "CAST(p_partkey AS INTEGER) AS page_num", "200 AS http_status", f"{_LAW} AS body")
+
+
+def _law_rows(t: Tables) -> DataFrame:
+    names = F.when(F.col("agency_code") == "PIPC", F.array(F.lit("개인정보보호위원회"))).otherwise(F.array(F.lit("금융위원회")))
+    return (
+        _law_pages(t).select("agency_code", "page_num", F.posexplode(lawsearch.relevant_rules(F.col("body"), names, F.element_at(names, 1))).alias("pos", "r"))
+        .select("agency_code", "page_num", "pos", "r.*")
+    )
+
+
+_LAW_SQL = f"""raw AS (SELECT {_LAW_AGENCY} AS agency_code, CAST(p_partkey AS INTEGER) AS page_num, *, {_LAW_TITLE} AS t1, {_LAW_SERIAL} AS s1 FROM part),
+found AS (SELECT agency_code, page_num, 0 AS p, t1 AS title, s1 AS serial, p_type, p_size FROM raw UNION ALL SELECT agency_code, page_num, 1, '보안 ' || p_brand, 'S' || p_partkey, p_type, p_size FROM raw WHERE p_type <> 'LARGE'),
+kept AS (SELECT agency_code, page_num, CAST(row_number() OVER (PARTITION BY agency_code, page_num ORDER BY p) - 1 AS INTEGER) AS pos, title, CASE WHEN p_type = 'LARGE' THEN '고시' ELSE '예규' END AS rule_type,
+  CASE agency_code WHEN 'PIPC' THEN '개인정보보호위원회' ELSE '금융위원회' END AS agency_name, make_date(2001, p_size % 12 + 1, 9) AS promulgation_date, CAST(NULL AS DATE) AS enforcement_date,
+  serial AS law_api_id, 'https://www.law.go.kr/행정규칙/' || title AS source_url FROM found
+  WHERE regexp_matches(replace(title, CASE agency_code WHEN 'PIPC' THEN '개인정보보호위원회' ELSE '금융위원회' END, ''), '{'|'.join(fv.LAW_RELEVANCE_KEYWORDS)}'))"""
+
+
+def _scan_profiles(t: Tables) -> DataFrame:
+    """A scan profile per user of the events; the id parameter is read from their properties."""
+    users = t.raw("events").select("user_id").distinct()
+    return users.select(
+        F.col("user_id").alias("agency_id"), F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("agency_code"),
+        F.concat(F.lit("list"), F.col("user_id").cast("string")).alias("list_url"), F.lit("k").alias("id_param_name"),
+        F.concat(F.lit("http://h/d?menuNo="), (F.col("user_id") % 3).cast("string"), F.lit("&k={id}")).alias("url_template"),
+        F.lit(90).cast("bigint").alias("baseline_id"), F.lit(20).cast("bigint").alias("scan_window"),
+    )
+
+
+def _last_ids(t: Tables) -> DataFrame:
+    stored = t.raw("events").select(
+        F.col("user_id").alias("agency_id"),
+        F.concat(F.lit("http://h/d?menuNo="), (F.col("event_id") % 3).cast("string"), F.lit("&k="), F.get_json_object("props", "$.k")).alias("source_url"),
+    )
+    return detail.last_ids(_scan_profiles(t), stored)
+
+
+_LAST_IDS = """last AS (SELECT user_id AS agency_id, greatest(90, coalesce(max(CAST(json_extract(props, '$.k') AS BIGINT)) FILTER (event_id % 3 = user_id % 3), 90)) AS last_id FROM events GROUP BY 1)"""
+
+
+QUERIES = {
+    "f19_page_text": (
+        _q(lambda t: t.raw("pages").select("page_id", F.md5(html.page_text(F.col("html"))).alias("text"), html.snippet(F.col("html")).alias("snippet"))),
+        f"SELECT page_id, md5({_TEXT}) AS text, left({_TEXT}, 500) AS snippet FROM pages",
+    ),
+    "s5_listing_links_f30_f35": (
+        _q(_links),
+        f"WITH {_LINKS} SELECT page_id, host, pos, title, url FROM links",
+    ),
+    "d1_first_per_url": (
+        _q(lambda t: first_per_url(_links(t), ["host"], ["page_id", "pos"])),
+        f"WITH {_LINKS} SELECT page_id, host, pos, title, url FROM links QUALIFY row_number() OVER (PARTITION BY host, url ORDER BY page_id, pos) = 1",
+    ),
+    "w5_frontier": (
+        _q(lambda t: frontier(_listing(t))),
+        f"WITH {_LISTING} SELECT * FROM stops",
+    ),
+    "w5_followed_pages": (
+        _q(lambda t: followed(_listing(t))),
+        f"WITH {_LISTING} SELECT l.* FROM listing l LEFT JOIN stops USING (config_id) WHERE stop_page IS NULL OR page_num < stop_page",
+    ),
+    "f31_split_blocks": (
+        _q(lambda t: t.raw("pages").select("page_id", F.posexplode(html.split_blocks(F.col("html"), F.lit("(?=<p>)"))).alias("pos", "block")).select("page_id", "pos", F.md5("block").alias("block"))),
+        "SELECT page_id, CAST(u.i AS INTEGER) AS pos, md5('<p>' || u.b) AS block FROM pages, LATERAL (SELECT unnest(x) AS b, generate_subscripts(x, 1) - 1 AS i FROM (SELECT string_split(html, '<p>')[2:] AS x)) u",
+    ),
+    "f11_resolve_url": (
+        _q(lambda t: t.raw("pages").select("page_id", urls.resolve_url(F.col("url"), F.lit("../x/./y?z=1")).alias("relative"), urls.resolve_url(F.col("url"), F.lit("?q")).alias("query"), urls.resolve_url(F.col("url"), F.lit("//o/p")).alias("scheme"))),
+        """SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) || regexp_replace(regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '[^/]*$', ''), '[^/]*/$', '') || 'x/y?z=1' AS relative,
+ regexp_replace(url, '[?#].*$', '') || '?q' AS query, regexp_extract(url, '^(https?)', 1) || '://o/p' AS scheme FROM pages""",
+    ),
+    "f10_page_url": (
+        _q(lambda t: t.raw("pages").select("page_id", urls.page_url(F.col("url"), F.lit("p"), F.col("page_id")).alias("url"))),
+        "SELECT page_id, url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'p=' || page_id AS url FROM pages",
+    ),
+    "s3_feed_items": (
+        _q(lambda t: _feed(t).select("o_orderkey", F.explode("p.items").alias("i")).select("o_orderkey", "i.title", "i.url", "i.published_date", "i.category", F.element_at("i.attachment_urls", 1).alias("pdf"))),
+        "SELECT o_orderkey, 'order ' || o_orderkey || ' & ' || o_orderpriority AS title, 'http://h/' || o_custkey AS url, CAST(o_orderdate AS DATE) AS published_date, o_orderstatus AS category, 'http://h/' || o_orderkey || '.pdf' AS pdf FROM orders WHERE o_orderstatus <> 'P'",
+    ),
+    "s4_feed_errors": (
+        _q(lambda t: _feed(t).where("p.error is not null").select("o_orderkey", "p.error")),
+        "SELECT o_orderkey, 'feed could not be parsed' AS error FROM orders WHERE o_orderstatus = 'P'",
+    ),
+    "s6_detail_pages_f17_f36": (
+        _q(lambda t: _orders_body(t, _DETAIL).select("o_orderkey", detail.detail_page(F.col("body"), F.col("o_orderkey"), F.array(F.lit("HIGH"), F.lit("LOW")), _detail_profile()).alias("p"))
+           .select("o_orderkey", F.col("p.seen"), F.explode_outer("p.items").alias("i")).select("o_orderkey", "seen", "i.title", "i.url", "i.published_date", F.array_join("i.attachment_urls", " ").alias("files"))),
+        """SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 0 ELSE 1 END AS seen, CASE WHEN ok THEN o_orderpriority || ' 가이드' END AS title, CASE WHEN ok THEN 'http://v/' || o_orderkey END AS url,
+ CASE WHEN ok THEN CAST(o_orderdate AS DATE) END AS published_date, CASE WHEN ok THEN 'http://d/' || o_custkey END AS files FROM (SELECT *, o_orderstatus <> 'P' AND regexp_matches(o_orderpriority, 'HIGH|LOW') AS ok FROM orders)""",
+    ),
+    "s7_publications_d2": (
+        _q(lambda t: _orders_body(t, _PUBS).select("o_orderkey", F.explode(publications_page(F.col("body"), F.lit("http://p"), _no_keywords(), _publication_profile())["items"]).alias("i")).select("o_orderkey", "i.title", "i.url", "i.published_date", "i.serial")),
+        """SELECT o_orderkey, o_orderpriority || ' guide' AS title, 'https://www.nis.go.kr:4016/common/download.do?seq=A' || o_orderkey AS url, CAST(o_orderdate AS DATE) AS published_date, 'A' || o_orderkey AS serial FROM orders
+ UNION ALL SELECT o_orderkey, 'second ' || o_orderstatus, 'https://www.nis.go.kr:4016/common/download.do?seq=B' || o_custkey, NULL, 'B' || o_custkey FROM orders""",
+    ),
+    "s8_law_rules_p12": (
+        _q(_law_rows),
+        f"WITH {_LAW_SQL} SELECT * FROM kept",
+    ),
+    "d3_distinct_rules": (
+        _q(lambda t: lawsearch.distinct_rules(_law_rows(t), ["agency_code"], "law_api_id")),
+        f"WITH {_LAW_SQL} SELECT * FROM kept QUALIFY law_api_id = '' OR row_number() OVER (PARTITION BY agency_code, law_api_id ORDER BY page_num, pos) = 1",
+    ),
+    "o7_first_rules": (
+        _q(lambda t: lawsearch.top_per_key(lawsearch.distinct_rules(_law_rows(t), ["agency_code"], "law_api_id"), ["agency_code"], ["page_num", "pos"], 30)),
+        f"WITH {_LAW_SQL}, once AS (SELECT * FROM kept QUALIFY law_api_id = '' OR row_number() OVER (PARTITION BY agency_code, law_api_id ORDER BY page_num, pos) = 1) SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY agency_code ORDER BY page_num, pos) <= 30",
+    ),
+    "a13_last_ids": (
+        _q(lambda t: _last_ids(t).select("agency_id", "last_id")),
+        f"WITH {_LAST_IDS} SELECT * FROM last",
+    ),
+    "t2_worklist": (
+        _q(lambda t: detail.worklist(_last_ids(t)).select("agency_code", "seq_id", "url")),
+        f"WITH {_LAST_IDS} SELECT 'U' || agency_id AS agency_code, s.i AS seq_id, 'http://h/d?menuNo=' || (agency_id % 3) || '&k=' || s.i AS url FROM last, LATERAL (SELECT unnest(generate_series(last_id + 1, last_id + 20)) AS i) s",
+    ),
+}
