@@ -9,6 +9,11 @@ from .text import let, strip
 
 _DELIMITED = r"(\d{4})[.\-/](\d{1,2})[.\-/](\d{1,2})"
 
+_MAIL_DATE = (
+    r"^(?:[A-Za-z]{3,9},?\s+)?(\d{1,2})\s+([A-Za-z]{3})[A-Za-z]*\s+(\d{4})(?:\s+(\d{1,2}:\d{2})(:\d{2})?)?(?:\s*([A-Za-z]{1,5}|[+-]\d{2}:?\d{2}))?$"
+)
+_ISO_DATE = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}.*)?$"
+
 # --- fixed values: zone names of internet message dates ----------------------------------------
 _ZONE_OFFSETS = {
     "UTC": "+0000", "GMT": "+0000", "UT": "+0000", "Z": "+0000",
@@ -58,14 +63,18 @@ def _feed_timestamp(text: Column) -> Column:
 
 
 def _stamped_day(text: Column) -> Column:
-    mail = F.regexp_replace(text, r"^[A-Za-z]{3,9},?\s+", "")
-    zone = F.upper(F.regexp_extract(mail, r"\s([A-Za-z]{1,3})$", 1))
+    """Day in UTC of a mail date or an ISO timestamp; only texts of the right shape reach a parser."""
+    return F.to_date(
+        F.when(text.rlike(_MAIL_DATE), let(text, _mail_timestamp)).when(text.rlike(_ISO_DATE), F.try_to_timestamp(text))
+    )
+
+
+def _mail_timestamp(text: Column) -> Column:
+    def part(i: int, default: str) -> Column:
+        return F.coalesce(F.nullif(F.regexp_extract(text, _MAIL_DATE, i), F.lit("")), F.lit(default))
+
     offsets = F.create_map(*[F.lit(x) for pair in _ZONE_OFFSETS.items() for x in pair])
-    mail = F.when(
-        zone != "", F.concat(F.regexp_replace(mail, r"[A-Za-z]{1,3}$", ""), F.coalesce(F.try_element_at(offsets, zone), F.lit("+0000")))
-    ).otherwise(mail)
-    mail = F.regexp_replace(mail, r"\s+", " ")
-    iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}([T ].*)?$"), F.try_to_timestamp(text))
-    formats = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z", "d MMM yyyy HH:mm:ss", "d MMM yyyy")
-    stamp = let(mail, lambda m: F.coalesce(*[F.try_to_timestamp(m, F.lit(f)) for f in formats]))
-    return F.to_date(F.coalesce(stamp, iso))
+    zone = F.regexp_replace(part(6, "+0000"), ":", "")
+    offset = F.when(zone.rlike(r"^[+-]"), zone).otherwise(F.coalesce(F.try_element_at(offsets, F.upper(zone)), F.lit("+0000")))
+    stamp = F.concat(part(1, ""), F.lit(" "), F.initcap(part(2, "")), F.lit(" "), part(3, ""), F.lit(" "), F.lpad(part(4, "00:00"), 5, "0"), part(5, ":00"), F.lit(" "), offset)
+    return F.try_to_timestamp(stamp, F.lit("d MMM yyyy HH:mm:ss Z"))

@@ -33,7 +33,7 @@ _STARTS_WITH_DATE = r"^\d{4}[.\-/]\d{1,2}[.\-/]\d{1,2}"
 
 def unescape(text: Column) -> Column:
     """Named and numeric character references to characters."""
-    return let(text, _unescape)
+    return let(text, lambda x: F.when(F.contains(x, F.lit("&")), _unescape(x)).otherwise(x))
 
 
 def _unescape(text: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..schemas import RAW_PAGES
+from ..session import spread
 from .board import board_page
 from .detail import detail_page
 from .feed import feed_page
@@ -109,7 +110,7 @@ def extract_pages(
         .when(c("route") == "rss", feed_page(body, c("keywords")))
     )
     return (
-        pages.join(known, "config_id", "left")
+        spread(pages).join(known, "config_id", "left")
         .withColumn("found", found.cast(PAGE_TYPE))
         .select(
             "config_id", "agency_id", "agency_code", "agency_name", "label", "item_type", "route", "page_num", "max_pages",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from revtrack import fixed_values as fv
 from revtrack.functions import html, urls
 from revtrack.operators.pick import first_per_url
+from revtrack.session import spread
 from revtrack.sources import detail, lawsearch, registry
 from revtrack.sources.board import board_page, followed, frontier
 from revtrack.sources.feed import feed_page
@@ -19,6 +20,10 @@ from .titles import _q
 _NONE = "array<string>"
 
 
+def _pages(t: Tables) -> DataFrame:
+    return spread(t.raw("pages"))
+
+
 def _no_keywords():
     return F.array().cast(_NONE)
 
@@ -32,7 +37,7 @@ _TEXT = "trim(regexp_replace(" + _UNESCAPED.format(f"regexp_replace(regexp_extra
 
 def _links(t: Tables) -> DataFrame:
     """The navigation of every page read as a listing."""
-    pages = t.raw("pages")
+    pages = _pages(t)
     page = board_page(
         F.col("html"), F.col("url"), _no_keywords(), F.lit(html.open_tag("tag", "nav")), F.lit(html.ENTRY)
     )
@@ -48,7 +53,7 @@ _LINKS = """links AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)',
 def _listing(t: Tables) -> DataFrame:
     """Pages of a host as one listing that matches links with a keyword."""
     page = board_page(F.col("html"), F.col("url"), F.array(F.lit("the"), F.lit("la")), F.lit(html.open_tag("tag", "nav")), F.lit(html.ENTRY))
-    return t.raw("pages").select(
+    return _pages(t).select(
         F.regexp_extract("url", r"^(https?://[^/?#]*)", 1).alias("config_id"), F.col("page_id").alias("page_num"),
         F.lit(200).alias("http_status"), F.size(page["items"]).alias("matched"),
     )
@@ -62,7 +67,7 @@ stops AS (SELECT config_id, min(page_num) AS stop_page FROM listing WHERE matche
 
 
 def _orders_body(t: Tables, expr: str) -> DataFrame:
-    return t.raw("orders").selectExpr("*", f"{expr} AS body")
+    return spread(t.raw("orders")).selectExpr("*", f"{expr} AS body")
 
 
 _FEED = """concat('<rss version="2.0"><channel><title>c</title><item><title> order ', CAST(o_orderkey AS STRING), ' &amp; ', o_orderpriority, ' </title><link>http://h/', CAST(o_custkey AS STRING),
@@ -104,7 +109,7 @@ def _publication_profile() -> F:
 
 
 def _law_pages(t: Tables) -> DataFrame:
-    return t.raw("part").selectExpr(f"{_LAW_AGENCY} AS agency_code", "CAST(p_partkey AS INTEGER) AS page_num", "200 AS http_status", f"{_LAW} AS body")
+    return spread(t.raw("part")).selectExpr(f"{_LAW_AGENCY} AS agency_code", "CAST(p_partkey AS INTEGER) AS page_num", "200 AS http_status", f"{_LAW} AS body")
 
 
 def _law_rows(t: Tables) -> DataFrame:
@@ -147,7 +152,7 @@ _LAST_IDS = """last AS (SELECT user_id AS agency_id, greatest(90, coalesce(max(C
 
 QUERIES = {
     "f19_page_text": (
-        _q(lambda t: t.raw("pages").select("page_id", F.md5(html.page_text(F.col("html"))).alias("text"), html.snippet(F.col("html")).alias("snippet"))),
+        _q(lambda t: _pages(t).select("page_id", F.md5(html.page_text(F.col("html"))).alias("text"), html.snippet(F.col("html")).alias("snippet"))),
         f"SELECT page_id, md5({_TEXT}) AS text, left({_TEXT}, 500) AS snippet FROM pages",
     ),
     "s5_listing_links_f30_f35": (
@@ -167,16 +172,16 @@ QUERIES = {
         f"WITH {_LISTING} SELECT l.* FROM listing l LEFT JOIN stops USING (config_id) WHERE stop_page IS NULL OR page_num < stop_page",
     ),
     "f31_split_blocks": (
-        _q(lambda t: t.raw("pages").select("page_id", F.posexplode(html.split_blocks(F.col("html"), F.lit("(?=<p>)"))).alias("pos", "block")).select("page_id", "pos", F.md5("block").alias("block"))),
+        _q(lambda t: _pages(t).select("page_id", F.posexplode(html.split_blocks(F.col("html"), F.lit("(?=<p>)"))).alias("pos", "block")).select("page_id", "pos", F.md5("block").alias("block"))),
         "SELECT page_id, CAST(u.i AS INTEGER) AS pos, md5('<p>' || u.b) AS block FROM pages, LATERAL (SELECT unnest(x) AS b, generate_subscripts(x, 1) - 1 AS i FROM (SELECT string_split(html, '<p>')[2:] AS x)) u",
     ),
     "f11_resolve_url": (
-        _q(lambda t: t.raw("pages").select("page_id", urls.resolve_url(F.col("url"), F.lit("../x/./y?z=1")).alias("relative"), urls.resolve_url(F.col("url"), F.lit("?q")).alias("query"), urls.resolve_url(F.col("url"), F.lit("//o/p")).alias("scheme"))),
+        _q(lambda t: _pages(t).select("page_id", urls.resolve_url(F.col("url"), F.lit("../x/./y?z=1")).alias("relative"), urls.resolve_url(F.col("url"), F.lit("?q")).alias("query"), urls.resolve_url(F.col("url"), F.lit("//o/p")).alias("scheme"))),
         """SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) || regexp_replace(regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '[^/]*$', ''), '[^/]*/$', '') || 'x/y?z=1' AS relative,
  regexp_replace(url, '[?#].*$', '') || '?q' AS query, regexp_extract(url, '^(https?)', 1) || '://o/p' AS scheme FROM pages""",
     ),
     "f10_page_url": (
-        _q(lambda t: t.raw("pages").select("page_id", urls.page_url(F.col("url"), F.lit("p"), F.col("page_id")).alias("url"))),
+        _q(lambda t: _pages(t).select("page_id", urls.page_url(F.col("url"), F.lit("p"), F.col("page_id")).alias("url"))),
         "SELECT page_id, url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'p=' || page_id AS url FROM pages",
     ),
     "s3_feed_items": (

@@ -10,6 +10,8 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revtrack.session import spread
+
 DAY = date(2001, 8, 1)
 NOW = datetime(2024, 2, 13)
 BASE = "https://posts.example"
@@ -27,6 +29,8 @@ class Tables:
     def view(self, name: str, sql: str) -> DataFrame:
         """A role written in SQL both engines read alike, over the raw tables."""
         tables = {t: self.raw(t) for t in ROLE_TABLES[name]}
+        if name == "posts":
+            tables["orders"] = spread(tables["orders"])
         return self.spark.sql(sql, **tables)
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -91,7 +95,7 @@ def with_roles(*names: str, body: str) -> str:
 def lines(t: Tables) -> DataFrame:
     """Every line of every document as a titled post."""
     return (
-        t.raw("documents")
+        spread(t.raw("documents"))
         .select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("line_no", "title"))
         .withColumn("agency_id", F.regexp_extract("source", r"(\d+)", 1).cast("bigint"))
     )

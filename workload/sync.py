@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from revtrack.operators import lookups, scoring
 from revtrack.operators.merge import Merge, decide
-from revtrack.session import shared_dir
+from revtrack.session import shared_dir, stage
 from revtrack.schemas import RAW_PAGES
 from revtrack.sources import registry
 from revtrack.sources.store import Store
@@ -38,10 +38,10 @@ _STORED = """stored AS (SELECT agency_id, topic AS title, min(seq) AS id, min(ur
 
 
 def _merge(t: Tables) -> Merge:
-    stored = _stored(t)
+    stored = stage(_stored(t))
     versions = stored.select(F.col("id").alias("guideline_id"), "published_date")
     items = scoring.accept_items(t.posts.withColumn("attachment_urls", F.array(F.concat("url", F.lit(".hwp")), F.concat("url", F.lit(".pdf")))))
-    return decide(items, stored, versions, AS_OF)
+    return decide(stage(items), stored, versions, AS_OF)
 
 
 # With equal urls only on equal (title, day), the accepted rows are the first of each (title, day)
