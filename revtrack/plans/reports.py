@@ -219,8 +219,11 @@ def failure_samples(latest: DataFrame, n: int = 2, chars: int = 40) -> DataFrame
 
 
 def crawl_health(agencies: DataFrame, configs: DataFrame, runs: DataFrame, as_of: datetime) -> DataFrame:
-    """Agencies whose collection needs attention, one row each (Q8)."""
-    latest = active_latest_runs(configs, runs)
+    """Agencies whose collection needs attention, one row each (Q8).
+
+    The latest runs - one row per config - are staged, so the run log is read once for both uses.
+    """
+    latest = stage(active_latest_runs(configs, runs))
     stale = F.col("max_run_at") < F.lit(as_of) - F.expr(f"INTERVAL {fv.STALE_DAYS} DAYS")
     issue = (
         F.when(F.col("max_run_at").isNull(), "never_crawled")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from revtrack import fixed_values as fv
 from revtrack.functions import html, urls
 from revtrack.operators.pick import first_per_url
-from revtrack.session import spread
+from revtrack.session import spread, stage
 from revtrack.sources import detail, lawsearch, registry
 from revtrack.sources.board import board_page, followed, frontier
 from revtrack.sources.feed import feed_page
@@ -90,9 +90,11 @@ _LAW = (
 _LAW_AGENCY = "CASE WHEN p_size <= 25 THEN 'PIPC' ELSE 'FSC' END"
 
 
-def _feed(t: Tables) -> DataFrame:
+def _feed(t: Tables, field: str) -> DataFrame:
+    """Items, or the error, of every feed; exploding the parse itself keeps Spark from evaluating it again in a filter."""
     page = feed_page(F.col("body"), _no_keywords())
-    return _orders_body(t, _FEED).select("o_orderkey", page.alias("p"))
+    rows = page["items"] if field == "items" else F.array_compact(F.array(page["error"]))
+    return _orders_body(t, _FEED).select("o_orderkey", F.explode(rows).alias("i"))
 
 
 def _detail_profile() -> F:
@@ -168,7 +170,7 @@ QUERIES = {
         f"WITH {_LISTING} SELECT * FROM stops",
     ),
     "w5_followed_pages": (
-        _q(lambda t: followed(_listing(t))),
+        _q(lambda t: followed(stage(_listing(t)))),
         f"WITH {_LISTING} SELECT l.* FROM listing l LEFT JOIN stops USING (config_id) WHERE stop_page IS NULL OR page_num < stop_page",
     ),
     "f31_split_blocks": (
@@ -185,11 +187,11 @@ QUERIES = {
         "SELECT page_id, url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'p=' || page_id AS url FROM pages",
     ),
     "s3_feed_items": (
-        _q(lambda t: _feed(t).select("o_orderkey", F.explode("p.items").alias("i")).select("o_orderkey", "i.title", "i.url", "i.published_date", "i.category", F.element_at("i.attachment_urls", 1).alias("pdf"))),
+        _q(lambda t: _feed(t, "items").select("o_orderkey", "i.title", "i.url", "i.published_date", "i.category", F.element_at("i.attachment_urls", 1).alias("pdf"))),
         "SELECT o_orderkey, 'order ' || o_orderkey || ' & ' || o_orderpriority AS title, 'http://h/' || o_custkey AS url, CAST(o_orderdate AS DATE) AS published_date, o_orderstatus AS category, 'http://h/' || o_orderkey || '.pdf' AS pdf FROM orders WHERE o_orderstatus <> 'P'",
     ),
     "s4_feed_errors": (
-        _q(lambda t: _feed(t).where("p.error is not null").select("o_orderkey", "p.error")),
+        _q(lambda t: _feed(t, "error").withColumnRenamed("i", "error")),
         "SELECT o_orderkey, 'feed could not be parsed' AS error FROM orders WHERE o_orderstatus = 'P'",
     ),
     "s6_detail_pages_f17_f36": (
