@@ -22,6 +22,9 @@ _ENTITIES = (
     ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"),
     ("&laquo;", "«"), ("&raquo;", "»"), ("&bull;", "•"), ("&times;", "×"), ("&amp;", "&"),
 )
+_ENTITY_TABLE = "array(" + ", ".join(
+    "struct('{}' AS name, '{}' AS char)".format(name, char.replace("'", "\\'")) for name, char in _ENTITIES
+) + ")"
 
 ROW = r"(?is)<tr\b[^>]*>.*?(?=<tr\b|</tr\b|</tbody|</table|$)"
 ENTRY = r"(?is)<li\b[^>]*>.*?(?=<li\b|</li\b|$)"
@@ -48,9 +51,7 @@ def _unescape(text: Column) -> Column:
     out = F.when(
         F.contains(text, F.lit("&#")), F.array_join(F.transform(F.split(text, "&#"), numbered), "")
     ).otherwise(text)
-    for name, char in _ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+    return F.aggregate(F.expr(_ENTITY_TABLE), out, lambda acc, e: F.replace(acc, e["name"], e["char"]))
 
 
 def _without_comments(html: Column) -> Column:

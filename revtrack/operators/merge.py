@@ -191,6 +191,7 @@ def with_ids(rows: DataFrame, last_id: int, name: str = "id") -> DataFrame:
     """Number `rows` densely from `last_id + 1` without bringing them to one task.
 
     Rows are staged, so partitions and their order stay put; only one count per partition is summed up.
+    Write the result before using it twice.
     """
     placed = stage(rows).withColumn("_at", F.monotonically_increasing_id())
     placed = placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_pos", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
@@ -202,4 +203,4 @@ def with_ids(rows: DataFrame, last_id: int, name: str = "id") -> DataFrame:
     )
     # One row per partition: bounded by the task count, whatever the data size.
     numbered = placed.join(F.broadcast(starts), "_part")
-    return stage(numbered.withColumn(name, F.lit(last_id) + 1 + F.col("_start") + F.col("_pos")).drop("_at", "_part", "_pos", "_start"))
+    return numbered.withColumn(name, F.lit(last_id) + 1 + F.col("_start") + F.col("_pos")).drop("_at", "_part", "_pos", "_start")

@@ -27,14 +27,14 @@ def seed_agencies(store: Store, publishers: DataFrame, at: datetime, batch: int)
     """
     marked = stage(mark_existing(publishers, store.read("agencies"), ["code"]))
     new = marked.where(~F.col("exists"))
-    agencies = with_ids(_stamped(new, at), store.last_id("agencies"))
+    agencies = store.write("agencies", with_ids(_stamped(new.drop("targets", "exists"), at), store.last_id("agencies")), batch)
     configs = (
-        agencies.select(F.col("id").alias("agency_id"), F.explode("targets").alias("t"))
+        new.join(agencies.select("code", F.col("id").alias("agency_id")), "code")
+        .select("agency_id", F.explode("targets").alias("t"))
         .select("agency_id", "t.*")
         .withColumn("item_type", F.lit("guideline"))
         .withColumn("is_active", F.lit(True))
     )
-    store.write("agencies", agencies.drop("targets", "exists"), batch)
     store.write("crawl_configs", with_ids(_stamped(configs, at), store.last_id("crawl_configs")), batch)
     store.commit(batch, at)
     return load_tally(marked)
@@ -52,12 +52,11 @@ def seed_documents(store: Store, documents: DataFrame, at: datetime, batch: int,
     )
     new = marked.where(~F.col("exists")).select(documents.columns)
     rows = _stamped(new.withColumn("item_type", F.lit("guideline")), at).withColumn("norm_title", normalize_title(F.col("title")))
-    guidelines = with_ids(rows, store.last_id("guidelines"))
-    versions = guidelines.select(
-        F.col("id").alias("guideline_id"), "version_label", "published_date", F.lit(None).cast("string").alias("pdf_url"),
-        "change_summary", F.lit(at).alias("detected_at"),
+    guidelines = store.write("guidelines", with_ids(rows, store.last_id("guidelines")), batch)
+    owners = guidelines.select("agency_id", "title", "source_url", F.col("id").alias("guideline_id"))
+    versions = new.join(owners, ["agency_id", "title", "source_url"]).select(
+        "guideline_id", "version_label", "published_date", "change_summary", F.lit(at).alias("detected_at")
     )
-    store.write("guidelines", guidelines, batch)
     store.write("guideline_versions", with_ids(versions, store.last_id("guideline_versions")), batch)
     store.commit(batch, at)
     return load_tally(marked)

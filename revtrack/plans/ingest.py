@@ -63,7 +63,7 @@ def posts_of(pages: DataFrame) -> Batch:
     )
     law = F.col("route") == "law_api"
     items = once.where(~law).unionByName(top_per_key(once.where(law), ["config_id"], ["seq"], LAW_ITEM_LIMIT))
-    return Batch(pages, stage(items), errors)
+    return Batch(pages, items, errors)
 
 
 def run_rows(batch: Batch, tallies: DataFrame, as_of: datetime) -> DataFrame:
@@ -99,28 +99,24 @@ def scan_tally(pages: DataFrame) -> DataFrame:
     )
 
 
-def _write_merge(store: Store, merge: Merge, as_of: datetime, batch: int) -> None:
-    stored = store.read("guidelines").select("id", F.col("item_type").alias("stored_type"))
+def _write_merge(store: Store, merge: Merge, as_of: datetime, batch: int, last: int) -> None:
     stamp = F.lit(as_of)
-    guidelines = with_ids(
-        merge.new_titles.select(
-            "agency_id", "title", "category", "item_type", F.col("url").alias("source_url"), "pdf_url", "norm_title",
-            stamp.alias("created_at"), stamp.alias("updated_at"),
-        ),
-        store.last_id("guidelines"),
+    new = merge.new_titles.select(
+        "agency_id", "title", "category", "item_type", F.col("url").alias("source_url"), "pdf_url", "norm_title",
+        stamp.alias("created_at"), stamp.alias("updated_at"),
     )
-    new_ids = guidelines.select(*TITLE, F.col("id").alias("new_id"))
-    versions = merge.editions.join(new_ids, TITLE, "left").select(
+    written = store.write("guidelines", with_ids(new, store.last_id("guidelines", last)), batch)
+    versions = merge.editions.join(written.select(*TITLE, F.col("id").alias("new_id")), TITLE, "left").select(
         F.coalesce("guideline_id", "new_id").alias("guideline_id"), "version_label", F.col("pub_date").alias("published_date"), "pdf_url",
         stamp.alias("detected_at"),
     )
+    store.write("guideline_versions", with_ids(versions, store.last_id("guideline_versions", last)), batch)
+    stored = store.read("guidelines", last).select(F.col("id").alias("guideline_id"), F.col("item_type").alias("stored_type"))
     changed = (
-        stored.join(merge.types, stored["id"] == merge.types["guideline_id"])
+        stored.join(merge.types, "guideline_id")
         .where(F.col("stored_type") != F.col("item_type"))
         .select("guideline_id", "item_type", stamp.alias("updated_at"))
     )
-    store.write("guidelines", guidelines, batch)
-    store.write("guideline_versions", with_ids(versions, store.last_id("guideline_versions")), batch)
     store.write("guideline_types", changed, batch)
 
 
@@ -137,13 +133,15 @@ def ingest(
 
     A batch that is already committed is left alone, so a replay after a crash changes nothing.
     """
-    if batch <= store.last_batch():
+    last = store.last_batch()
+    if batch <= last:
         return None
-    found = posts_of(extract_pages(pages, store.read("crawl_configs"), store.read("agencies"), detail, publications))
+    configs, agencies = store.read("crawl_configs", last), store.read("agencies", last)
+    found = posts_of(extract_pages(pages, configs, agencies, detail, publications))
     judged = stage(accept_items(found.items, scorer))
-    merge = decide(judged, store.read("guidelines"), store.read("guideline_versions"), as_of)
+    merge = decide(judged, store.read("guidelines", last), store.read("guideline_versions", last), as_of)
     tallies = stage(merge.tallies)
-    _write_merge(store, merge, as_of, batch)
-    store.write("crawl_runs", with_ids(run_rows(found, tallies, as_of), store.last_id("crawl_runs")), batch)
+    _write_merge(store, merge, as_of, batch, last)
+    store.write("crawl_runs", with_ids(run_rows(found, tallies, as_of), store.last_id("crawl_runs", last)), batch)
     store.commit(batch, as_of)
     return tallies

@@ -66,9 +66,9 @@ class Store:
             return -1
         return commits.agg(F.max("batch")).first()[0]
 
-    def read(self, name: str) -> DataFrame:
-        """A table as of the last committed batch; the batch filter prunes directories."""
-        last = self.last_batch()
+    def read(self, name: str, last: int | None = None) -> DataFrame:
+        """A table as of batch `last`, by default the last committed one; the filter prunes directories."""
+        last = self.last_batch() if last is None else last
         rows = self._batches(name).where(F.col("batch") <= last).drop("batch")
         rows = add_missing_columns(rows, self._schema(name), ADDED_COLUMNS.get(name, {}))
         if name != "guidelines":
@@ -86,13 +86,16 @@ class Store:
             .select(*rows.columns)
         )
 
-    def last_id(self, name: str) -> int:
-        return self.read(name).agg(F.max("id")).first()[0] or 0
+    def last_id(self, name: str, last: int | None = None) -> int:
+        last = self.last_batch() if last is None else last
+        return self._batches(name).where(F.col("batch") <= last).agg(F.max("id")).first()[0] or 0
 
-    def write(self, name: str, rows: DataFrame, batch: int) -> None:
-        """Write a batch's rows of one table; invisible until `commit`."""
+    def write(self, name: str, rows: DataFrame, batch: int) -> DataFrame:
+        """Write a batch's rows of one table, invisible until `commit`; returns them as written."""
         rows = add_missing_columns(rows, self._schema(name), {})
-        rows.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch}")
+        path = f"{self.root}/{name}/batch={batch}"
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
 
     def commit(self, batch: int, at: datetime) -> None:
         row = self.spark.createDataFrame([(batch, at)], _COMMITS).coalesce(1)
