@@ -28,21 +28,16 @@ def gaps(mandates: DataFrame, bases: DataFrame, guidelines: DataFrame, versions:
         .select("mandate_id", F.col("id").alias("guideline_id"))
         .join(last, "guideline_id", "left")
     )
+    asked = mandates.select(F.col("id").alias("mandate_id"), "legal_basis_id").join(amended, "legal_basis_id", "left")
     late = F.datediff("basis_last_amended", "guideline_last_updated")
-    outdated = late > 0
-    return (
-        mandates.select(F.col("id").alias("mandate_id"), "legal_basis_id")
-        .join(amended, "legal_basis_id", "left")
-        .join(served, "mandate_id", "left")
-        .select(
-            "mandate_id",
-            "guideline_id",
-            F.when(F.col("guideline_id").isNull(), "missing").when(outdated, "outdated").otherwise("resolved").alias("status"),
-            "basis_last_amended",
-            "guideline_last_updated",
-            F.when(F.col("guideline_id").isNotNull() & outdated, late).alias("days_gap"),
-        )
+    met = asked.join(served, "mandate_id").select(
+        "mandate_id", "guideline_id", F.when(late > 0, "outdated").otherwise("resolved").alias("status"),
+        "basis_last_amended", "guideline_last_updated", F.when(late > 0, late).alias("days_gap"),
+    )
+    missing = missing_mandates(asked.withColumnRenamed("mandate_id", "id"), guidelines).select(
+        F.col("id").alias("mandate_id"), F.lit("missing").alias("status"), "basis_last_amended"
     )
+    return met.unionByName(missing, allowMissingColumns=True)
 
 
 def amended_bases(bases: DataFrame, rules: DataFrame) -> DataFrame:

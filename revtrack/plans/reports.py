@@ -7,6 +7,7 @@ so a report over the same tables always gives the same rows.
 from __future__ import annotations
 
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,21 @@ def _search(q: str) -> Column:
     return F.col("title").ilike(pattern) | F.col("agency_name").ilike(pattern)
 
 
+def _with_children(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
+    """Left join to child rows as an inner join plus the parents without any.
+
+    Spark can split a parent with very many children in an inner join, not on the right of an outer one.
+    """
+    childless = parents.join(children.select(key).distinct(), key, "left_anti")
+    return parents.join(children, key).unionByName(childless, allowMissingColumns=True)
+
+
+def one_row(*aggregates: DataFrame) -> DataFrame:
+    """Global aggregates side by side: their rows stacked, and the one value of each column kept."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), aggregates)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 # ---- documents --------------------------------------------------------------------------------
 
 
@@ -74,12 +90,9 @@ def guideline_detail(guidelines: DataFrame, versions: DataFrame, guideline_id: i
         F.col("guideline_id").alias("id"), F.col("id").alias("version_id"), "version_label", "published_date",
         F.col("pdf_url").alias("version_pdf_url"), "page_count", "change_summary", "significance",
     )
-    return (
-        with_count(guidelines, totals.select("id", "version_count"), "id", "version_count")
-        .join(totals.select("id", "latest_published_date"), "id", "left")
-        .join(history, "id", "left")
-        .orderBy("id", F.desc("published_date"), F.desc("version_id"))
-    )
+    documents = guidelines.join(totals, "id", "left").withColumn("version_count", F.coalesce("version_count", F.lit(0).cast("bigint")))
+    out = documents.select(*guidelines.columns, "version_count", "latest_published_date")
+    return _with_children(out, history, "id").orderBy("id", F.desc("published_date"), F.desc("version_id"))
 
 
 def recent_changes(
@@ -171,9 +184,9 @@ def list_mandates(mandates: DataFrame, guidelines: DataFrame, basis_id: int | No
 def list_agencies(agencies: DataFrame, configs: DataFrame) -> DataFrame:
     """Agencies with their configs, one row per config, agencies without configs once (Q6)."""
     own = configs.select(
-        "agency_id", F.col("id").alias("config_id"), "label", "source_type", "schedule", "url", "is_active", "item_type"
+        F.col("agency_id").alias("id"), F.col("id").alias("config_id"), "label", "source_type", "schedule", "url", "is_active", "item_type"
     )
-    return agencies.join(own, agencies["id"] == own["agency_id"], "left").drop("agency_id").orderBy("code", "config_id")
+    return _with_children(agencies, own, "id").orderBy("code", "config_id")
 
 
 def recent_runs(agencies: DataFrame, runs: DataFrame, code: str | None = None, n: int = 10) -> DataFrame:
@@ -295,12 +308,8 @@ def dashboard_totals(
         F.count_if(F.col("item_type") == "guideline").alias("guideline_count"),
         F.count_if(F.col("item_type") == "announcement").alias("announcement_count"),
     )
-    # Each side is the single row of a global aggregate.
     return (
-        one.crossJoin(base)
-        .crossJoin(docs)
-        .crossJoin(recently_updated(versions, as_of))
-        .crossJoin(last_global_crawl(configs, runs))
+        one_row(one, base, docs, recently_updated(versions, as_of), last_global_crawl(configs, runs))
         .withColumn("gap_missing", F.lit(0).cast("bigint"))
         .withColumn("gap_outdated", F.lit(0).cast("bigint"))
     )

@@ -34,9 +34,10 @@ def manifest_guidelines(guidelines: DataFrame, agencies: DataFrame) -> DataFrame
 
 def manifest_header(bases: DataFrame, guidelines: DataFrame, generated_at: datetime) -> DataFrame:
     """One row: version, time, lifetime and the two counts."""
+    counted = bases.select(F.lit(1).alias("b"), F.lit(0).alias("g")).unionByName(guidelines.select(F.lit(0).alias("b"), F.lit(1).alias("g")))
+    total = F.lit(0).cast("bigint")
     return (
-        bases.agg(F.count("*").alias("legal_bases"))
-        .crossJoin(guidelines.agg(F.count("*").alias("guidelines")))
+        counted.agg(F.coalesce(F.sum("b"), total).alias("legal_bases"), F.coalesce(F.sum("g"), total).alias("guidelines"))
         .select(
             F.lit(fv.MANIFEST_SCHEMA_VERSION).alias("schema_version"),
             iso_timestamp(F.lit(generated_at)).alias("generated_at"),
@@ -55,10 +56,8 @@ def manifest_document(bases: DataFrame, guidelines: DataFrame, agencies: DataFra
     """
 
     def lines(df: DataFrame, section: int) -> DataFrame:
-        first = df.agg(F.min("id").alias("_first"))
-        glue = F.when(F.col("id") == F.col("_first"), "").otherwise(",")
-        # `first` is the single row of a global aggregate.
-        return df.crossJoin(F.broadcast(first)).select(
+        glue = F.when(F.col("id") == df.agg(F.min("id")).scalar(), "").otherwise(",")
+        return df.select(
             F.lit(section).alias("section"), "id", F.concat(glue, F.to_json(F.struct(*df.columns), _KEEP_NULLS)).alias("line")
         )
 

@@ -112,11 +112,11 @@ FIELD_PATTERNS = {
 DETAIL_SCHEMA = (
     "agency_code string, list_url string, id_param_name string, url_template string, error_marker string, "
     "title_section_marker string, title_regex string, date_regex string, file_regex string, "
-    "file_download_template string, file_has_name boolean, baseline_id long, scan_window long"
+    "file_download_template string, file_has_name boolean, baseline_id long, scan_window long, position int"
 )
 PAGE_SCHEMA = (
     "agency_code string, config_label string, url string, block_splitter string, title_regex string, "
-    "seq_regex string, date_regex string, download_url_template string"
+    "seq_regex string, date_regex string, download_url_template string, position int"
 )
 
 
@@ -147,19 +147,19 @@ def detail_profiles(spark: SparkSession, profiles=DETAIL_PROFILES) -> DataFrame:
     """Site profiles of the detail scan; a new site is one more record."""
     rows = [
         {"date_regex": None, "file_regex": None, "file_download_template": None, "title_section_marker": "", "baseline_id": 1,
-         "scan_window": 100, **p, "file_has_name": re.compile(p.get("file_regex") or "").groups >= 2}
-        for p in profiles
+         "scan_window": 100, **p, "file_has_name": re.compile(p.get("file_regex") or "").groups >= 2, "position": i}
+        for i, p in enumerate(profiles)
     ]
     return spark.createDataFrame(rows, DETAIL_SCHEMA)
 
 
 def page_profiles(spark: SparkSession, profiles=PAGE_PROFILES) -> DataFrame:
-    return spark.createDataFrame([{"date_regex": None, "download_url_template": "", **p} for p in profiles], PAGE_SCHEMA)
+    return spark.createDataFrame([{"date_regex": None, "download_url_template": "", **p, "position": i} for i, p in enumerate(profiles)], PAGE_SCHEMA)
 
 
 def first_profile(profiles: DataFrame, agency_code: str) -> DataFrame:
     """The first registered profile of an agency."""
-    return profiles.where(F.col("agency_code") == agency_code).limit(1)
+    return profiles.where(F.col("agency_code") == agency_code).orderBy("position").limit(1)
 
 
 def keyword_lists(spark: SparkSession) -> DataFrame:

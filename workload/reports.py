@@ -179,6 +179,10 @@ UNION ALL SELECT 0, NULL, '{"schema_version":"1.0.0","generated_at":"2024-02-13T
         _q(lambda t: reports.run_result(t.runs, t.configs, t.run_agencies)),
         with_roles("run_agencies", "runs", "configs", body="SELECT a.code AS agency_code, c.label AS config_label, error_message IS NULL AS success, items_found AS items_count, items_new, error_message AS error FROM runs r JOIN configs c ON c.id = r.config_id JOIN run_agencies a ON a.id = r.agency_id"),
     ),
+    "q14_run_items_a17": (
+        _q(lambda t: reports.run_items(t.posts.withColumn("attachment_urls", F.split("topic", " ")))),
+        with_roles("posts", body="SELECT config_id, seq, title, url, strftime(published_date, '%Y-%m-%d') AS published_date, CAST(len(string_split(topic, ' ')) AS INTEGER) AS attachment_count FROM posts"),
+    ),
     "q15_run_summary": (
         _q(lambda t: reports.run_summary(reports.run_result(t.runs, t.configs, t.run_agencies))),
         with_roles("runs", body="SELECT count(*) AS configs_run, CAST(sum(items_found) AS BIGINT) AS total_items FROM runs"),
