@@ -57,6 +57,8 @@ def titled_alike(candidates: DataFrame, existing: DataFrame, key: str, chars: in
     needles = candidates.select(
         F.col(key).alias("_key"), "agency_id", longest.alias("part"), _lowered_pattern(F.substring("title", 1, chars)).alias("pattern")
     ).withColumn("size", F.length("part"))
+    # Candidates that ask the same thing are asked once.
+    asked = needles.select("agency_id", "part", "pattern").distinct()
     sizes = needles.select("agency_id", "size").distinct()
     parts = (
         existing.select("agency_id", F.lower("title").alias("stored"))
@@ -72,8 +74,13 @@ def titled_alike(candidates: DataFrame, existing: DataFrame, key: str, chars: in
             ).alias("part"),
         )
     )
-    matched = parts.join(needles, ["agency_id", "part"]).where(F.call_function("like", F.col("stored"), F.col("pattern")))
-    return matched.select(F.col("_key").alias(key)).distinct()
+    found = (
+        parts.join(asked, ["agency_id", "part"])
+        .where(F.call_function("like", F.col("stored"), F.col("pattern")))
+        .select("agency_id", "pattern")
+        .distinct()
+    )
+    return needles.join(found, ["agency_id", "pattern"], "left_semi").select(F.col("_key").alias(key)).distinct()
 
 
 def mark_titled_alike(candidates: DataFrame, existing: DataFrame, key: str, chars: int = 30) -> DataFrame:
