@@ -32,31 +32,61 @@ def first_group(text: Column, pattern: str | Column, group: int = 1) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"(?U)^{SPACE}+|{SPACE}+$", "")
+    edge = f"(?U){SPACE}"
+    return let(
+        text,
+        lambda t: F.when(
+            F.left(t, F.lit(1)).rlike(edge) | F.right(t, F.lit(1)).rlike(edge), F.regexp_replace(t, f"(?U)^{SPACE}+|{SPACE}+$", "")
+        ).otherwise(t),
+    )
 
 
 def collapse(text: Column) -> Column:
     """Trim and turn every run of whitespace into one blank."""
-    return F.trim(F.regexp_replace(text, f"(?U){SPACE}+", " "))
+    return F.trim(
+        let(text, lambda t: F.when(t.rlike(r"(?U)  |[^\S ]|[\x1c-\x1f]"), F.regexp_replace(t, f"(?U){SPACE}+", " ")).otherwise(t))
+    )
+
+
+# What a title must end in for a suffix pattern to have a chance; one character decides.
+_ENDS_PAREN = r"[)\]]"
+_ENDS_NUMBER = r"(?U)[\d\s\x1c-\x1f판본전nN]"
+_ENDS_NOISE = r"(?U)[내포고지시림간정\s\x1c-\x1f]"
+
+
+def _drop(text: Column, likely: Callable[[Column], Column], pattern: str) -> Column:
+    """Take `pattern` out of the text, looking closely only where a cheap test says it may match."""
+    return let(text, lambda t: F.when(likely(t), F.regexp_replace(t, pattern, "")).otherwise(t))
+
+
+def _ends_in(chars: str) -> Callable[[Column], Column]:
+    return lambda t: F.right(t, F.lit(1)).rlike(chars)
+
+
+def _has_year(t: Column) -> Column:
+    return F.contains(t, F.lit("20"))
 
 
 def normalize_title(title: Column) -> Column:
     """Matching key of a re-edition: bracket suffix, year, number and noise word taken off in turn."""
     out = strip(title)
-    out = F.regexp_replace(out, EXACT + fv.PAREN_SUFFIX, "")
-    out = F.regexp_replace(out, IGNORE_CASE + fv.YEAR_SUFFIX, "")
-    out = F.regexp_replace(out, IGNORE_CASE + fv.NUMBER_SUFFIX, "")
-    out = F.regexp_replace(out, EXACT + fv.NOISE_SUFFIX, "")
+    out = _drop(out, _ends_in(_ENDS_PAREN), EXACT + fv.PAREN_SUFFIX)
+    out = _drop(out, _has_year, IGNORE_CASE + fv.YEAR_SUFFIX)
+    out = _drop(out, _ends_in(_ENDS_NUMBER), IGNORE_CASE + fv.NUMBER_SUFFIX)
+    out = _drop(out, _ends_in(_ENDS_NOISE), EXACT + fv.NOISE_SUFFIX)
     return collapse(out)
 
 
 def version_label(title: Column) -> Column:
     """`YYYY년` from a bracketed or trailing year, else `v<n>` from a trailing number, else null."""
-    return F.coalesce(
-        F.concat(first_group(title, EXACT + fv.PAREN_YEAR), F.lit("년")),
-        F.concat(first_group(title, IGNORE_CASE + fv.YEAR_SUFFIX), F.lit("년")),
-        F.concat(F.lit("v"), first_group(title, IGNORE_CASE + fv.NUMBER_SUFFIX)),
+    dated = F.when(
+        _has_year(title),
+        F.concat(
+            F.coalesce(first_group(title, EXACT + fv.PAREN_YEAR), first_group(title, IGNORE_CASE + fv.YEAR_SUFFIX)), F.lit("년")
+        ),
     )
+    numbered = F.when(_ends_in(_ENDS_NUMBER)(title), first_group(title, IGNORE_CASE + fv.NUMBER_SUFFIX))
+    return F.coalesce(dated, F.concat(F.lit("v"), numbered))
 
 
 def pdf_url(urls: Column) -> Column:
