@@ -20,11 +20,12 @@ def _stamped(df: DataFrame, at: datetime) -> DataFrame:
     return df.withColumn("created_at", F.lit(at)).withColumn("updated_at", F.lit(at))
 
 
-def seed_agencies(store: Store, publishers: DataFrame, at: datetime, batch: int) -> DataFrame:
+def seed_agencies(store: Store, publishers: DataFrame, at: datetime) -> DataFrame:
     """Store publishers whose code is new, with their targets as configs; returns the tally.
 
     Configs of a seeded publisher are of type guideline, whatever the registry says of the target.
     """
+    batch = store.last_batch() + 1
     marked = stage(mark_existing(publishers, store.read("agencies"), ["code"]))
     new = marked.where(~F.col("exists"))
     agencies = store.write("agencies", with_ids(_stamped(new.drop("targets", "exists"), at), store.last_id("agencies")), batch)
@@ -40,11 +41,12 @@ def seed_agencies(store: Store, publishers: DataFrame, at: datetime, batch: int)
     return load_tally(marked)
 
 
-def seed_documents(store: Store, documents: DataFrame, at: datetime, batch: int, alike: bool) -> DataFrame:
+def seed_documents(store: Store, documents: DataFrame, at: datetime, alike: bool) -> DataFrame:
     """Store curated documents with their first version unless already there; returns the tally.
 
     `alike` compares by the first 30 characters anywhere in a stored title, otherwise by equal title.
     """
+    batch = store.last_batch() + 1
     stored = store.read("guidelines")
     keyed = documents.withColumn("key", F.xxhash64("agency_id", "title", "source_url"))
     marked = stage(
@@ -62,11 +64,12 @@ def seed_documents(store: Store, documents: DataFrame, at: datetime, batch: int,
     return load_tally(marked)
 
 
-def seed_legal_bases(store: Store, rules: DataFrame, at: datetime, batch: int) -> DataFrame:
+def seed_legal_bases(store: Store, rules: DataFrame, at: datetime) -> DataFrame:
     """Store searched rules as legal bases unless already there; returns the tally.
 
     `rules`: the columns of the law search plus agency_code and an order within the agency.
     """
+    batch = store.last_batch() + 1
     own = store.read("agencies").select(F.col("code").alias("agency_code"), F.col("id").alias("agency_id"))
     rows = rules.join(own, "agency_code").select(
         "agency_id", "title", basis_type(F.col("rule_type")).alias("basis_type"), F.nullif("law_api_id", F.lit("")).alias("law_api_id"),

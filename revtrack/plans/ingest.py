@@ -14,7 +14,7 @@ from ..operators.scoring import Scorer, accept_items
 from ..session import stage
 from ..sources.board import followed
 from ..sources.landing import extract_pages
-from ..sources.store import Store
+from ..sources.store import Run, Store
 
 LAW_ITEM_LIMIT = 50
 
@@ -124,24 +124,26 @@ def ingest(
     store: Store,
     pages: DataFrame,
     as_of: datetime,
-    batch: int,
+    run: Run | None = None,
     scorer: Scorer | None = None,
     detail: DataFrame | None = None,
     publications: DataFrame | None = None,
 ) -> DataFrame | None:
     """Merge one batch of landed pages into the store; returns the tallies per config.
 
-    A batch that is already committed is left alone, so a replay after a crash changes nothing.
+    `run` names the stream or job and its running number; a run the store already holds is left alone,
+    so a replay after a crash changes nothing.
     """
-    last = store.last_batch()
-    if batch <= last:
+    if run is not None and store.holds(run):
         return None
+    last = store.last_batch()
+    batch = last + 1
     configs, agencies = store.read("crawl_configs", last), store.read("agencies", last)
     found = posts_of(extract_pages(pages, configs, agencies, detail, publications))
     judged = stage(accept_items(found.items, scorer))
-    merge = decide(judged, store.read("guidelines", last), store.read("guideline_versions", last), as_of)
+    merge = decide(judged, store.titles(last), store.read("guideline_versions", last), as_of)
     tallies = stage(merge.tallies)
     _write_merge(store, merge, as_of, batch, last)
     store.write("crawl_runs", with_ids(run_rows(found, tallies, as_of), store.last_id("crawl_runs", last)), batch)
-    store.commit(batch, as_of)
+    store.commit(batch, as_of, run)
     return tallies

@@ -1,8 +1,9 @@
 """The store: append-only parquet datasets, one directory per batch, visible once committed.
 
-A batch writes only what it adds. Its directories are named after the batch, so a retry replaces its own
-leftovers and nothing else; readers see batches up to the last one in the commit log, which is written
-last. Changes of a document's item type are rows of their own and merged in on reading.
+A batch writes only what it adds, into directories named after it. It is numbered after the last committed
+one, so a retry of a failed batch replaces that batch's leftovers and nothing else; readers see batches up
+to the last one in the commit log, which is written last. A commit may name the run it stems from (a
+stream and its micro-batch), by which a repeated run is recognised. One writer at a time. Changes of a document's item type are rows of their own and merged in on reading.
 """
 
 from __future__ import annotations
@@ -25,7 +26,16 @@ _TYPE_CHANGES = T.StructType(
         T.StructField("updated_at", T.TimestampType()),
     ]
 )
-_COMMITS = T.StructType([T.StructField("batch", T.LongType()), T.StructField("committed_at", T.TimestampType())])
+_COMMITS = T.StructType(
+    [
+        T.StructField("batch", T.LongType()),
+        T.StructField("committed_at", T.TimestampType()),
+        T.StructField("source", T.StringType()),
+        T.StructField("source_batch", T.LongType()),
+    ]
+)
+# Who wrote a batch: the name of a stream or job and its own running number.
+Run = tuple[str, int]
 
 
 def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:
@@ -56,15 +66,21 @@ class Store:
                 raise
             return self.spark.createDataFrame([], schema)
 
-    def last_batch(self) -> int:
-        """The last committed batch, -1 for an empty store."""
+    def _commits(self) -> DataFrame:
         try:
-            commits = self.spark.read.schema(_COMMITS).parquet(f"{self.root}/_commits")
+            return self.spark.read.schema(_COMMITS).parquet(f"{self.root}/_commits")
         except AnalysisException as exc:
             if exc.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return -1
-        return commits.agg(F.max("batch")).first()[0]
+            return self.spark.createDataFrame([], _COMMITS)
+
+    def last_batch(self) -> int:
+        """The last committed batch, -1 for an empty store."""
+        last = self._commits().agg(F.max("batch")).first()[0]
+        return -1 if last is None else last
+
+    def holds(self, run: Run) -> bool:
+        return not self._commits().where((F.col("source") == run[0]) & (F.col("source_batch") == run[1])).isEmpty()
 
     def read(self, name: str, last: int | None = None) -> DataFrame:
         """A table as of batch `last`, by default the last committed one; the filter prunes directories."""
@@ -86,6 +102,11 @@ class Store:
             .select(*rows.columns)
         )
 
+    def titles(self, last: int) -> DataFrame:
+        """What the merge matches against: owner, url and title key of every document."""
+        rows = self._batches("guidelines").where(F.col("batch") <= last)
+        return rows.select("id", "agency_id", "source_url", "norm_title")
+
     def last_id(self, name: str, last: int | None = None) -> int:
         last = self.last_batch() if last is None else last
         return self._batches(name).where(F.col("batch") <= last).agg(F.max("id")).first()[0] or 0
@@ -97,8 +118,8 @@ class Store:
         rows.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
-    def commit(self, batch: int, at: datetime) -> None:
-        row = self.spark.createDataFrame([(batch, at)], _COMMITS).coalesce(1)
+    def commit(self, batch: int, at: datetime, run: Run | None = None) -> None:
+        row = self.spark.createDataFrame([(batch, at, *(run or (None, None)))], _COMMITS).coalesce(1)
         row.write.mode("append").parquet(f"{self.root}/_commits")
 
     def compact(self, root: str, at: datetime) -> Store:

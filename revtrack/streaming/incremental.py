@@ -1,7 +1,7 @@
 """Incremental ingest over a landing directory.
 
-The state of the stream is the store itself: every micro-batch joins it, and the batch id names what the
-batch writes, so a repeated batch replaces or skips its own output.
+The state of the stream is the store itself: every micro-batch joins it. The store records which
+micro-batch of which stream it holds, so a repeated one is skipped and a failed one starts over.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from ..sources.landing import stream_pages
 from ..sources.store import Store
 
 
-def latest_fetch(pages: DataFrame) -> datetime:
-    """The batch's own clock: when its last page was fetched."""
+def latest_fetch(pages: DataFrame) -> datetime | None:
+    """The batch's own clock: when its last page was fetched; null for a batch without pages."""
     return pages.agg(F.max("fetched_at")).first()[0]
 
 
@@ -31,23 +31,22 @@ def ingest_stream(
     store_root: str,
     checkpoint: str,
     scorer: Scorer | None = None,
-    first_batch: int = 0,
+    name: str = "landing",
     max_files: int | None = None,
-    clock: Callable[[DataFrame], datetime] = latest_fetch,
+    clock: Callable[[DataFrame], datetime | None] = latest_fetch,
     detail: DataFrame | None = None,
     publications: DataFrame | None = None,
 ) -> StreamingQuery:
     """Read what has landed since the last call and merge it, then stop.
 
-    `first_batch` is the store batch of the stream's first micro-batch, after those of seeding.
+    `name` tells streams that feed one store apart; keep it as long as the checkpoint.
     """
 
     def merge(pages: DataFrame, batch_id: int) -> None:
-        session = configure(pages.sparkSession)
-        store = Store(session, store_root)
-        batch = first_batch + batch_id
-        if batch > store.last_batch():
-            ingest(store, pages, clock(pages), batch, scorer, detail, publications)
+        store = Store(configure(pages.sparkSession), store_root)
+        as_of = clock(pages)
+        if as_of is not None:
+            ingest(store, pages, as_of, (name, batch_id), scorer, detail, publications)
 
     return (
         stream_pages(spark, landing, max_files)

@@ -40,9 +40,9 @@ PUBS = (
 @pytest.fixture(scope="module")
 def seeded(spark, tmp_path_factory):
     store = Store(spark, str(tmp_path_factory.mktemp("store")))
-    tally = seed_agencies(store, registry.publishers(spark), DAY, 0).first()
+    tally = seed_agencies(store, registry.publishers(spark), DAY).first()
     assert (tally.searched, tally.created, tally.skipped) == (11, 11, 0)
-    assert seed_agencies(store, registry.publishers(spark), DAY, 1).first().created == 0
+    assert seed_agencies(store, registry.publishers(spark), DAY).first().created == 0
     return store
 
 
@@ -111,16 +111,16 @@ def _state(store):
 def test_ingest_replay_and_stream(spark, seeded, tmp_path):
     pages = _pages(spark, seeded)
     first = Store(spark, str(tmp_path / "a"))
-    seed_agencies(first, registry.publishers(spark), DAY, 0)
-    tallies = ingest(first, pages, DAY, 1)
+    seed_agencies(first, registry.publishers(spark), DAY)
+    tallies = ingest(first, pages, DAY, ("job", 1))
     total = tallies.agg(*[F.sum(c).alias(c) for c in ("found", "new", "updated", "skipped", "filtered")]).first()
     assert tuple(total) == (11, 7, 1, 0, 3)
     docs, versions = _state(first)
     assert len(docs) == 7 and len(versions) == 8
     assert ("보안 안내서 2025", date(2025, 4, 1), "2024년") in [(v[0][1], v[1], v[2]) for v in versions]
 
-    assert ingest(first, pages, DAY, 1) is None
-    again = ingest(first, pages, DAY, 2)
+    assert ingest(first, pages, DAY, ("job", 1)) is None
+    again = ingest(first, pages, DAY)
     assert again.agg(F.sum("new") + F.sum("updated")).first()[0] == 0
     assert _state(first) == (docs, versions)
 
@@ -139,9 +139,9 @@ def test_ingest_replay_and_stream(spark, seeded, tmp_path):
         pages.where(part).coalesce(1).write.mode("append").parquet(landing)
     assert read_pages(spark, landing).count() == pages.count()
     second = Store(spark, str(tmp_path / "b"))
-    seed_agencies(second, registry.publishers(spark), DAY, 0)
+    seed_agencies(second, registry.publishers(spark), DAY)
     for _ in range(2):
-        query = ingest_stream(spark, landing, second.root, str(tmp_path / "cp"), first_batch=1, max_files=1)
+        query = ingest_stream(spark, landing, second.root, str(tmp_path / "cp"), max_files=1)
         query.awaitTermination()
     assert second.last_batch() == 3
 
@@ -160,10 +160,9 @@ def test_ingest_replay_and_stream(spark, seeded, tmp_path):
 
 def test_type_of_a_stored_document_follows_the_last_source(spark, seeded, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
-    seed_agencies(store, registry.publishers(spark), DAY, 0)
+    seed_agencies(store, registry.publishers(spark), DAY)
     pages = _pages(spark, store).where("agency_code = 'KISA'")
-    ingest(store, pages, DAY, 1)
-    store.write("crawl_configs", store.read("crawl_configs").limit(0), 1)
+    ingest(store, pages, DAY)
     as_news = store.read("crawl_configs").withColumn("item_type", F.lit("announcement"))
     found = posts_of(extract_pages(pages, as_news, store.read("agencies")))
     assert {r.item_type for r in found.items.collect()} == {"announcement"}
@@ -174,7 +173,7 @@ def test_type_of_a_stored_document_follows_the_last_source(spark, seeded, tmp_pa
         other.write(name, store.read(name), 0)
     other.commit(0, DAY)
     later = datetime(2026, 5, 2, 6)
-    ingest(other, pages, later, 1)
+    ingest(other, pages, later)
     rows = other.read("guidelines").collect()
     kept = {r.title: (r.item_type, r.created_at, r.updated_at) for r in rows}
     assert kept["보안 안내서 2025"] == ("announcement", DAY, later)
@@ -193,21 +192,21 @@ def test_uncommitted_batches_stay_invisible(spark, tmp_path):
 
 def test_curated_documents_and_legal_bases(spark, tmp_path):
     store = Store(spark, str(tmp_path))
-    seed_agencies(store, registry.publishers(spark), DAY, 0)
+    seed_agencies(store, registry.publishers(spark), DAY)
     agencies = store.read("agencies")
     exam = curated.with_agency_id(curated.exam_documents(spark), agencies).drop("agency_code")
     manual = curated.with_agency_id(curated.manual_documents(spark), agencies).drop("agency_code")
-    got = [tuple(seed_documents(store, exam, DAY, 1, alike=True).first()), tuple(seed_documents(store, exam, DAY, 2, alike=True).first())]
+    got = [tuple(seed_documents(store, exam, DAY, alike=True).first()), tuple(seed_documents(store, exam, DAY, alike=True).first())]
     assert got == [(11, 11, 0), (11, 0, 11)]
-    got = [tuple(seed_documents(store, manual, DAY, 3, alike=False).first()), tuple(seed_documents(store, manual, DAY, 4, alike=False).first())]
+    got = [tuple(seed_documents(store, manual, DAY, alike=False).first()), tuple(seed_documents(store, manual, DAY, alike=False).first())]
     assert got == [(1, 1, 0), (1, 0, 1)]
     assert store.read("guideline_versions").where("version_label = 'v1.0 (2026.04)'").count() == 1
     rules = spark.createDataFrame(
         [("PIPC", "개인정보 고시", "고시", date(2026, 1, 1), None, "5", "u", 1, 0), ("PIPC", "암호 훈령", "훈령", None, None, "", "v", 1, 1)],
         "agency_code string, title string, rule_type string, promulgation_date date, enforcement_date date, law_api_id string, source_url string, page_num int, pos int",
     )
-    assert tuple(seed_legal_bases(store, rules, DAY, 5).first()) == (2, 2, 0)
-    assert tuple(seed_legal_bases(store, rules, DAY, 6).first()) == (2, 0, 2)
+    assert tuple(seed_legal_bases(store, rules, DAY).first()) == (2, 2, 0)
+    assert tuple(seed_legal_bases(store, rules, DAY).first()) == (2, 0, 2)
     assert {r.basis_type for r in store.read("legal_bases").collect()} == {"gosi", "hunryeong"}
 
     path = str(tmp_path / "manifest")

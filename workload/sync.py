@@ -101,7 +101,7 @@ def stream_ingest(spark, sf_dir: str) -> DataFrame:
         {"agency_code": f"NATION_{n}", "list_url": "list", "id_param_name": "id", "url_template": "https://x.example/{id}", "error_marker": "never seen in a page",
          "title_section_marker": "<article>", "title_regex": "<h1>([^<]+)</h1>"} for n in range(25)
     ])
-    query = ingest_stream(spark, f"{root}/landing", store.root, f"{root}/checkpoint", first_batch=1, max_files=1, detail=profiles)
+    query = ingest_stream(spark, f"{root}/landing", store.root, f"{root}/checkpoint", max_files=1, detail=profiles)
     query.awaitTermination()
     guidelines = store.read("guidelines").select(F.col("id").alias("guideline_id"), "agency_id", "norm_title", "item_type")
     return (
