@@ -5,8 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, shards, urls
-from .common import configure_batches, rows_of, stage
+from . import langid, licenses, mixing, packing, quality, shards, toxicity, urls
+from .common import configure_batches, crc_remainder, rows_of, stage
+
+# --- quality ------------------------------------------------------------------------------------------------------
+
+
+def op1_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.assess(rows_of(configure_batches(spark), sf_dir, "documents"), "doc_id")
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select("doc_id", *(F.col(f"s.{c}").alias(c) for c in counts), "base_failed", "kept", "distance")
+
+
+# --- licences -----------------------------------------------------------------------------------------------------
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = rows_of(configure_batches(spark), sf_dir, "documents")
+    return docs.select("doc_id", licenses.scan(F.col("text")).alias("s")).select(
+        "doc_id", *(f"s.{c}" for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")),
+        F.size("s.spans").cast("long").alias("n_spans"),
+    )
+
+
+# --- toxicity -----------------------------------------------------------------------------------------------------
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = rows_of(configure_batches(spark), sf_dir, "documents").select("doc_id", "text")
+    labels = rows_of(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.fit(docs, labels.where(crc_remainder(F.col("doc_id"), 5) != 0))
+    scored = docs.select(
+        "doc_id", F.coalesce(crc_remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), toxicity.score(model, F.col("text")).alias("score")
+    )
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+# --- language identification --------------------------------------------------------------------------------------
+
+
+def op7_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = rows_of(configure_batches(spark), sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(crc_remainder(F.col("doc_id"), 4) != 2))
+    held_out = F.coalesce(crc_remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    return docs.select("doc_id", held_out.alias("held_out"), langid.identify(model, F.col("text")).alias("p")).select("doc_id", "held_out", "p.*")
+
 
 # --- mixing -------------------------------------------------------------------------------------------------------
 
@@ -109,8 +152,12 @@ FROM u LEFT JOIN best USING (page_id) LEFT JOIN listed l ON l.page_id = u.page_i
 """
 
 QUERIES = {
+    "op1_outliers": (op1_outliers, None),
+    "op2_licenses": (op2_licenses, None),
+    "op3_toxicity": (op3_toxicity, None),
     "op5_mix": (op5_mix, OP5_SQL),
     "op6_slots": (op6_slots, None),
+    "op7_languages": (op7_languages, None),
     "op8_pack": (op8_pack, None),
     "op10_urls": (op10_urls, OP10_SQL),
 }
