@@ -35,7 +35,7 @@ BINS = 16
 # A squared distance beyond this quantile of the chi-squared law is an outlier.
 QUANTILE_NORMAL = 5.2  # standard normal quantile of 1 - 1e-7
 # Least standard deviation of each statistic.
-FLOOR = {"word_length": 0.08, "symbols": 0.045, "capitals": 0.08, "variety": 0.08, "length": 0.5, "dup_lines": 0.15, "repeats": 0.12}
+FLOOR = {"word_length": 0.12, "symbols": 0.045, "capitals": 0.08, "variety": 0.08, "length": 0.5, "dup_lines": 0.15, "repeats": 0.12}
 NAMES = tuple(FLOOR)
 
 _SPACE = b" \t\n\x0b\x0c\r"

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import langid, licenses, mixing, packing, quality, shards, toxicity, urls
+from . import langid, licenses, mixing, ordering, packing, quality, shards, simhash, toxicity, urls
 from .common import configure_batches, crc_remainder, rows_of, stage
 
 # --- quality ------------------------------------------------------------------------------------------------------
@@ -51,6 +51,41 @@ def op7_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", held_out.alias("held_out"), langid.identify(model, F.col("text")).alias("p")).select("doc_id", "held_out", "p.*")
 
 
+# --- fingerprints -------------------------------------------------------------------------------------------------
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beside the contract's columns, `n_near`: for ids divisible by 50, the other rows within the radius."""
+    docs = rows_of(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ranked, after = ordering.with_next(docs, "doc_id", ["text"], ["text"])
+    n, third = F.length("text"), F.floor(F.length("text") / 3).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third))
+    both = ranked.select("_range", "_rank", "doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    told = both.select(
+        "_range", "_rank", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("body")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("body")))).alias("v"),
+    ).select("_range", "_rank", "doc_id", "n_chars", "edited_sha256", "v.*")
+    row = ["_range", "_rank", "doc_id", "n_chars", "edited_sha256"]
+    prints = simhash.fingerprints(told, [*row, "kind"], "body")
+    prints = stage(prints.groupBy(*row).agg(F.max(F.when(F.col("kind") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("kind") == 1, F.col("fp"))).alias("edited")))
+    # The next row's fingerprint: within a range by rank, at its end from the range that follows.
+    heads = prints.where(F.col("_rank") == 1).select(F.col("_range").alias("_after"), F.col("fp").alias("_head"))
+    heads = stage(after.join(heads, "_after").select("_range", "_head"))
+    down = Window.partitionBy("_range").orderBy("_rank")
+    following = F.coalesce(F.lead("fp").over(down), F.col("_head"))
+    asked = prints.where(F.col("doc_id") % 50 == 0)
+    found = simhash.near(asked, prints).groupBy("query").agg(F.sum("n").alias("_near"))
+    with_head = prints.join(F.broadcast(heads), "_range")  # a row for each range, see ordering
+    out = with_head.select(
+        "doc_id", "n_chars", "edited_sha256", simhash.as_text(F.col("fp")).alias("fingerprint"), simhash.as_text(F.col("edited")).alias("edited_fingerprint"),
+        simhash.likeness(F.col("fp"), F.col("edited")).alias("near_edited"), simhash.likeness(F.col("fp"), following).alias("near_next"), "fp",
+    )
+    wanted = F.col("doc_id") % 50 == 0
+    return out.join(found, (F.col("fp") == F.col("query")) & wanted, "left").withColumn(
+        "n_near", F.when(wanted, F.col("_near") - 1)
+    ).drop("fp", "query", "_near")
+
+
 # --- mixing -------------------------------------------------------------------------------------------------------
 
 
@@ -157,6 +192,7 @@ QUERIES = {
     "op3_toxicity": (op3_toxicity, None),
     "op5_mix": (op5_mix, OP5_SQL),
     "op6_slots": (op6_slots, None),
+    "op4_simhash": (op4_simhash, None),
     "op7_languages": (op7_languages, None),
     "op8_pack": (op8_pack, None),
     "op10_urls": (op10_urls, OP10_SQL),

@@ -31,6 +31,8 @@ BITS = 20
 SAMPLE_PER_CLASS = {0: 12_000, 1: 6_000}
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.0
+# A toxic row weighs as much as so many others.
+TOXIC_WEIGHT = 2.0
 
 _SEPARATE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
@@ -95,7 +97,7 @@ class Ftrl:
 
     def learn(self, index: np.ndarray, label: int) -> None:
         w = self.weights(index)
-        g = 1 / (1 + math.exp(-max(-30.0, min(30.0, w.sum())))) - label
+        g = (1 / (1 + math.exp(-max(-30.0, min(30.0, w.sum())))) - label) * (TOXIC_WEIGHT if label else 1.0)
         n = self.n[index]
         self.z[index] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / ALPHA * w
         self.n[index] = n + g * g
