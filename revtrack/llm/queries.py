@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import langid, licenses, mixing, ordering, packing, quality, shards, simhash, toxicity, urls
+from . import jaccard, langid, licenses, mixing, ordering, packing, quality, shards, simhash, toxicity, urls
 from .common import configure_batches, crc_remainder, rows_of, stage
 
 # --- quality ------------------------------------------------------------------------------------------------------
@@ -143,6 +143,14 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
+# --- n-gram Jaccard join ------------------------------------------------------------------------------------------
+
+
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = rows_of(configure_batches(spark), sf_dir, "documents")
+    return jaccard.classes(docs).select("doc_id", "n_shingles", "component_id")
+
+
 # --- url filters --------------------------------------------------------------------------------------------------
 
 # Host and path prefix of each rule and its verdict: fixed values.
@@ -195,5 +203,6 @@ QUERIES = {
     "op4_simhash": (op4_simhash, None),
     "op7_languages": (op7_languages, None),
     "op8_pack": (op8_pack, None),
+    "op9_jaccard": (op9_jaccard, None),
     "op10_urls": (op10_urls, OP10_SQL),
 }
