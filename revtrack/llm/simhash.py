@@ -68,6 +68,8 @@ def near(queries: DataFrame, stored: DataFrame, radius: int = RADIUS, blocks: in
     masks = _tables(radius, blocks)
     keyed = lambda fp: F.explode(F.array(*(F.struct(F.lit(t).alias("t"), fp.bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks))))
     q = queries.select("fp").distinct().select(F.col("fp").alias("query"), keyed(F.col("fp")).alias("_k")).select("query", "_k.t", "_k.key")
+    # Dealt out after the tables are made, so that whether to broadcast is decided by the rows there really are.
+    q = q.repartition("t", "key")
     s = stored.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).select(F.col("fp").alias("found"), "n", keyed(F.col("fp")).alias("_k")).select("found", "n", F.col("_k.t").alias("_t"), F.col("_k.key").alias("_key"))
     apart = F.col("query").bitwiseXOR(F.col("found"))
     earlier = F.lit(True)
