@@ -133,7 +133,7 @@ def _distance(x: Column, mean: Column, precision: Column) -> Column:
     for i in range(p):
         for j in range(i, p):
             total = total + off[i] * off[j] * precision[i * p + j] * (1 if i == j else 2)
-    return F.greatest(total, F.lit(0.0))
+    return F.when(total < 0, F.lit(0.0)).otherwise(total)
 
 
 MODEL = "group string, n long, mean array<double>, precision array<double>"
