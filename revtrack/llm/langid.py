@@ -115,7 +115,7 @@ class Model:
 
 def fit(rows: DataFrame, *, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Learn from `doc_id, text, lang`. What reaches the driver is n-gram counts and bit accuracies per language."""
-    known = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    known = rows.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     counts = stage(counts)
     if counts.count() > MAX_LANGUAGES:

@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: dict[int, int] | None
             yield pd.DataFrame({"turn": batch["turn"], "label": batch["label"], "found": [p.tobytes() for p in parts]})
 
     # The sample has about 18,000 rows at most: small enough to go to every task.
-    rows = docs.join(F.broadcast(chosen), "doc_id").select(
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
         F.xxhash64("doc_id", F.lit("order")).alias("turn"), "label", F.coalesce("text", F.lit("")).cast("binary").alias("raw")
     )
     stream = stage(rows.mapInPandas(extract, "turn long, label int, found binary"))
