@@ -20,7 +20,7 @@ def _range_of(value: Column, bounds: list[int], least: int, parts: int) -> Colum
     segment = F.size(F.filter(edges, lambda b: b < value)) - 1
     low, high = F.element_at(edges, segment + 1), F.element_at(edges, segment + 2)
     within = F.floor((value - low - 1).cast("double") / (high - low).cast("double") * parts)
-    return F.coalesce(segment * parts + F.least(within, F.lit(parts - 1)), F.lit(-1)).cast("long")
+    return F.when(value.isNotNull(), segment * parts + F.least(within, F.lit(parts - 1))).otherwise(F.lit(-1)).cast("long")
 
 
 def with_next(rows: DataFrame, row_id: str, carried: list[str], ties: list[str]) -> tuple[DataFrame, DataFrame]:
