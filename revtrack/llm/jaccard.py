@@ -89,9 +89,9 @@ def measure(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             sets = [shingles(r) for r in batch["raw"]]
             if len(batch):
                 np.add.at(counts, (np.concatenate(sets) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "n": [len(s) for s in sets], "set": [set_id(s) if len(s) else None for s in sets], "chunk": None, "counts": None,
-            }).astype({"set": "Int64", "chunk": "Int32"})
+            # Digests beside nulls: as nullable integers from the start, a float would round them.
+            ids = pd.array([set_id(s) if len(s) else None for s in sets], "Int64")
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": [len(s) for s in sets], "set": ids, "chunk": None, "counts": None}).astype({"chunk": "Int32"})
         parts = [(c, counts[c * size : (c + 1) * size]) for c in range(CHUNKS)]
         parts = [(c, zlib.compress(p.astype("<u4").tobytes(), 1)) for c, p in parts if p.any()]
         yield pd.DataFrame({"doc_id": None, "n": 0, "set": None, "chunk": [c for c, _ in parts], "counts": [p for _, p in parts]}).astype(

@@ -103,8 +103,9 @@ def pieces(docs: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text: st
                 ids = encode.ids(raw) + end
                 n = len(ids) // 4
                 rows += [(key, at, min(piece, n - at), zlib.crc32(ids[4 * at : 4 * (at + piece)]), n) for at in range(0, n, piece)]
-            made = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            yield made.astype({"doc_id": batch["doc_id"].dtype})
+            # Ids may be null: as objects from the start, a float would round them.
+            ids = pd.Series([r[0] for r in rows], dtype=object)
+            yield pd.DataFrame([r[1:] for r in rows], columns=["start", "length", "ids_crc32", "doc_tokens"]).assign(doc_id=ids)
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"))
     return rows.mapInPandas(cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
