@@ -6,7 +6,9 @@ count opening and closing tags of one name.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,16 +17,8 @@ from .. import fixed_values as fv
 from .dates import date_from_text
 from .text import clean_title_attribute, collapse, extract, first_group, let, strip
 
-# --- fixed values: named character references that occur in text -------------------------------
-_ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "),
-    ("&middot;", "·"), ("&copy;", "©"), ("&reg;", "®"), ("&hellip;", "…"), ("&ndash;", "–"),
-    ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"),
-    ("&laquo;", "«"), ("&raquo;", "»"), ("&bull;", "•"), ("&times;", "×"), ("&amp;", "&"),
-)
-_ENTITY_TABLE = "array(" + ", ".join(
-    "struct('{}' AS name, '{}' AS char)".format(name, char.replace("'", "\\'")) for name, char in _ENTITIES
-) + ")"
+# All named character references of HTML, as the standard library lists them: name with semicolon -> characters.
+_NAMED = json.dumps({name[:-1]: chars for name, chars in html5.items() if name.endswith(";")}, ensure_ascii=False)
 
 ROW = r"(?is)<tr\b[^>]*>.*?(?=<tr\b|</tr\b|</tbody|</table|$)"
 ENTRY = r"(?is)<li\b[^>]*>.*?(?=<li\b|</li\b|$)"
@@ -40,18 +34,24 @@ def unescape(text: Column) -> Column:
 
 
 def _unescape(text: Column) -> Column:
-    def numbered(part: Column, i: Column) -> Column:
-        dec = F.regexp_extract(part, r"^(\d{1,7});", 1)
-        hexa = F.regexp_extract(part, r"^[xX]([0-9A-Fa-f]{1,6});", 1)
-        code = F.when(dec != "", F.hex(F.try_to_number(F.nullif(dec, F.lit("")), F.lit("9999999")).cast("bigint"))).when(hexa != "", hexa)
-        char = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
-        rest = F.regexp_replace(part, r"^(\d{1,7}|[xX][0-9A-Fa-f]{1,6});", "")
-        return F.when(i == 0, part).when(code.isNull(), F.concat(F.lit("&#"), part)).otherwise(F.concat(char, rest))
-
-    out = F.when(
-        F.contains(text, F.lit("&#")), F.array_join(F.transform(F.split(text, "&#"), numbered), "")
-    ).otherwise(text)
-    return F.aggregate(F.expr(_ENTITY_TABLE), out, lambda acc, e: F.replace(acc, e["name"], e["char"]))
+    """One pass: what a reference stands for is not read again. Codes that are no character become U+FFFD."""
+
+    def referred(part: Column, i: Column) -> Column:
+        return let(F.regexp_extract(part, r"^(#\d+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);", 1), lambda ref: put(part, i, ref))
+
+    def put(part: Column, i: Column, ref: Column) -> Column:
+        dec, hexa = F.regexp_extract(ref, r"^#0*(\d{1,7})$", 1), F.regexp_extract(ref, r"^#[xX]0*([0-9A-Fa-f]{1,6})$", 1)
+        code = F.coalesce(
+            F.try_to_number(F.nullif(dec, F.lit("")), F.lit("9999999")).cast("bigint"), F.conv(F.nullif(hexa, F.lit("")), 16, 10).cast("bigint")
+        )
+        valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        numbered = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+        named = F.try_element_at(F.from_json(F.lit(_NAMED), "map<string,string>"), ref)
+        char = F.when(F.startswith(ref, F.lit("#")), numbered).when(ref != "", named)
+        rest = F.substring(part, F.length(ref) + 2, F.length(part))
+        return F.when(i == 0, part).when(char.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(char, rest))
+
+    return F.array_join(F.transform(F.split(text, "&"), referred), "")
 
 
 def _without_comments(html: Column) -> Column:

@@ -43,13 +43,14 @@ def decide(
     versions: DataFrame,
     as_of: datetime,
     order: Sequence[str] = ("config_id", "seq"),
+    unit: Sequence[str] = ("config_id",),
 ) -> Merge:
     """Classify `items` (see `accept_items`) into new documents, new versions and skipped posts.
 
     `items`: agency_id, config_id, title, url, published_date, attachment_urls, item_type, accepted, scored
-    and the `order` columns, which must be unique. `guidelines` may carry `norm_title` already.
+    and the `order` columns, which must be unique. `guidelines` may carry `norm_title` already. Tallies are per agency and `unit`.
     """
-    copies = stage(_copies(items, as_of, order))
+    copies = stage(_copies(items, as_of, order, unit))
     known = stage(_against_store(copies, guidelines, versions))
     fresh = known.where(F.col("url_owner").isNull() & ~F.col("day_taken"))
     taken = _settle(fresh)
@@ -70,10 +71,10 @@ def decide(
         .drop("final_type")
     )
     stored_types = types.where(F.col("guideline_id").isNotNull()).select("guideline_id", "item_type")
-    return Merge(editions, new_titles, stored_types, _tallies(items, editions, firsts))
+    return Merge(editions, new_titles, stored_types, _tallies(items, editions, firsts, ["agency_id", *unit]))
 
 
-def _copies(items: DataFrame, as_of: datetime, order: Sequence[str]) -> DataFrame:
+def _copies(items: DataFrame, as_of: datetime, order: Sequence[str], unit: Sequence[str]) -> DataFrame:
     """Accepted posts with equal url, title key and day as one row: its first post and its last type."""
     ord_ = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     posts = items.where("accepted").select(
@@ -83,7 +84,7 @@ def _copies(items: DataFrame, as_of: datetime, order: Sequence[str]) -> DataFram
         F.coalesce("published_date", F.lit(as_of).cast("date")).alias("pub_date"),
         ord_.alias("ord"),
         F.struct(
-            "config_id", "title", version_label(F.col("title")).alias("version_label"),
+            *unit, "title", version_label(F.col("title")).alias("version_label"),
             pdf_url(F.col("attachment_urls")).alias("pdf_url"), "item_type",
         ).alias("first"),
     )
@@ -166,22 +167,22 @@ def _last_types(known: DataFrame, taken: DataFrame) -> DataFrame:
     )
 
 
-def _tallies(items: DataFrame, editions: DataFrame, firsts: DataFrame) -> DataFrame:
-    seen = items.groupBy("agency_id", "config_id").agg(
+def _tallies(items: DataFrame, editions: DataFrame, firsts: DataFrame, unit: list[str]) -> DataFrame:
+    seen = items.groupBy(*unit).agg(
         F.count("*").alias("found"),
         F.count_if(~F.col("accepted")).alias("filtered"),
         F.count_if("scored").alias("llm_classified"),
     )
-    kept = editions.groupBy("agency_id", "config_id").agg(F.count("*").alias("kept"))
-    new = firsts.groupBy("agency_id", "config_id").agg(F.count("*").alias("new"))
+    kept = editions.groupBy(*unit).agg(F.count("*").alias("kept"))
+    new = firsts.groupBy(*unit).agg(F.count("*").alias("new"))
     zero = F.lit(0).cast("bigint")
     return (
-        seen.join(kept, ["agency_id", "config_id"], "left")
-        .join(new, ["agency_id", "config_id"], "left")
+        seen.join(kept, unit, "left")
+        .join(new, unit, "left")
         .withColumn("new", F.coalesce("new", zero))
         .withColumn("kept", F.coalesce("kept", zero))
         .select(
-            "agency_id", "config_id", "found", "new", (F.col("kept") - F.col("new")).alias("updated"),
+            *unit, "found", "new", (F.col("kept") - F.col("new")).alias("updated"),
             (F.col("found") - F.col("filtered") - F.col("kept")).alias("skipped"), "filtered", "llm_classified",
         )
     )
@@ -190,10 +191,10 @@ def _tallies(items: DataFrame, editions: DataFrame, firsts: DataFrame) -> DataFr
 def with_ids(rows: DataFrame, last_id: int, name: str = "id") -> DataFrame:
     """Number `rows` densely from `last_id + 1` without bringing them to one task.
 
-    Rows are staged, so partitions and their order stay put; only one count per partition is summed up.
-    Write the result before using it twice.
+    Each row's place is stored with it, so both reads see the same, however the files are cut into tasks; only one
+    count per partition is summed up. Write the result before using it twice.
     """
-    placed = stage(rows).withColumn("_at", F.monotonically_increasing_id())
+    placed = stage(rows.withColumn("_at", F.monotonically_increasing_id()))
     placed = placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_pos", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (

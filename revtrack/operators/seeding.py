@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import fixed_values as fv
 from ..functions.rules import basis_type
@@ -20,13 +21,20 @@ def _stamped(df: DataFrame, at: datetime) -> DataFrame:
     return df.withColumn("created_at", F.lit(at)).withColumn("updated_at", F.lit(at))
 
 
+def _first_in_load(marked: DataFrame, keys: list[str]) -> DataFrame:
+    """Mark every row but the first of equal keys as existing, as if each had been looked up after the one before."""
+    first = Window.partitionBy(*keys).orderBy("_at")
+    return marked.withColumn("exists", F.col("exists") | (F.row_number().over(first) > 1)).drop("_at")
+
+
 def seed_agencies(store: Store, publishers: DataFrame, at: datetime) -> DataFrame:
     """Store publishers whose code is new, with their targets as configs; returns the tally.
 
     Configs of a seeded publisher are of type guideline, whatever the registry says of the target.
     """
     batch = store.last_batch() + 1
-    marked = stage(mark_existing(publishers, store.read("agencies"), ["code"]))
+    placed = stage(publishers.withColumn("_at", F.monotonically_increasing_id()))
+    marked = stage(_first_in_load(mark_existing(placed, store.read("agencies"), ["code"]), ["code"]))
     new = marked.where(~F.col("exists"))
     agencies = store.write("agencies", with_ids(_stamped(new.drop("targets", "exists"), at), store.last_id("agencies")), batch)
     configs = (
@@ -44,20 +52,22 @@ def seed_agencies(store: Store, publishers: DataFrame, at: datetime) -> DataFram
 def seed_documents(store: Store, documents: DataFrame, at: datetime, alike: bool) -> DataFrame:
     """Store curated documents with their first version unless already there; returns the tally.
 
-    `alike` compares by the first 30 characters anywhere in a stored title, otherwise by equal title.
+    `alike` compares by the first 30 characters anywhere in a stored title, otherwise by equal title. Of rows of the
+    load with an equal title (`alike`: equal first 30 characters) the first decides. A version belongs to its document by
+    number, so documents may share a title or have no url.
     """
     batch = store.last_batch() + 1
     stored = store.read("guidelines")
-    keyed = documents.withColumn("key", F.xxhash64("agency_id", "title", "source_url"))
-    marked = stage(
-        mark_titled_alike(keyed, stored, "key") if alike else mark_existing(keyed, stored, ["agency_id", "title"])
-    )
+    keyed = stage(documents.withColumn("_at", F.monotonically_increasing_id()))
+    marked = mark_titled_alike(keyed, stored, "_at") if alike else mark_existing(keyed, stored, ["agency_id", "title"])
+    head = F.lower(F.substring("title", 1, 30)) if alike else F.col("title")
+    marked = stage(_first_in_load(marked.withColumn("_head", head), ["agency_id", "_head"]).drop("_head"))
     new = marked.where(~F.col("exists")).select(documents.columns)
     rows = _stamped(new.withColumn("item_type", F.lit("guideline")), at).withColumn("norm_title", normalize_title(F.col("title")))
-    guidelines = store.write("guidelines", with_ids(rows, store.last_id("guidelines")), batch)
-    owners = guidelines.select("agency_id", "title", "source_url", F.col("id").alias("guideline_id"))
-    versions = new.join(owners, ["agency_id", "title", "source_url"]).select(
-        "guideline_id", "version_label", "published_date", "change_summary", F.lit(at).alias("detected_at")
+    numbered = stage(with_ids(rows, store.last_id("guidelines")))
+    store.write("guidelines", numbered, batch)
+    versions = numbered.select(
+        F.col("id").alias("guideline_id"), "version_label", "published_date", "change_summary", F.lit(at).alias("detected_at")
     )
     store.write("guideline_versions", with_ids(versions, store.last_id("guideline_versions")), batch)
     store.commit(batch, at)

@@ -6,6 +6,7 @@ so a report over the same tables always gives the same rows.
 
 from __future__ import annotations
 
+import re
 from datetime import date, datetime
 from functools import reduce
 
@@ -25,7 +26,8 @@ def _agencies(agencies: DataFrame) -> DataFrame:
 
 
 def _search(q: str) -> Column:
-    pattern = f"%{q.strip()}%"
+    # `%` and `_` are wildcards; a backslash that escapes neither stands for nothing, as in lookups.
+    pattern = "%" + re.sub(r"\\(?![%_\\])", "", q.strip()) + "%"
     return F.col("title").ilike(pattern) | F.col("agency_name").ilike(pattern)
 
 
@@ -67,6 +69,9 @@ def list_guidelines(
         out = out.where(F.col("item_type") == item_type)
     if q:
         out = out.where(_search(q))
+    if agency_code or category or item_type or q:
+        # Only the history of the documents asked for is added up.
+        versions = versions.join(out.select(F.col("id").alias("guideline_id")), "guideline_id", "left_semi")
     totals = version_totals(versions).withColumnRenamed("guideline_id", "id")
     out = (
         out.join(totals, "id", "left")
@@ -328,25 +333,25 @@ def category_map(guidelines: DataFrame) -> DataFrame:
 def latest_bases(bases: DataFrame, agencies: DataFrame, n: int = 10) -> DataFrame:
     """The `n` bases stored last (Q11).
 
-    Every basis has an agency (a table contract), so the limit may come before the join.
+    Bases without an agency do not count.
     """
     return (
-        bases.orderBy(F.desc("created_at"), F.desc("id"))
+        bases.join(_agencies(agencies), "agency_id")
+        .orderBy(F.desc("created_at"), F.desc("id"))
         .limit(n)
-        .join(_agencies(agencies), "agency_id")
         .select("id", "title", "basis_type", "agency_name", iso_date(F.col("promulgation_date")).alias("promulgation_date"), "created_at")
     )
 
 
 def latest_versions(versions: DataFrame, guidelines: DataFrame, agencies: DataFrame, n: int = 10) -> DataFrame:
-    """The `n` versions detected last (Q11); limited before the joins like `latest_bases`."""
+    """The `n` versions detected last (Q11); those without a document or agency do not count."""
     documents = guidelines.select(F.col("id").alias("guideline_id"), "agency_id", "title")
     return (
         versions.select("id", "guideline_id", "version_label", "published_date", "pdf_url", "detected_at")
-        .orderBy(F.desc("detected_at"), F.desc("id"))
-        .limit(n)
         .join(documents, "guideline_id")
         .join(_agencies(agencies), "agency_id")
+        .orderBy(F.desc("detected_at"), F.desc("id"))
+        .limit(n)
         .select("id", "guideline_id", "title", "agency_name", "version_label", "published_date", "pdf_url", "detected_at")
     )
 

@@ -56,7 +56,7 @@ GAP_ANALYSIS = _table(
 
 RAW_PAGES = _table(
     ("config_id", _L), ("agency_code", _S), ("page_num", _I), ("url", _S), ("http_status", _I),
-    ("body", _S, True), ("fetched_at", _TS),
+    ("body", _S, True), ("fetched_at", _TS), ("crawl_id", _S, True),
 )
 ITEMS = _table(
     ("run_id", _S), ("config_id", _L), ("agency_id", _L), ("seq", _L), ("title", _S), ("url", _S),

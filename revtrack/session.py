@@ -50,13 +50,3 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/revtrack/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Deal the rows of a table scan out evenly when it has fewer tasks than there are cores.
-
-    For parsing and pattern work, which costs far more than moving a few small files. A scan with
-    enough tasks - any large table - is returned as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

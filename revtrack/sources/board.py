@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,21 +47,21 @@ def board_page(
     return let(F.transform(blocks, post), kept)
 
 
-def frontier(pages: DataFrame) -> DataFrame:
-    """Per config the first page that failed or matched nothing; pages from there on do not count.
+def frontier(pages: DataFrame, unit: Sequence[str] = ("config_id",)) -> DataFrame:
+    """Per crawl the first page that failed or matched nothing; pages from there on do not count.
 
-    Wants `config_id, page_num, http_status, matched`; configs read to their end are absent.
+    Wants `unit` (what names one visit of a listing), `page_num, http_status, matched`; listings read to their end are absent.
     """
     stop = F.when((F.col("http_status") != 200) | (F.col("matched") == 0), F.col("page_num"))
     return (
-        pages.groupBy("config_id").agg(F.min(stop).alias("stop_page")).where(F.col("stop_page").isNotNull())
+        pages.groupBy(*unit).agg(F.min(stop).alias("stop_page")).where(F.col("stop_page").isNotNull())
     )
 
 
-def followed(pages: DataFrame) -> DataFrame:
+def followed(pages: DataFrame, unit: Sequence[str] = ("config_id",)) -> DataFrame:
     """The pages of each listing that come before its frontier."""
     return (
-        pages.join(frontier(pages), "config_id", "left")
+        pages.join(frontier(pages, unit), list(unit), "left")
         .where(F.col("stop_page").isNull() | (F.col("page_num") < F.col("stop_page")))
         .drop("stop_page")
     )

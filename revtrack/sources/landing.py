@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
+from ..operators.quality import add_missing_columns
 from ..schemas import RAW_PAGES
-from ..session import spread
 from .board import board_page
 from .detail import detail_page
 from .feed import feed_page
@@ -73,6 +73,8 @@ def extract_pages(
     by its own extractor. Pages of an unknown config or agency come back with an error and no agency.
     """
     spark = pages.sparkSession
+    # A landing without crawl ids has one crawl of a config per day.
+    landed = add_missing_columns(pages, RAW_PAGES, {}).withColumn("crawl_id", F.coalesce("crawl_id", F.date_format("fetched_at", "yyyy-MM-dd")))
     detail = detail_profiles(spark) if detail is None else detail
     publications = page_profiles(spark) if publications is None else publications
     known = (
@@ -103,17 +105,17 @@ def extract_pages(
         .when(c("route") == "bbs_list", failed(F.lit(None)))
         .when((c("route") == "detail") & ok, detail_page(body, c("page_num"), c("keywords"), c("detail")))
         .when(c("route") == "detail", failed(F.lit(None)))
-        .when(c("route") == "law_api", law_page(body, c("http_status"), own, F.try_element_at(own, c("page_num"))))
+        .when(c("route") == "law_api", law_page(body, c("http_status"), own, F.when(c("page_num") > 0, F.try_element_at(own, c("page_num")))))
         .when(c("route").isNull(), failed(F.concat(F.lit("Unsupported source type: "), F.coalesce(c("source_type"), F.lit("none")))))
         .when(~ok, failed(http_error))
         .when(c("route") == "publications", publications_page(body, c("url"), c("keywords"), c("publication")))
         .when(c("route") == "rss", feed_page(body, c("keywords")))
     )
     return (
-        spread(pages).join(known, "config_id", "left")
+        landed.join(known, "config_id", "left")
         .withColumn("found", found.cast(PAGE_TYPE))
         .select(
             "config_id", "agency_id", "agency_code", "agency_name", "label", "item_type", "route", "page_num", "max_pages",
-            "url", "http_status", "fetched_at", "found.*",
+            "url", "http_status", "fetched_at", "crawl_id", "found.*",
         )
     )

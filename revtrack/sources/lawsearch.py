@@ -82,7 +82,7 @@ def admin_rules(pages: DataFrame, max_results: int = 30) -> DataFrame:
         *[x for code, terms in fv.LAW_SEARCH_TERMS.items() for x in (F.lit(code), F.array(*[F.lit(t) for t in terms]))]
     )
     own = F.coalesce(F.try_element_at(names, F.col("agency_code")), F.array().cast("array<string>"))
-    term = F.try_element_at(own, F.col("page_num"))
+    term = F.when(F.col("page_num") > 0, F.try_element_at(own, F.col("page_num")))
     known = pages.where(F.size(own) > 0)
     refused = known.where(search_error(F.col("body"), F.col("http_status")).isNotNull()).select("agency_code").distinct()
     rules = (

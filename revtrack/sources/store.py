@@ -26,6 +26,19 @@ _TYPE_CHANGES = T.StructType(
         T.StructField("updated_at", T.TimestampType()),
     ]
 )
+_PAGE_ERRORS = T.StructType(
+    [
+        T.StructField("config_id", T.LongType()),
+        T.StructField("crawl_id", T.StringType()),
+        T.StructField("agency_code", T.StringType()),
+        T.StructField("page_num", T.IntegerType()),
+        T.StructField("url", T.StringType()),
+        T.StructField("fetched_at", T.TimestampType()),
+        T.StructField("error", T.StringType()),
+    ]
+)
+# Datasets beside the tables: changes merged in on reading, and pages that no config owns.
+_OWN = {"guideline_types": _TYPE_CHANGES, "page_errors": _PAGE_ERRORS}
 _COMMITS = T.StructType(
     [
         T.StructField("batch", T.LongType()),
@@ -52,8 +65,8 @@ class Store:
         self.root = root.rstrip("/")
 
     def _schema(self, name: str) -> T.StructType:
-        if name == "guideline_types":
-            return _TYPE_CHANGES
+        if name in _OWN:
+            return _OWN[name]
         schema = STORE[name]
         return T.StructType([*schema.fields, _TITLE_KEY]) if name == "guidelines" else schema
 
@@ -123,9 +136,11 @@ class Store:
         row.write.mode("append").parquet(f"{self.root}/_commits")
 
     def compact(self, root: str, at: datetime) -> Store:
-        """The current state as batch 0 of a new store at `root`."""
+        """The current state as batch 0 of a new store at `root`, which still knows every run this one holds."""
         target = Store(self.spark, root)
-        for name in STORE:
+        for name in (*STORE, "page_errors"):
             target.write(name, self.read(name), 0)
+        runs = self._commits().where(F.col("source").isNotNull()).select(F.lit(0).cast("bigint").alias("batch"), F.lit(at).alias("committed_at"), "source", "source_batch")
+        runs.distinct().coalesce(1).write.mode("append").parquet(f"{target.root}/_commits")
         target.commit(0, at)
         return target

@@ -66,7 +66,7 @@ def _pages(spark, store):
         (cid("KCC", law), "KCC", 1, law, 200, '{"result":"사용자 정보 검증에 실패하였습니다."}'),
         (999, "XXX", 1, "x", 200, "x"),
     ]
-    return spark.createDataFrame([(*r, DAY) for r in rows], RAW_PAGES)
+    return spark.createDataFrame([(*r, DAY, None) for r in rows], RAW_PAGES)
 
 
 def test_routes(spark, seeded):
@@ -74,7 +74,7 @@ def test_routes(spark, seeded):
     counts = {r.route: r["count"] for r in routed.groupBy("route").count().collect()}
     assert counts == {"publications": 2, "detail": 2, "rss": 2, "law_api": 2, "bbs_list": 19}
     odd = seeded.read("crawl_configs").withColumn("source_type", F.lit("ftp")).where("url like '%2060204'")
-    row = extract_pages(spark.createDataFrame([(r.id, "KISA", 1, "x", 200, "x", DAY) for r in odd.collect()], RAW_PAGES), odd, seeded.read("agencies")).first()
+    row = extract_pages(spark.createDataFrame([(r.id, "KISA", 1, "x", 200, "x", DAY, "c") for r in odd.collect()], RAW_PAGES), odd, seeded.read("agencies")).first()
     assert row.error == "Unsupported source type: ftp"
 
 
@@ -156,6 +156,10 @@ def test_ingest_replay_and_stream(spark, seeded, tmp_path):
 
     compacted = second.compact(str(tmp_path / "c"), DAY)
     assert by_code(compacted) == by_code(first)
+    # A repeated micro-batch stays recognised.
+    assert all(compacted.holds(("landing", i)) for i in range(3)) and not compacted.holds(("landing", 3))
+    assert ingest(compacted, pages, DAY, ("landing", 1)) is None
+    assert {r.error for r in compacted.read("page_errors").collect()} == {"no active config for XXX"}
 
 
 def test_type_of_a_stored_document_follows_the_last_source(spark, seeded, tmp_path):
@@ -179,6 +183,51 @@ def test_type_of_a_stored_document_follows_the_last_source(spark, seeded, tmp_pa
     assert kept["보안 안내서 2025"] == ("announcement", DAY, later)
 
 
+def test_a_batch_may_hold_several_crawls_of_a_config(spark, seeded, tmp_path):
+    """A failed visit takes nothing from a later one, and every visit is a run of its own."""
+    store = Store(spark, str(tmp_path / "s"))
+    seed_agencies(store, registry.publishers(spark), DAY)
+    config = store.read("crawl_configs").where(F.col("url") == KISA).first().id
+    later = datetime(2026, 5, 2, 6)
+    rows = [
+        (config, "KISA", 1, KISA, 503, None, DAY, "one"),
+        (config, "KISA", 1, KISA, 200, _rows(("보안 안내서 2025", "v?n=1", "2026-04-01"), ("점검표", "v?n=4", "")), later, "two"),
+    ]
+    for crawls in (("one", "two"), (None, None)):  # named, or told apart by their days
+        store = Store(spark, str(tmp_path / f"s{crawls[0]}"))
+        seed_agencies(store, registry.publishers(spark), DAY)
+        pages = spark.createDataFrame([(*r[:7], c) for r, c in zip(rows, crawls)], RAW_PAGES)
+        ingest(store, pages, datetime(2026, 5, 9))
+        assert {(r.title) for r in store.read("guidelines").collect()} == {"보안 안내서 2025", "점검표"}
+        # The undated post has the day of its own crawl, not of the batch.
+        assert {r.published_date for r in store.read("guideline_versions").collect()} == {date(2026, 4, 1), date(2026, 5, 2)}
+        runs = [(r.status, r.items_found, r.items_new, r.error_message) for r in store.read("crawl_runs").orderBy("started_at").collect()]
+        assert runs == [("failed", 0, 0, "Page 1 fetch failed: HTTP 503"), ("success", 2, 2, None)]
+
+
+def test_equal_documents_of_one_load_are_stored_once(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    schema = "agency_id long, title string, source_url string, category string, version_label string, published_date date, change_summary string"
+    rows = [(1, "같은 문서", "u", "ai", "v1", date(2026, 1, 1), None), (1, "같은 문서", "u", "ai", "v2", date(2026, 2, 1), None), (2, "url 없는 문서", None, "ai", "v1", date(2026, 1, 1), None)]
+    for alike in (True, False):
+        store = Store(spark, str(tmp_path / str(alike)))
+        assert tuple(seed_documents(store, spark.createDataFrame(rows, schema).coalesce(1), DAY, alike).first()) == (3, 2, 1)
+        owners = {r.guideline_id for r in store.read("guideline_versions").collect()}
+        assert store.read("guidelines").count() == 2 and store.read("guideline_versions").count() == 2 and len(owners) == 2
+
+
+def test_ids_do_not_depend_on_how_files_are_cut(spark):
+    from revtrack.operators.merge import with_ids
+
+    rows = with_ids(spark.range(1000).toDF("value").repartition(5), 10)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        assert sorted(r.id for r in rows.collect()) == list(range(11, 1011))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_uncommitted_batches_stay_invisible(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     assert store.last_batch() == -1 and store.read("agencies").count() == 0

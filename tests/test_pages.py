@@ -48,6 +48,11 @@ def test_law_url(evaluate):
     ]
 
 
+def test_references_are_read_once_and_bounded(evaluate):
+    values = ["&#1114112;&#x110000;&#55357;&#0;", "&#38;lt; &amp;lt;", "a&sect;b&rarr;c&euro;", "&#xAC00;&#128512;", "&nosuch; & &;&&amp;"]
+    assert evaluate(html.unescape, values) == ["\ufffd" * 4, "&lt; &lt;", "a§b→c€", "가😀", "&nosuch; & &;&&"]
+
+
 def test_unescape(evaluate):
     values = ["a &amp;lt; b", "&#44032;&#xAC01;&#128512;", "&lt;p&gt; &#x; &# &unknown;", "R&D"]
     assert evaluate(html.unescape, values) == ["a &lt; b", "가각😀", "<p> &#x; &# &unknown;", "R&D"]
@@ -122,6 +127,23 @@ ATOM = """<feed xmlns="http://www.w3.org/2005/Atom"><title>f</title><entry><titl
 <updated>2026-04-15T01:00:00Z</updated><category term="보안"/></entry></feed>"""
 
 
+def test_broken_feeds_keep_their_entries(spark):
+    head, tail = '<rss version="2.0"><channel><title>c</title>', "</channel></rss>"
+    one = lambda title, n=1: f"<item><title>{title}</title><link>http://h/{n}?a=1&b=2</link></item>"
+    atom = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>가 &nbsp;나 & 다</title><link href="http://h/9"/></entry><entry><title>cut'
+    bodies = [
+        head + one("A & B") + one("C", 2) + tail, head + one("A&nbsp;B &sect; &#167; &#0;") + tail, head + one("끝") + "<item><title>cut",
+        head + one("<![CDATA[A & B <b>]]> & &lt;C&gt;") + tail, atom, head + "<item><title>", head + one("&#60;i&#62; &#38;amp;") + tail,
+    ]
+    df = spark.createDataFrame(list(enumerate(bodies)), "i int, b string").repartition(2)
+    none = F.array().cast("array<string>")
+    got = [([x.title for x in r.p["items"] or []], r.p.error) for r in df.select("i", feed_page(F.col("b"), none).alias("p")).orderBy("i").collect()]
+    assert got == [
+        (["A & B", "C"], None), (["A\xa0B § § \ufffd"], None), (["끝"], None), (["A & B <b> & <C>"], None), (["가 \xa0나 & 다"], None),
+        ([], "feed could not be parsed"), (["<i> &amp;"], None),
+    ]
+
+
 def test_feeds(spark):
     df = spark.createDataFrame([(0, RSS, []), (1, ATOM, []), (2, RSS, ["가이드라인"]), (3, "<rss><channel><item>", []), (4, "<rss><channel/></rss>", [])], "i int, b string, k array<string>")
     got = [r.p for r in df.repartition(2).select("i", feed_page(F.col("b"), F.col("k")).alias("p")).orderBy("i").collect()]

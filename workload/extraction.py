@@ -8,20 +8,20 @@ from pyspark.sql import functions as F
 from revtrack import fixed_values as fv
 from revtrack.functions import html, urls
 from revtrack.operators.pick import first_per_url
-from revtrack.session import spread, stage
+from revtrack.session import stage
 from revtrack.sources import detail, lawsearch, registry
 from revtrack.sources.board import board_page, followed, frontier
 from revtrack.sources.feed import feed_page
 from revtrack.sources.publications import publications_page
 
-from .roles import Tables
+from .roles import Tables, dealt
 from .titles import _q
 
 _NONE = "array<string>"
 
 
 def _pages(t: Tables) -> DataFrame:
-    return spread(t.raw("pages"))
+    return dealt(t.raw("pages"))
 
 
 def _no_keywords():
@@ -67,7 +67,7 @@ stops AS (SELECT config_id, min(page_num) AS stop_page FROM listing WHERE matche
 
 
 def _orders_body(t: Tables, expr: str) -> DataFrame:
-    return spread(t.raw("orders")).selectExpr("*", f"{expr} AS body")
+    return dealt(t.raw("orders")).selectExpr("*", f"{expr} AS body")
 
 
 _FEED = """concat('<rss version="2.0"><channel><title>c</title><item><title> order ', CAST(o_orderkey AS STRING), ' &amp; ', o_orderpriority, ' </title><link>http://h/', CAST(o_custkey AS STRING),
@@ -111,7 +111,7 @@ def _publication_profile() -> F:
 
 
 def _law_pages(t: Tables) -> DataFrame:
-    return spread(t.raw("part")).selectExpr(f"{_LAW_AGENCY} AS agency_code", "CAST(p_partkey AS INTEGER) AS page_num", "200 AS http_status", f"{_LAW} AS body")
+    return dealt(t.raw("part")).selectExpr(f"{_LAW_AGENCY} AS agency_code", "CAST(p_partkey AS INTEGER) AS page_num", "200 AS http_status", f"{_LAW} AS body")
 
 
 def _law_rows(t: Tables) -> DataFrame:

@@ -10,13 +10,17 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revtrack.session import spread
 
 DAY = date(2001, 8, 1)
 NOW = datetime(2024, 2, 13)
 BASE = "https://posts.example"
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt out over all cores before bodies are made from them and parsed."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 class Tables:
     """Lazy access to one scale factor's tables, in the roles the library knows."""
 
@@ -30,7 +34,7 @@ class Tables:
         """A role written in SQL both engines read alike, over the raw tables."""
         tables = {t: self.raw(t) for t in ROLE_TABLES[name]}
         if name == "posts":
-            tables["orders"] = spread(tables["orders"])
+            tables["orders"] = dealt(tables["orders"])
         return self.spark.sql(sql, **tables)
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -95,7 +99,7 @@ def with_roles(*names: str, body: str) -> str:
 def lines(t: Tables) -> DataFrame:
     """Every line of every document as a titled post."""
     return (
-        spread(t.raw("documents"))
+        dealt(t.raw("documents"))
         .select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("line_no", "title"))
         .withColumn("agency_id", F.regexp_extract("source", r"(\d+)", 1).cast("bigint"))
     )
