@@ -21,7 +21,11 @@ BATCH_BYTES = 16 << 20
 
 
 def configure_batches(spark: SparkSession) -> SparkSession:
-    """Bound what one Python worker holds at a time."""
+    """Bound what one Python worker holds at a time, and drop shuffle files as soon as their statement is done.
+
+    Results that are used again are stored tables (see `stage`), so nothing reads those files later.
+    """
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark

@@ -128,12 +128,13 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", perc
     nodes = measured.where(F.col("chunk").isNull()).select("doc_id", "n", "set")
     table = spark.sparkContext.broadcast(count_table(measured))
     shared = stage(_shared_tokens(docs, doc_id, text, table, percent))
-    sets = stage(_wanted_sets(docs, doc_id, text, nodes, shared, table, percent))
+    sets = stage(_wanted_sets(docs, doc_id, text, nodes, shared))
     stars = shared.where("set <> leader").select(F.col("leader").alias("a"), F.col("set").alias("b")).distinct()
-    led = stage(_verified(stars, sets, percent))
+    led = stage(_verified(stars, sets, table, percent))
     links = led.where("linked").select("a", "b")
     label = components(links)
-    more = stage(_verified(_rest(shared, led, label, percent), sets, percent)).where("linked").select("a", "b")
+    sizes = nodes.where(F.col("set").isNotNull()).groupBy("set").agg(F.max("n").alias("n"))
+    more = stage(_verified(_rest(shared, led, label, sizes, percent), sets, table, percent)).where("linked").select("a", "b")
     label = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
     # From sets back to documents: one row per distinct set, then one per document.
     own = nodes.where(F.col("set").isNotNull()).groupBy("set").agg(F.min("doc_id").alias("least"))
@@ -162,31 +163,30 @@ def representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
 
 def _shared_tokens(docs: DataFrame, doc_id: str, text: str, table, percent: int) -> DataFrame:
-    """`token, set, n, leader, n_leader`: prefix tokens of the first order that at least two sets have."""
+    """`token, set, leader`: prefix tokens of the first order that at least two sets have; the smallest set leads."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            tokens, ids, sizes, seen = [], [], [], set()
+            tokens = {}
             for raw in batch["raw"]:
                 own = shingles(raw)
-                if not len(own) or (key := set_id(own)) in seen:
-                    continue
-                seen.add(key)
-                tokens.append(prefix(own, table.value, 1, percent))
-                ids.append(key)
-                sizes.append(len(own))
-            times = [len(t) for t in tokens]
-            found = np.concatenate(tokens).view(np.int64) if tokens else np.zeros(0, np.int64)
-            yield pd.DataFrame({"token": found, "set": np.repeat(np.array(ids, np.int64), times), "n": np.repeat(np.array(sizes, np.int32), times)})
-
-    rows = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw")).mapInPandas(run, "token long, set long, n int")
+                if len(own) and (key := set_id(own)) not in tokens:
+                    tokens[key] = prefix(own, table.value, 1, percent)
+            found = np.concatenate(list(tokens.values())).view(np.int64) if tokens else np.zeros(0, np.int64)
+            yield pd.DataFrame({"token": found, "set": np.repeat(np.array(list(tokens), np.int64), [len(t) for t in tokens.values()])})
+
+    rows = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw")).mapInPandas(run, "token long, set long")
     each = Window.partitionBy("token")
-    known = rows.withColumn("_lead", F.min(F.struct("n", "set")).over(each)).withColumn("_top", F.max("set").over(each)).withColumn("_low", F.min("set").over(each))
-    return known.where("_low <> _top").select("token", "set", "n", F.col("_lead.set").alias("leader"), F.col("_lead.n").alias("n_leader"))
+    known = rows.withColumn("leader", F.min("set").over(each)).withColumn("_top", F.max("set").over(each))
+    return known.where("leader <> _top").drop("_top")
+
 
+def _wanted_sets(docs: DataFrame, doc_id: str, text: str, nodes: DataFrame, shared: DataFrame) -> DataFrame:
+    """`set, tokens` of at least the sets that share a token; read from one document each, picked by a filter of fixed size.
 
-def _wanted_sets(docs: DataFrame, doc_id: str, text: str, nodes: DataFrame, shared: DataFrame, table, percent: int) -> DataFrame:
-    """`set, tokens, prefixes` of the sets that share a token; read from one document each, picked by a filter of fixed size."""
+    A set may come more than once (ids that are not unique) and others may be among them (chance hits of the filter): both
+    go when the table is joined with pairs and links are made distinct.
+    """
     spark = docs.sparkSession
     wanted = shared.select("set").distinct()
     first = nodes.where(F.col("set").isNotNull()).groupBy("set").agg(F.min("doc_id").alias("doc_id")).join(wanted, "set", "left_semi")
@@ -207,11 +207,11 @@ def _wanted_sets(docs: DataFrame, doc_id: str, text: str, nodes: DataFrame, shar
             for raw in batch["raw"][hit.astype(bool)]:
                 own = shingles(raw)
                 if len(own) and (key := set_id(own)) not in found:
-                    found[key] = own.tobytes(), b"".join(np.sort(prefix(own, table.value, k, percent)).tobytes() for k in range(2, ORDERS + 1))
-            yield pd.DataFrame({"set": list(found), "tokens": [t for t, _ in found.values()], "prefixes": [p for _, p in found.values()]})
+                    found[key] = own.tobytes()
+            yield pd.DataFrame({"set": list(found), "tokens": list(found.values())})
 
     rows = docs.select(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1 << FILTER_BITS)).alias("c"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"))
-    return rows.mapInPandas(run, "set long, tokens binary, prefixes binary").join(wanted, "set", "left_semi").dropDuplicates(["set"])
+    return rows.mapInPandas(run, "set long, tokens binary")
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -222,40 +222,38 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, table, percent: int) -> DataFrame:
     """`a, b, linked, distance` of pairs of sets. The distance is null where a filter has already told that there is no link."""
 
+    def compare_one(a: np.ndarray, b: np.ndarray) -> tuple[bool, float | None]:
+        if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+            return False, None
+        # Under every other order the two must share a prefix token as well.
+        for order in range(2, ORDERS + 1):
+            if not _overlap(np.sort(prefix(a, table.value, order, percent)), np.sort(prefix(b, table.value, order, percent))):
+                return False, None
+        common = _overlap(a, b)
+        union = len(a) + len(b) - common
+        return 100 * common >= percent * union, 1 - common / union
+
     @F.pandas_udf("linked boolean, distance double")
-    def compare(a: pd.Series, pa: pd.Series, b: pd.Series, pb: pd.Series) -> pd.DataFrame:
-        linked, distance = [], []
-        for ta, xa, tb, xb in zip(a, pa, b, pb):
-            sa, sb = np.frombuffer(ta, np.uint64), np.frombuffer(tb, np.uint64)
-            la, lb = (prefix_length(len(s), percent) for s in (sa, sb))
-            ka, kb = np.frombuffer(xa, np.uint64), np.frombuffer(xb, np.uint64)
-            near = 100 * min(len(sa), len(sb)) >= percent * max(len(sa), len(sb))
-            # Under every other order the two must share a prefix token as well.
-            if near and all(_overlap(ka[k * la : (k + 1) * la], kb[k * lb : (k + 1) * lb]) for k in range(ORDERS - 1)):
-                common = _overlap(sa, sb)
-                union = len(sa) + len(sb) - common
-                linked.append(100 * common >= percent * union)
-                distance.append(1 - common / union)
-            else:
-                linked.append(False)
-                distance.append(None)
-        return pd.DataFrame({"linked": linked, "distance": pd.array(distance, "Float64")})
-
-    of = lambda side: sets.select(F.col("set").alias(side), F.col("tokens").alias(f"t{side}"), F.col("prefixes").alias(f"p{side}"))
+    def compare(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        told = [compare_one(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b)]
+        return pd.DataFrame({"linked": [t[0] for t in told], "distance": pd.array([t[1] for t in told], "Float64")})
+
+    of = lambda side: sets.select(F.col("set").alias(side), F.col("tokens").alias(f"t{side}"))
     joined = pairs.join(of("b"), "b").join(of("a"), "a")
-    return joined.select("a", "b", compare("ta", "pa", "tb", "pb").alias("v")).select("a", "b", "v.linked", "v.distance")
+    return joined.select("a", "b", compare("ta", "tb").alias("v")).select("a", "b", "v.linked", "v.distance")
 
 
-def _rest(shared: DataFrame, led: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+def _rest(shared: DataFrame, led: DataFrame, label: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Pairs `a, b` of sets that share a token, are in different classes so far, and may yet be linked."""
-    known = shared.join(led.select(F.col("a").alias("leader"), F.col("b").alias("set"), "distance"), ["leader", "set"], "left")
-    known = known.where("set <> leader").join(label.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))
-    known = known.select("token", "set", "n", "distance", "label").distinct()
+    known = shared.where("set <> leader").join(label.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))
     each = Window.partitionBy("token")
+    # Most tokens have one class by now and need no further look.
     open_ = known.withColumn("_least", F.min("label").over(each)).withColumn("_most", F.max("label").over(each)).where("_least <> _most").drop("_least", "_most")
+    open_ = open_.join(led.select(F.col("a").alias("leader"), F.col("b").alias("set"), "distance").distinct(), ["leader", "set"], "left").join(sizes, "set")
+    open_ = stage(open_.select("token", "set", "n", "distance", "label").distinct())
     other = open_.select("token", *(F.col(c).alias(f"o_{c}") for c in ("set", "n", "distance", "label")))
     apart = F.abs(F.col("distance") - F.col("o_distance"))
     return open_.join(other, "token").where(
