@@ -7,8 +7,10 @@ different in each order. The first order yields candidates; a candidate must als
 its sets are compared.
 
 The result is each document's class: what is reachable over links. Tokens that very many sets share are not paired up. For
-each token the smallest set leads: every other one is compared with it. Jaccard distance is a metric, so of the sets that
-are not yet in one class only those are compared whose distances to the leader differ by no more than the threshold.
+each token the smallest set leads and every other one is compared with it; then, where a token still has several classes, its
+sets are compared with others drawn by hash. What is left is compared pair by pair: sets of one token and different classes
+whose sizes and positions of the first common token fit and, since Jaccard distance is a metric, whose distances to the
+leader differ by no more than the threshold.
 No link between classes is lost, and a group of near copies costs as many comparisons as it has members.
 
 Cases: a text without words (or null) has an empty set and is linked with nothing; a text with fewer words than a shingle is
@@ -33,7 +35,9 @@ from .common import stage
 WIDTH, PERCENT = 5, 75
 ORDERS = 3
 # Cells of the token count table that every task gets (a byte each), and rows that it travels in.
-COUNT_BITS, CHUNKS = 21, 64
+COUNT_BITS, CHUNKS = 24, 256
+# Turns in which sets of a token meet one of them, drawn anew, before the pairs that are left are compared.
+TURNS = 2
 # Bits of the filter that picks the documents whose sets are wanted.
 FILTER_BITS = 24
 
@@ -71,11 +75,12 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def prefix(tokens: np.ndarray, counts: np.ndarray, order: int, percent: int = PERCENT) -> np.ndarray:
-    """The first tokens of a set under one of the global orders."""
+    """The first tokens of a set under one of the global orders, in that order."""
     k = prefix_length(len(tokens), percent)
     rare = counts[(tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64)].astype(np.uint64)
     place = (rare << np.uint64(56)) | (_mix(tokens + _ODD[order]) >> np.uint64(8))
-    return tokens[np.argpartition(place, k - 1)[:k]] if k < len(tokens) else tokens
+    first = np.argpartition(place, k - 1)[:k]
+    return tokens[first[np.argsort(place[first])]]
 
 
 def measure(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -129,13 +134,15 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", perc
     table = spark.sparkContext.broadcast(count_table(measured))
     shared = stage(_shared_tokens(docs, doc_id, text, table, percent))
     sets = stage(_wanted_sets(docs, doc_id, text, nodes, shared))
-    stars = shared.where("set <> leader").select(F.col("leader").alias("a"), F.col("set").alias("b")).distinct()
-    led = stage(_verified(stars, sets, table, percent))
-    links = led.where("linked").select("a", "b")
-    label = components(links)
-    sizes = nodes.where(F.col("set").isNotNull()).groupBy("set").agg(F.max("n").alias("n"))
-    more = stage(_verified(_rest(shared, led, label, sizes, percent), sets, table, percent)).where("linked").select("a", "b")
-    label = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
+    sizes = stage(nodes.where(F.col("set").isNotNull()).groupBy("set").agg(F.max("n").alias("n")))
+    pairs = shared.where("set <> leader").select(F.col("leader").alias("a"), F.col("set").alias("b")).distinct()
+    led = stage(_verified(stage(_fitting(pairs, sizes, percent)), sets, table, percent))
+    label = components(led.where("linked").select("a", "b"))
+    for turn in range(1, TURNS + 1):
+        pairs = stage(_fitting(_met(_open(shared, label), turn), sizes, percent))
+        label = _joined(label, _verified(pairs, sets, table, percent))
+    pairs = stage(_rest(_open(shared, label), led, sizes, percent))
+    label = _joined(label, _verified(pairs, sets, table, percent))
     # From sets back to documents: one row per distinct set, then one per document.
     own = nodes.where(F.col("set").isNotNull()).groupBy("set").agg(F.min("doc_id").alias("least"))
     own = own.join(label.withColumnRenamed("node", "set"), "set", "left").withColumn("class", F.coalesce("label", "set"))
@@ -163,7 +170,8 @@ def representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
 
 def _shared_tokens(docs: DataFrame, doc_id: str, text: str, table, percent: int) -> DataFrame:
-    """`token, set, leader`: prefix tokens of the first order that at least two sets have; the smallest set leads."""
+    """`token, set, pos, leader`: prefix tokens of the first order that at least two sets have, with their positions from 1; the
+    smallest set leads."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -172,10 +180,12 @@ def _shared_tokens(docs: DataFrame, doc_id: str, text: str, table, percent: int)
                 own = shingles(raw)
                 if len(own) and (key := set_id(own)) not in tokens:
                     tokens[key] = prefix(own, table.value, 1, percent)
+            times = [len(t) for t in tokens.values()]
             found = np.concatenate(list(tokens.values())).view(np.int64) if tokens else np.zeros(0, np.int64)
-            yield pd.DataFrame({"token": found, "set": np.repeat(np.array(list(tokens), np.int64), [len(t) for t in tokens.values()])})
+            pos = np.concatenate([np.arange(1, n + 1, dtype=np.int32) for n in times]) if tokens else np.zeros(0, np.int32)
+            yield pd.DataFrame({"token": found, "set": np.repeat(np.array(list(tokens), np.int64), times), "pos": pos})
 
-    rows = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw")).mapInPandas(run, "token long, set long")
+    rows = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw")).mapInPandas(run, "token long, set long, pos int")
     each = Window.partitionBy("token")
     known = rows.withColumn("leader", F.min("set").over(each)).withColumn("_top", F.max("set").over(each))
     return known.where("leader <> _top").drop("_top")
@@ -246,21 +256,54 @@ def _verified(pairs: DataFrame, sets: DataFrame, table, percent: int) -> DataFra
     return joined.select("a", "b", compare("ta", "tb").alias("v")).select("a", "b", "v.linked", "v.distance")
 
 
-def _rest(shared: DataFrame, led: DataFrame, label: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs `a, b` of sets that share a token, are in different classes so far, and may yet be linked."""
-    known = shared.where("set <> leader").join(label.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))
+def _fitting(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The pairs `a, b` whose sizes allow a link: told before any set is moved."""
+    for side in ("a", "b"):
+        pairs = pairs.join(sizes.select(F.col("set").alias(side), F.col("n").alias(f"n{side}")), side)
+    return pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+
+
+def _joined(label: DataFrame, verified: DataFrame) -> DataFrame:
+    """Classes with the links among verified pairs added."""
+    links = stage(verified.where("linked").select("a", "b"))
+    return components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links))
+
+
+def _open(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """`token, set, pos, leader, label` of tokens whose sets are in more than one class so far; most tokens have one by now."""
+    known = shared.distinct().join(label.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))
     each = Window.partitionBy("token")
-    # Most tokens have one class by now and need no further look.
-    open_ = known.withColumn("_least", F.min("label").over(each)).withColumn("_most", F.max("label").over(each)).where("_least <> _most").drop("_least", "_most")
-    open_ = open_.join(led.select(F.col("a").alias("leader"), F.col("b").alias("set"), "distance").distinct(), ["leader", "set"], "left").join(sizes, "set")
-    open_ = stage(open_.select("token", "set", "n", "distance", "label").distinct())
-    other = open_.select("token", *(F.col(c).alias(f"o_{c}") for c in ("set", "n", "distance", "label")))
+    both = known.withColumn("_least", F.min("label").over(each)).withColumn("_most", F.max("label").over(each))
+    return stage(both.where("_least <> _most").drop("_least", "_most"))
+
+
+def _met(open_: DataFrame, turn: int) -> DataFrame:
+    """Pairs `a, b` of each open token's sets with one of them, drawn by hash; a set meets as many others as it has tokens."""
+    drawn = open_.groupBy("token").agg(F.min_by(F.struct("set", "label"), F.xxhash64("set", "token", F.lit(turn))).alias("one"))
+    met = open_.join(drawn, "token").where(F.col("label") != F.col("one.label")).select(F.col("set").alias("x"), F.col("one.set").alias("y"))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _rest(open_: DataFrame, led: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """All pairs `a, b` that share a token, are in different classes so far, and may yet be linked; each comes up once.
+
+    A pair counts at its first common token in the order. All that two sets have in common stands from there on, so what is
+    left of the shorter remainder must be enough.
+    """
+    far = led.select(F.col("a").alias("leader"), F.col("b").alias("set"), "distance").distinct()
+    known = open_.where("set <> leader").join(far, ["leader", "set"], "left").join(sizes, "set")
+    before = Window.partitionBy("set").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    known = stage(known.select("token", "set", "pos", "n", "distance", "label", F.collect_list("token").over(before).alias("earlier")))
+    other = known.select("token", *(F.col(c).alias(f"o_{c}") for c in ("set", "pos", "n", "distance", "label", "earlier")))
     apart = F.abs(F.col("distance") - F.col("o_distance"))
-    return open_.join(other, "token").where(
+    most = 1 + F.least(F.col("n") - F.col("pos"), F.col("o_n") - F.col("o_pos"))
+    return known.join(other, "token").where(
         (F.col("label") < F.col("o_label"))
+        & ((100 + percent) * most >= percent * (F.col("n") + F.col("o_n")))
         & (100 * F.least("n", "o_n") >= percent * F.greatest("n", "o_n"))
         & F.coalesce(apart <= 1 - percent / 100 + 1e-9, F.lit(True))
-    ).select(F.col("set").alias("a"), F.col("o_set").alias("b")).distinct()
+        & ~F.arrays_overlap("earlier", "o_earlier")
+    ).select(F.col("set").alias("a"), F.col("o_set").alias("b"))
 
 
 def components(links: DataFrame) -> DataFrame:
