@@ -167,6 +167,8 @@ def list_legal_bases(
         bases = bases.join(wanted, "agency_id", "left_semi")
     if basis_type:
         bases = bases.where(F.col("basis_type") == basis_type)
+    if agency_code or basis_type:
+        mandates = mandates.join(bases.select(F.col("id").alias("legal_basis_id")), "legal_basis_id", "left_semi")
     counts = mandates.groupBy(F.col("legal_basis_id").alias("id")).agg(F.count("*").alias("mandate_count"))
     return with_count(bases, counts, "id", "mandate_count").select(*bases.columns, "mandate_count").orderBy("title", "id")
 
@@ -175,6 +177,7 @@ def list_mandates(mandates: DataFrame, guidelines: DataFrame, basis_id: int | No
     """Mandates of a basis, or all of them, with their number of documents (Q5)."""
     if basis_id is not None:
         mandates = mandates.where(F.col("legal_basis_id") == basis_id)
+        guidelines = guidelines.join(mandates.select(F.col("id").alias("mandate_id")), "mandate_id", "left_semi")
     counts = (
         guidelines.where(F.col("mandate_id").isNotNull())
         .groupBy(F.col("mandate_id").alias("id"))
@@ -198,6 +201,7 @@ def recent_runs(agencies: DataFrame, runs: DataFrame, code: str | None = None, n
     """The `n` latest runs of an agency, or of each (Q6)."""
     if code is not None:
         agencies = agencies.where(F.col("code") == code.upper())
+        runs = runs.join(agencies.select(F.col("id").alias("agency_id")), "agency_id", "left_semi")
     latest = top_per_key(runs, ["agency_id"], [F.desc("started_at"), F.desc("id")], n)
     return latest.join(_agencies(agencies), "agency_id").orderBy("agency_code", F.desc("started_at"), F.desc("id"))
 

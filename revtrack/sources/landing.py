@@ -66,11 +66,13 @@ def extract_pages(
     agencies: DataFrame,
     detail: DataFrame | None = None,
     publications: DataFrame | None = None,
+    selectors: DataFrame | None = None,
 ) -> DataFrame:
     """One row per landed page: what it holds (`items`, `seen`) or why it failed (`error`).
 
     The landing table is read once; every route is a branch of one expression, so a body is parsed only
-    by its own extractor. Pages of an unknown config or agency come back with an error and no agency.
+    by its own extractor. `selectors` (see `board_patterns`) says what a list selector stands for; one that is not there is
+    an error, not the usual layout. Pages of an unknown config or agency come back with an error and no agency.
     """
     spark = pages.sparkSession
     # A landing without crawl ids has one crawl of a config per day.
@@ -79,10 +81,11 @@ def extract_pages(
     publications = page_profiles(spark) if publications is None else publications
     known = (
         routed_configs(configs, agencies, detail, publications)
-        .join(board_patterns(spark), "list_selector", "left")
+        .join(board_patterns(spark) if selectors is None else selectors, "list_selector", "left")
+        .withColumn("known_selector", F.coalesce(F.col("list_selector") == "", F.lit(True)) | F.col("block_re").isNotNull())
         .select(
             "config_id", "agency_id", "agency_name", "label", "item_type", "source_type", "route", "detail", "publication",
-            "max_pages", "container_re", "block_re",
+            "max_pages", "container_re", "block_re", "list_selector", "known_selector",
             F.coalesce("keyword_filter", F.array().cast("array<string>")).alias("keywords"),
             _field("title_selector").alias("title_re"), _field("date_selector").alias("date_re"), _field("link_selector").alias("link_re"),
         )
@@ -100,6 +103,7 @@ def extract_pages(
     body = F.coalesce(c("body"), F.lit(""))
     found = (
         F.when(c("agency_id").isNull(), failed(F.concat(F.lit("no active config for "), c("agency_code"))))
+        .when((c("route") == "bbs_list") & ~c("known_selector"), failed(F.concat(F.lit("Unknown selector: "), c("list_selector"))))
         .when((c("route") == "bbs_list") & ok, board_page(body, c("url"), c("keywords"), c("container_re"), c("block_re"), c("title_re"), c("link_re"), c("date_re")))
         .when((c("route") == "bbs_list") & (c("page_num") == 1), failed(F.concat(F.lit("Page 1 fetch failed: "), http_error)))
         .when(c("route") == "bbs_list", failed(F.lit(None)))

@@ -73,6 +73,14 @@ def _orders_body(t: Tables, expr: str) -> DataFrame:
 _FEED = """concat('<rss version="2.0"><channel><title>c</title><item><title> order ', CAST(o_orderkey AS STRING), ' &amp; ', o_orderpriority, ' </title><link>http://h/', CAST(o_custkey AS STRING),
   '</link><pubDate>', CAST(CAST(o_orderdate AS DATE) AS STRING), '</pubDate><category>', o_orderstatus, '</category><enclosure url="http://h/', CAST(o_orderkey AS STRING), '.pdf"/></item>
   <item><title>no link</title></item>', CASE WHEN o_orderstatus = 'P' THEN '</chan' ELSE '</channel></rss>' END)"""
+# Cut off before the first entry is whole: nothing can be read.
+_UNREADABLE = f"CASE WHEN o_orderstatus = 'P' THEN '<rss><channel><item><title>order' ELSE {_FEED} END"
+# Stray signs, names that XML does not know, CDATA, codes out of range, a cut tail, and Atom.
+_MALFORMED = """concat(CASE WHEN o_orderstatus = 'P' THEN '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>' ELSE '<rss version="2.0"><channel><item><title>' END,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'R & D ' WHEN '2-HIGH' THEN '<![CDATA[R & <D> ]]>' WHEN '5-LOW' THEN 'R&sect;D&#1114112;&#38;lt; ' ELSE 'R&amp;D &lt;x&gt; ' END, CAST(o_orderkey AS STRING), '</title>',
+  CASE WHEN o_orderstatus = 'P' THEN concat('<link href="http://h/?a=1&b=', CAST(o_custkey AS STRING), '"/></entry>') ELSE concat('<link>http://h/?a=1&b=', CAST(o_custkey AS STRING), '</link></item>') END,
+  CASE WHEN o_orderstatus = 'P' THEN '</feed>' WHEN o_orderstatus = 'F' THEN '<item><title>cut' ELSE '</channel></rss>' END)"""
+_REFERENCES = "concat('&sect;', CAST(o_custkey AS STRING), CASE o_orderstatus WHEN 'P' THEN '&#x110000;' WHEN 'F' THEN '&#55357;&#0;' ELSE '&#38;lt;&nosuch;' END, '&rarr;&#44032; & &amp;amp;')"
 _DETAIL = """concat('<p>head</p>', CASE o_orderstatus WHEN 'P' THEN '오류가 발생' WHEN 'O' THEN '<div class="titleBox"><h3> ' ELSE '<h3>early</h3><div class="titleBox"><h3>' END, o_orderpriority,
   ' 가이드</h3><span class="date">', CAST(CAST(o_orderdate AS DATE) AS STRING), '</span></div><a fileNo="', CAST(o_custkey AS STRING), '" filePage="board">a.PDF</a><a fileNo="7" filePage="board">b.png</a>')"""
 _PUBS = """concat('<img class="border-gray01" src="x">head', '<img class="border-gray01" alt="', o_orderpriority, '<br/>guide"> <a href="/common/download.do?seq=A', CAST(o_orderkey AS STRING),
@@ -90,11 +98,11 @@ _LAW = (
 _LAW_AGENCY = "CASE WHEN p_size <= 25 THEN 'PIPC' ELSE 'FSC' END"
 
 
-def _feed(t: Tables, field: str) -> DataFrame:
+def _feed(t: Tables, field: str, body: str = _FEED) -> DataFrame:
     """Items, or the error, of every feed; exploding the parse itself keeps Spark from evaluating it again in a filter."""
     page = feed_page(F.col("body"), _no_keywords())
     rows = page["items"] if field == "items" else F.array_compact(F.array(page["error"]))
-    return _orders_body(t, _FEED).select("o_orderkey", F.explode(rows).alias("i"))
+    return _orders_body(t, body).select("o_orderkey", F.explode(rows).alias("i"))
 
 
 def _detail_profile() -> F:
@@ -188,10 +196,19 @@ QUERIES = {
     ),
     "s3_feed_items": (
         _q(lambda t: _feed(t, "items").select("o_orderkey", "i.title", "i.url", "i.published_date", "i.category", F.element_at("i.attachment_urls", 1).alias("pdf"))),
-        "SELECT o_orderkey, 'order ' || o_orderkey || ' & ' || o_orderpriority AS title, 'http://h/' || o_custkey AS url, CAST(o_orderdate AS DATE) AS published_date, o_orderstatus AS category, 'http://h/' || o_orderkey || '.pdf' AS pdf FROM orders WHERE o_orderstatus <> 'P'",
+        "SELECT o_orderkey, 'order ' || o_orderkey || ' & ' || o_orderpriority AS title, 'http://h/' || o_custkey AS url, CAST(o_orderdate AS DATE) AS published_date, o_orderstatus AS category, 'http://h/' || o_orderkey || '.pdf' AS pdf FROM orders",
+    ),
+    "s3_malformed_feeds": (
+        _q(lambda t: _feed(t, "items", _MALFORMED).select("o_orderkey", "i.title", "i.url")),
+        """SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'R & D ' WHEN '2-HIGH' THEN 'R & <D> ' WHEN '5-LOW' THEN 'R§D�&lt; ' ELSE 'R&D <x> ' END || o_orderkey AS title,
+ 'http://h/?a=1&b=' || o_custkey AS url FROM orders""",
+    ),
+    "f19_references": (
+        _q(lambda t: _orders_body(t, _REFERENCES).select("o_orderkey", html.unescape(F.col("body")).alias("text"))),
+        """SELECT o_orderkey, '§' || o_custkey || CASE o_orderstatus WHEN 'P' THEN '�' WHEN 'F' THEN '��' ELSE '&lt;&nosuch;' END || '→가 & &amp;' AS text FROM orders""",
     ),
     "s4_feed_errors": (
-        _q(lambda t: _feed(t, "error").withColumnRenamed("i", "error")),
+        _q(lambda t: _feed(t, "error", _UNREADABLE).withColumnRenamed("i", "error")),
         "SELECT o_orderkey, 'feed could not be parsed' AS error FROM orders WHERE o_orderstatus = 'P'",
     ),
     "s6_detail_pages_f17_f36": (

@@ -85,6 +85,12 @@ SELECT g.*, latest_published_date, coalesce(version_count, 0) AS version_count F
         with_roles("guidelines", "versions", body=f""", {_TOTALS}
 SELECT g.*, coalesce(version_count, 0) AS version_count, latest_published_date, x.id AS version_id, x.version_label, x.published_date
 FROM guidelines g LEFT JOIN v ON v.guideline_id = g.id LEFT JOIN versions x ON x.guideline_id = g.id"""),
+    ),
+    "q2_one_guideline": (
+        _q(lambda t: reports.guideline_detail(t.guidelines, t.versions.selectExpr("*", "cast(null as int) page_count", "cast(null as string) change_summary", "cast(null as string) significance"), 7).drop("page_count", "change_summary", "significance", "version_pdf_url")),
+        with_roles("guidelines", "versions", body=f""", {_TOTALS}
+SELECT g.*, coalesce(version_count, 0) AS version_count, latest_published_date, x.id AS version_id, x.version_label, x.published_date
+FROM guidelines g LEFT JOIN v ON v.guideline_id = g.id LEFT JOIN versions x ON x.guideline_id = g.id WHERE g.id = 7"""),
     ),
     "q4_legal_bases": (
         _q(lambda t: reports.list_legal_bases(t.bases, t.mandates)),
@@ -102,6 +108,15 @@ FROM guidelines g LEFT JOIN v ON v.guideline_id = g.id LEFT JOIN versions x ON x
         _q(lambda t: reports.list_mandates(t.gap_mandates, t.gap_guidelines)),
         with_roles("gap_mandates", "gap_guidelines", body="SELECT m.*, count(g.id) AS guideline_count FROM gap_mandates m LEFT JOIN gap_guidelines g ON g.mandate_id = m.id GROUP BY ALL"),
     ),
+    "q5_mandates_of_basis": (
+        _q(lambda t: reports.list_mandates(t.gap_mandates, t.gap_guidelines, 3)),
+        with_roles("gap_mandates", "gap_guidelines", body="SELECT m.*, count(g.id) AS guideline_count FROM gap_mandates m LEFT JOIN gap_guidelines g ON g.mandate_id = m.id WHERE legal_basis_id = 3 GROUP BY ALL"),
+    ),
+    "q6_recent_runs_of_agency": (
+        _q(lambda t: _ts(reports.recent_runs(t.run_agencies.withColumn("code", F.upper("code")), t.runs, "customer#000000007"), "started_at")),
+        with_roles("run_agencies", "runs", body=f"""SELECT r.* REPLACE (strftime(started_at, '{_TS}') AS started_at), upper(a.code) AS agency_code, a.short_name AS agency_name FROM runs r
+JOIN run_agencies a ON a.id = r.agency_id WHERE upper(a.code) = 'CUSTOMER#000000007' QUALIFY row_number() OVER (PARTITION BY r.agency_id ORDER BY r.started_at DESC, r.id DESC) <= 10"""),
+    ),
     "q6_agencies_with_configs": (
         _q(lambda t: reports.list_agencies(t.run_agencies, t.configs.withColumn("source_type", F.lit("rss")).withColumn("url", F.lit("u")).withColumn("item_type", F.lit("guideline"))).select("id", "code", "short_name", "config_id", "label", "schedule", "is_active")),
         with_roles("run_agencies", "configs", body="SELECT a.id, code, short_name, c.id AS config_id, label, schedule, is_active FROM run_agencies a LEFT JOIN configs c ON c.agency_id = a.id"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from revtrack.operators import lookups, scoring
 from revtrack.operators.merge import Merge, decide
+from revtrack.operators.seeding import seed_documents
 from revtrack.session import shared_dir, stage
 from revtrack.schemas import RAW_PAGES
 from revtrack.sources import registry
@@ -76,8 +77,12 @@ def _rules(t: Tables) -> DataFrame:
     return t.spark.sql(f"SELECT {_RULE} FROM {{orders}}", orders=t.raw("orders"))
 
 
-def stream_ingest(spark, sf_dir: str) -> DataFrame:
-    """Every page lands as a detail page of one of 25 agencies and is merged by the stream."""
+def stream_ingest(spark, sf_dir: str, backlog: bool = False) -> DataFrame:
+    """Every page lands as a detail page of one of 25 agencies and is merged by the stream.
+
+    Two crawls land, one after the other, each with the whole table: the second meets what the first has stored. With
+    `backlog` both are in one micro-batch.
+    """
     t = Tables(spark, sf_dir)
     root = f"{shared_dir(spark)}/revtrack/{uuid.uuid4().hex}"
     store = Store(spark, f"{root}/store")
@@ -95,13 +100,16 @@ def stream_ingest(spark, sf_dir: str) -> DataFrame:
         (F.col("page_id") % 25).alias("config_id"), F.concat(F.lit("NATION_"), (F.col("page_id") % 25).cast("string")).alias("agency_code"),
         F.col("page_id").cast("int").alias("page_num"), "url", F.lit(200).alias("http_status"), F.col("html").alias("body"), stamp.alias("fetched_at"),
     )
-    page.select(*RAW_PAGES.fieldNames()).repartition(2, "config_id").write.parquet(f"{root}/landing")
+    # The second crawl is a day later; undated posts are versions of their own crawl's day.
+    crawls = [page.withColumn("crawl_id", F.lit(f"crawl {n}")).withColumn("fetched_at", F.col("fetched_at") + F.make_interval(days=F.lit(n))) for n in range(2)]
+    for crawl in crawls:
+        crawl.select(*RAW_PAGES.fieldNames()).write.mode("append").parquet(f"{root}/landing")
     # One profile per agency; the agencies are a closed list of 25.
     profiles = registry.detail_profiles(spark, [
         {"agency_code": f"NATION_{n}", "list_url": "list", "id_param_name": "id", "url_template": "https://x.example/{id}", "error_marker": "never seen in a page",
          "title_section_marker": "<article>", "title_regex": "<h1>([^<]+)</h1>"} for n in range(25)
     ])
-    query = ingest_stream(spark, f"{root}/landing", store.root, f"{root}/checkpoint", max_files=1, detail=profiles)
+    query = ingest_stream(spark, f"{root}/landing", store.root, f"{root}/checkpoint", max_files=None if backlog else 1, detail=profiles)
     query.awaitTermination()
     guidelines = store.read("guidelines").select(F.col("id").alias("guideline_id"), "agency_id", "norm_title", "item_type")
     return (
@@ -110,6 +118,24 @@ def stream_ingest(spark, sf_dir: str) -> DataFrame:
     )
 
 
+_STREAMED = f"""WITH p AS (SELECT page_id % 25 AS agency_id, trim(regexp_extract(substring(html, strpos(html, '<article>') + 9, 2000), '<h1>([^<]+)</h1>', 1)) AS title FROM pages)
+SELECT agency_id, {sql_norm('title')} AS norm_title, 'announcement' AS item_type, CAST(1 AS BIGINT) AS versions, DATE '2001-08-01' AS published_date FROM p WHERE title <> '' AND contains(title, 'e') GROUP BY ALL"""
+
+
+def seeded_versions(spark, sf_dir: str) -> DataFrame:
+    """Curated documents made from customers, most of them several times and all without url, stored with their versions."""
+    t = Tables(spark, sf_dir)
+    store = Store(spark, f"{shared_dir(spark)}/revtrack/{uuid.uuid4().hex}/store")
+    documents = t.raw("customer").selectExpr(
+        "CAST(c_nationkey AS BIGINT) AS agency_id", "concat('curated ', c_mktsegment, CAST(c_custkey % 7 AS STRING)) AS title", "CAST(NULL AS STRING) AS source_url",
+        "'ai' AS category", "'v1' AS version_label", "DATE '2001-08-01' AS published_date", "CAST(NULL AS STRING) AS change_summary",
+    )
+    seed_documents(store, documents, AS_OF, alike=False)
+    owners = store.read("guidelines").select(F.col("id").alias("guideline_id"), "agency_id", "title", "source_url")
+    versions = store.read("guideline_versions").groupBy("guideline_id").agg(F.count("*").alias("versions"))
+    return owners.join(versions, "guideline_id").drop("guideline_id")
+
+
 QUERIES = {
     "d6_tallies_a14": (
         _q(lambda t: _merge(t).tallies),
@@ -168,9 +194,11 @@ SELECT count(*) AS searched, count(*) - (SELECT count(*) FROM h) AS created, (SE
         _q(lambda t: lookups.last_owner(t.posts.withColumnRenamed("seq", "id"), ["agency_id", "url"])),
         with_roles("posts", body="SELECT agency_id, url, max(seq) AS guideline_id FROM posts GROUP BY 1, 2"),
     ),
-    "t1_stream_ingest": (
-        stream_ingest,
-        f"""WITH p AS (SELECT page_id % 25 AS agency_id, trim(regexp_extract(substring(html, strpos(html, '<article>') + 9, 2000), '<h1>([^<]+)</h1>', 1)) AS title FROM pages)
-SELECT agency_id, {sql_norm('title')} AS norm_title, 'announcement' AS item_type, CAST(1 AS BIGINT) AS versions, DATE '2001-08-01' AS published_date FROM p WHERE title <> '' AND contains(title, 'e') GROUP BY ALL""",
+    "t1_stream_ingest": (stream_ingest, _STREAMED),
+    "t1_backlog": (lambda spark, sf_dir: stream_ingest(spark, sf_dir, backlog=True), _STREAMED),
+    "d9_seeded_versions": (
+        seeded_versions,
+        """WITH d AS (SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS agency_id, 'curated ' || c_mktsegment || (c_custkey % 7) AS title FROM customer)
+SELECT agency_id, title, CAST(1 AS BIGINT) AS versions, CAST(NULL AS VARCHAR) AS source_url FROM d""",
     ),
 }
