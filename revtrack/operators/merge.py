@@ -116,7 +116,9 @@ def _against_store(copies: DataFrame, guidelines: DataFrame, versions: DataFrame
         .distinct()
         .withColumn("taken", F.lit(True))
     )
-    return placed.join(days, ["guideline_id", "pub_date"], "left").select(
+    # Posts of new documents have no owner; a key of their own keeps them from meeting at one null.
+    own = F.coalesce("guideline_id", -1 - F.pmod(F.xxhash64(*TITLE), F.lit(1 << 40)))
+    return placed.withColumn("_owner", own).join(days.withColumnRenamed("guideline_id", "_owner"), ["_owner", "pub_date"], "left").select(
         *copies.columns, "url_owner", "guideline_id", F.coalesce("taken", F.lit(False)).alias("day_taken")
     )
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.merge import TITLE, Merge, decide, with_ids
 from ..operators.pick import first_per_key, top_per_key
 from ..operators.scoring import Scorer, accept_items
-from ..session import stage
+from ..session import scratch, stage
 from ..sources.board import followed
 from ..sources.landing import extract_pages
 from ..sources.store import Run, Store
@@ -146,16 +146,17 @@ def ingest(
     """
     if run is not None and store.holds(run):
         return None
-    last = store.last_batch()
-    batch = last + 1
-    configs, agencies = store.read("crawl_configs", last), store.read("agencies", last)
-    found = posts_of(extract_pages(pages, configs, agencies, detail, publications), law_limit)
-    judged = stage(accept_items(found.items, scorer).withColumn("published_date", F.coalesce("published_date", "crawl_day")))
-    merge = decide(judged, store.titles(last), store.read("guideline_versions", last), as_of, ARRIVAL, CRAWL)
-    tallies = stage(merge.tallies)
-    _write_merge(store, merge, as_of, batch, last)
-    store.write("crawl_runs", with_ids(run_rows(found, tallies, as_of), store.last_id("crawl_runs", last)), batch)
-    unknown = found.pages.where(F.col("agency_id").isNull() & F.col("error").isNotNull())
-    store.write("page_errors", unknown.select("config_id", "crawl_id", "agency_code", "page_num", "url", "fetched_at", "error"), batch)
-    store.commit(batch, as_of, run)
+    with scratch(pages.sparkSession):
+        last = store.last_batch()
+        batch = last + 1
+        configs, agencies = store.read("crawl_configs", last), store.read("agencies", last)
+        found = posts_of(extract_pages(pages, configs, agencies, detail, publications), law_limit)
+        judged = stage(accept_items(found.items, scorer).withColumn("published_date", F.coalesce("published_date", "crawl_day")))
+        merge = decide(judged, store.titles(last), store.read("guideline_versions", last), as_of, ARRIVAL, CRAWL)
+        tallies = stage(merge.tallies, keep=True)
+        _write_merge(store, merge, as_of, batch, last)
+        store.write("crawl_runs", with_ids(run_rows(found, tallies, as_of), store.last_id("crawl_runs", last)), batch)
+        unknown = found.pages.where(F.col("agency_id").isNull() & F.col("error").isNotNull())
+        store.write("page_errors", unknown.select("config_id", "crawl_id", "agency_code", "page_num", "url", "fetched_at", "error"), batch)
+        store.commit(batch, as_of, run)
     return tallies

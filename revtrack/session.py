@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,13 +43,31 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back.
+_SCOPE = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove what is staged inside when the block has ended well; after a failure it stays for a look."""
+    outer, _SCOPE.paths = getattr(_SCOPE, "paths", None), []
+    try:
+        yield
+        for path in _SCOPE.paths:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    finally:
+        _SCOPE.paths = outer
+
+
+def stage(df: DataFrame, keep: bool = False) -> DataFrame:
+    """Write `df` to the shared folder and read it back; `keep` lets it outlive a `scratch` block.
 
     A parquet table rather than `checkpoint()`: it survives lost executors the same way, but the
     reader can prune columns and AQE knows its size.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/revtrack/{uuid.uuid4().hex}"
+    if not keep and getattr(_SCOPE, "paths", None) is not None:
+        _SCOPE.paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

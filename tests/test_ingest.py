@@ -183,6 +183,15 @@ def test_type_of_a_stored_document_follows_the_last_source(spark, seeded, tmp_pa
     assert kept["보안 안내서 2025"] == ("announcement", DAY, later)
 
 
+def _staged(spark):
+    import os
+
+    from revtrack.session import shared_dir
+
+    folder = os.path.join(shared_dir(spark).removeprefix("file://"), "revtrack")
+    return set(os.listdir(folder)) if os.path.isdir(folder) else set()
+
+
 def test_a_batch_may_hold_several_crawls_of_a_config(spark, seeded, tmp_path):
     """A failed visit takes nothing from a later one, and every visit is a run of its own."""
     store = Store(spark, str(tmp_path / "s"))
@@ -197,7 +206,9 @@ def test_a_batch_may_hold_several_crawls_of_a_config(spark, seeded, tmp_path):
         store = Store(spark, str(tmp_path / f"s{crawls[0]}"))
         seed_agencies(store, registry.publishers(spark), DAY)
         pages = spark.createDataFrame([(*r[:7], c) for r, c in zip(rows, crawls)], RAW_PAGES)
+        before = _staged(spark)
         ingest(store, pages, datetime(2026, 5, 9))
+        assert len(_staged(spark) - before) == 1  # the tallies it returns
         assert {(r.title) for r in store.read("guidelines").collect()} == {"보안 안내서 2025", "점검표"}
         # The undated post has the day of its own crawl, not of the batch.
         assert {r.published_date for r in store.read("guideline_versions").collect()} == {date(2026, 4, 1), date(2026, 5, 2)}
