@@ -9,7 +9,7 @@ its sets are compared.
 The result is each document's class: what is reachable over links. Tokens that very many sets share are not paired up. For
 each token the smallest set leads and every other one is compared with it; then, where a token still has several classes, its
 sets are compared with others drawn by hash. What is left is compared pair by pair: sets of one token and different classes
-whose sizes and positions of the first common token fit and, since Jaccard distance is a metric, whose distances to the
+whose sizes, prefixes and positions of the first common token fit and, since Jaccard distance is a metric, whose distances to the
 leader differ by no more than the threshold.
 No link between classes is lost, and a group of near copies costs as many comparisons as it has members.
 
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
@@ -37,7 +37,7 @@ ORDERS = 3
 # Cells of the token count table that every task gets (a byte each), and rows that it travels in.
 COUNT_BITS, CHUNKS = 24, 256
 # Turns in which sets of a token meet one of them, drawn anew, before the pairs that are left are compared.
-TURNS = 2
+TURNS = 1
 # Bits of the filter that picks the documents whose sets are wanted.
 FILTER_BITS = 24
 
@@ -135,7 +135,7 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", perc
     shared = stage(_shared_tokens(docs, doc_id, text, table, percent))
     sets = stage(_wanted_sets(docs, doc_id, text, nodes, shared))
     sizes = stage(nodes.where(F.col("set").isNotNull()).groupBy("set").agg(F.max("n").alias("n")))
-    pairs = shared.where("set <> leader").select(F.col("leader").alias("a"), F.col("set").alias("b")).distinct()
+    pairs = shared.where("set <> leader").groupBy(F.col("leader").alias("a"), F.col("set").alias("b")).agg(F.count(F.lit(1)).alias("met"))
     led = stage(_verified(stage(_fitting(pairs, sizes, percent)), sets, table, percent))
     label = components(led.where("linked").select("a", "b"))
     for turn in range(1, TURNS + 1):
@@ -256,11 +256,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, table, percent: int) -> DataFra
     return joined.select("a", "b", compare("ta", "tb").alias("v")).select("a", "b", "v.linked", "v.distance")
 
 
+def _common_prefix_tokens(x: str, y: str, percent: int) -> Column:
+    """How many prefix tokens two linked sets of sizes `x` and `y` (columns) have in common at least.
+
+    Of a linked pair, all but a few tokens are common; those few cannot fill a prefix, and the common ones that come first
+    are the same in both.
+    """
+    overlap = f"(({percent} * ({x} + {y}) + {99 + percent}) div {100 + percent})"
+    spare = lambda n: f"(1 - (({percent} * {n} + 99) div 100))"  # noqa: E731  prefix length minus size
+    return F.expr(f"greatest(1, least({spare(x)}, {spare(y)}) + {overlap})")
+
+
 def _fitting(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """The pairs `a, b` whose sizes allow a link: told before any set is moved."""
+    """Pairs `a, b` worth comparing early: their sizes allow a link and a good part of the tokens that it takes were `met`."""
     for side in ("a", "b"):
         pairs = pairs.join(sizes.select(F.col("set").alias(side), F.col("n").alias(f"n{side}")), side)
-    return pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+    worth = 4 * F.col("met") >= _common_prefix_tokens("na", "nb", percent)
+    return pairs.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & worth).select("a", "b")
 
 
 def _joined(label: DataFrame, verified: DataFrame) -> DataFrame:
@@ -278,23 +290,26 @@ def _open(shared: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def _met(open_: DataFrame, turn: int) -> DataFrame:
-    """Pairs `a, b` of each open token's sets with one of them, drawn by hash; a set meets as many others as it has tokens."""
-    drawn = open_.groupBy("token").agg(F.min_by(F.struct("set", "label"), F.xxhash64("set", "token", F.lit(turn))).alias("one"))
+    """Pairs `a, b` of each open token's sets with one of them, drawn by hash, and how many tokens they `met` at."""
+    drawn = open_.groupBy("token").agg(F.min_by(F.struct("set", "label"), F.xxhash64("set", F.lit(turn))).alias("one"))
     met = open_.join(drawn, "token").where(F.col("label") != F.col("one.label")).select(F.col("set").alias("x"), F.col("one.set").alias("y"))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"))
 
 
 def _rest(open_: DataFrame, led: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """All pairs `a, b` that share a token, are in different classes so far, and may yet be linked; each comes up once.
 
     A pair counts at its first common token in the order. All that two sets have in common stands from there on, so what is
-    left of the shorter remainder must be enough.
+    left of the shorter remainder must be enough; and the prefixes must have enough tokens in common. Tokens that two sets
+    of different classes share are open, so lists of open tokens tell all this exactly.
     """
     far = led.select(F.col("a").alias("leader"), F.col("b").alias("set"), "distance").distinct()
-    known = open_.where("set <> leader").join(far, ["leader", "set"], "left").join(sizes, "set")
+    known = open_.join(far, ["leader", "set"], "left").join(sizes, "set")
+    known = known.withColumn("distance", F.when(F.col("set") == F.col("leader"), F.lit(0.0)).otherwise(F.col("distance")))
     before = Window.partitionBy("set").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    known = stage(known.select("token", "set", "pos", "n", "distance", "label", F.collect_list("token").over(before).alias("earlier")))
-    other = known.select("token", *(F.col(c).alias(f"o_{c}") for c in ("set", "pos", "n", "distance", "label", "earlier")))
+    known = stage(known.select("token", "set", "pos", "n", "distance", "label", F.collect_list("token").over(before).alias("earlier"),
+                               F.collect_list("token").over(Window.partitionBy("set")).alias("tokens")))
+    other = known.select("token", *(F.col(c).alias(f"o_{c}") for c in ("set", "pos", "n", "distance", "label", "earlier", "tokens")))
     apart = F.abs(F.col("distance") - F.col("o_distance"))
     most = 1 + F.least(F.col("n") - F.col("pos"), F.col("o_n") - F.col("o_pos"))
     return known.join(other, "token").where(
@@ -303,6 +318,7 @@ def _rest(open_: DataFrame, led: DataFrame, sizes: DataFrame, percent: int) -> D
         & (100 * F.least("n", "o_n") >= percent * F.greatest("n", "o_n"))
         & F.coalesce(apart <= 1 - percent / 100 + 1e-9, F.lit(True))
         & ~F.arrays_overlap("earlier", "o_earlier")
+        & (F.size(F.array_intersect("tokens", "o_tokens")) >= _common_prefix_tokens("n", "o_n", percent))
     ).select(F.col("set").alias("a"), F.col("o_set").alias("b"))
 
 
