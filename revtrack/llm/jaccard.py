@@ -9,7 +9,7 @@ its sets are compared.
 The result is each document's class: what is reachable over links. Tokens that very many sets share are not paired up. For
 each token the smallest set leads and every other one is compared with it; then, where a token still has several classes, its
 sets are compared with others drawn by hash. What is left is compared pair by pair: sets of one token and different classes
-whose sizes, prefixes and positions of the first common token fit and, since Jaccard distance is a metric, whose distances to the
+whose sizes and positions of a common token fit and, since Jaccard distance is a metric, whose distances to the
 leader differ by no more than the threshold.
 No link between classes is lost, and a group of near copies costs as many comparisons as it has members.
 
@@ -297,19 +297,16 @@ def _met(open_: DataFrame, turn: int) -> DataFrame:
 
 
 def _rest(open_: DataFrame, led: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """All pairs `a, b` that share a token, are in different classes so far, and may yet be linked; each comes up once.
+    """All pairs `a, b` that share a token, are in different classes so far, and may yet be linked.
 
-    A pair counts at its first common token in the order. All that two sets have in common stands from there on, so what is
-    left of the shorter remainder must be enough; and the prefixes must have enough tokens in common. Tokens that two sets
-    of different classes share are open, so lists of open tokens tell all this exactly.
+    All that two sets have in common stands from their first common token on, so at that token what is left of the shorter
+    remainder must be enough; a pair that passes at a later token only would have passed there.
     """
     far = led.select(F.col("a").alias("leader"), F.col("b").alias("set"), "distance").distinct()
     known = open_.join(far, ["leader", "set"], "left").join(sizes, "set")
     known = known.withColumn("distance", F.when(F.col("set") == F.col("leader"), F.lit(0.0)).otherwise(F.col("distance")))
-    before = Window.partitionBy("set").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    known = stage(known.select("token", "set", "pos", "n", "distance", "label", F.collect_list("token").over(before).alias("earlier"),
-                               F.collect_list("token").over(Window.partitionBy("set")).alias("tokens")))
-    other = known.select("token", *(F.col(c).alias(f"o_{c}") for c in ("set", "pos", "n", "distance", "label", "earlier", "tokens")))
+    known = stage(known.select("token", "set", "pos", "n", "distance", "label"))
+    other = known.select("token", *(F.col(c).alias(f"o_{c}") for c in ("set", "pos", "n", "distance", "label")))
     apart = F.abs(F.col("distance") - F.col("o_distance"))
     most = 1 + F.least(F.col("n") - F.col("pos"), F.col("o_n") - F.col("o_pos"))
     return known.join(other, "token").where(
@@ -317,9 +314,7 @@ def _rest(open_: DataFrame, led: DataFrame, sizes: DataFrame, percent: int) -> D
         & ((100 + percent) * most >= percent * (F.col("n") + F.col("o_n")))
         & (100 * F.least("n", "o_n") >= percent * F.greatest("n", "o_n"))
         & F.coalesce(apart <= 1 - percent / 100 + 1e-9, F.lit(True))
-        & ~F.arrays_overlap("earlier", "o_earlier")
-        & (F.size(F.array_intersect("tokens", "o_tokens")) >= _common_prefix_tokens("n", "o_n", percent))
-    ).select(F.col("set").alias("a"), F.col("o_set").alias("b"))
+    ).select(F.col("set").alias("a"), F.col("o_set").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
