@@ -120,8 +120,9 @@ def fit(rows: DataFrame, *, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     counts = stage(counts)
     if counts.count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    # As a double: the product passes 2^63 from 2^23 rows of one language.
     draw = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 40))
-    drawn = known.join(F.broadcast(counts), "lang").where(draw * F.col("n") < F.lit(per_language) * F.lit(1 << 40).cast("double"))
+    drawn = known.join(F.broadcast(counts), "lang").where(draw.cast("double") * F.col("n") < F.lit(per_language) * F.lit(1 << 40).cast("double"))
     chosen = stage(drawn.select("lang", F.col("text").cast("binary").alias("raw")))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

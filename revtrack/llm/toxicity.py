@@ -108,9 +108,10 @@ def sample(labels: DataFrame, per_class: dict[int, int] | None = None) -> DataFr
     per_class = per_class or SAMPLE_PER_CLASS
     once = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     counts = once.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("label").isin(0, 1))
+    # As a double: the product passes 2^63 from 2^23 rows of one label.
     draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 40))
     most = F.when(F.col("label") == 1, per_class[1]).otherwise(per_class[0])
-    drawn = once.join(F.broadcast(counts), "label").where(draw * F.col("n") < most * F.lit(1 << 40).cast("double"))
+    drawn = once.join(F.broadcast(counts), "label").where(draw.cast("double") * F.col("n") < most * F.lit(1 << 40).cast("double"))
     return drawn.select("doc_id", "label")
 
 

@@ -170,6 +170,21 @@ def test_toxic_words_are_learned(spark, table):
     assert sum(right) / len(right) > 0.95
 
 
+def below_share(rows, salt, n, most):
+    """How many `doc_id` of `rows` have a hash below `most` of `n`, in Python's own integers."""
+    draws = rows.select(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 40)).alias("d")).collect()
+    return sum(r.d * n < most << 40 for r in draws)
+
+
+def test_sample_of_labels_beyond_8_million_rows(spark, monkeypatch):
+    labels = spark.range(2_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("label"))
+    plain, more, most = F.count, (1 << 24) - 1_000, 1 << 22
+    monkeypatch.setattr(F, "count", lambda c: plain(c) + F.lit(more))  # 2^24 rows of each label
+    want = {k: below_share(labels.where(F.col("label") == k), "toxicity", 1 << 24, most) for k in (0, 1)}
+    got = Counter(r.label for r in toxicity.sample(labels, {0: most, 1: most}).collect())
+    assert dict(got) == want and all(150 < n < 350 for n in want.values())
+
+
 def test_features_do_not_cross_documents():
     owner, found = toxicity.features([b"a b", b"", b"c"])
     assert sorted(Counter(owner.tolist()).items()) == [(0, 3), (2, 1)]
@@ -207,6 +222,17 @@ def test_languages_are_told_apart(spark, table):
     assert sum(g == lang for g, (lang, _) in zip(got, tests)) / len(tests) > 0.97 and score.min() >= 0 and score.max() <= 1
 
 
+def test_sample_of_a_language_beyond_8_million_rows(spark, monkeypatch):
+    rows = spark.range(2_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the text "), "id").alias("text"), F.lit("en").alias("lang"))
+    plain, more, most, staged = F.count, (1 << 24) - 2_000, 1 << 22, []
+    monkeypatch.setattr(F, "count", lambda c: plain(c) + F.lit(more))  # 2^24 rows of the language
+    keep = langid.stage
+    monkeypatch.setattr(langid, "stage", lambda df: staged.append(keep(df)) or staged[-1])
+    assert langid.fit(rows, per_language=most).languages == ["en"]
+    want = below_share(rows, "langid", 1 << 24, most)
+    assert staged[-1].count() == want and 300 < want < 700
+
+
 def test_languages_of_odd_rows(odd, none, table):
     model = langid.fit(odd)
     got = odd.select("doc_id", langid.identify(model, F.col("text")).alias("p")).select("doc_id", "p.*").collect()
