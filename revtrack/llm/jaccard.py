@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,23 +89,25 @@ def measure(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     kind = docs.schema[doc_id].dataType.simpleString()
     size = (1 << COUNT_BITS) // CHUNKS
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(1 << COUNT_BITS, np.uint32)
+    names = ["doc_id", "n", "set", "chunk", "counts"]
+
+    # In Arrow: pandas makes floats of a batch's ids as soon as one is null, which rounds those above 2^53.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, of = np.zeros(1 << COUNT_BITS, np.uint32), pa.null()
         for batch in batches:
-            sets = [shingles(r) for r in batch["raw"]]
-            if len(batch):
+            sets, of = [shingles(r) for r in batch["raw"].to_pylist()], batch["doc_id"].type
+            if len(sets):
                 np.add.at(counts, (np.concatenate(sets) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
-            # Digests beside nulls: as nullable integers from the start, a float would round them.
-            ids = pd.array([set_id(s) if len(s) else None for s in sets], "Int64")
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": [len(s) for s in sets], "set": ids, "chunk": None, "counts": None}).astype({"chunk": "Int32"})
+            n, ids = pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], n, ids, pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names)
         parts = [(c, counts[c * size : (c + 1) * size]) for c in range(CHUNKS)]
         parts = [(c, zlib.compress(p.astype("<u4").tobytes(), 1)) for c, p in parts if p.any()]
-        yield pd.DataFrame({"doc_id": None, "n": 0, "set": None, "chunk": [c for c, _ in parts], "counts": [p for _, p in parts]}).astype(
-            {"set": "Int64", "chunk": "Int32", "n": "int64"}
-        )
+        if parts:
+            chunk, packed = pa.array([c for c, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), of), pa.array([0] * len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), chunk, packed], names)
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"))
-    return rows.mapInPandas(run, f"doc_id {kind}, n long, set long, chunk int, counts binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, n long, set long, chunk int, counts binary")
 
 
 def count_table(measured: DataFrame) -> np.ndarray:

@@ -17,7 +17,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,20 +96,22 @@ def pieces(docs: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text: st
     kind = docs.schema[doc_id].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    longs = ["start", "length", "ids_crc32", "doc_tokens"]
+
+    # In Arrow: pandas makes floats of a batch's ids as soon as one is null, which rounds those above 2^53.
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(vocabulary)
         for batch in batches:
             rows = []
-            for key, raw in zip(batch["doc_id"].tolist(), batch["raw"]):
+            for i, raw in enumerate(batch["raw"].to_pylist()):
                 ids = encode.ids(raw) + end
                 n = len(ids) // 4
-                rows += [(key, at, min(piece, n - at), zlib.crc32(ids[4 * at : 4 * (at + piece)]), n) for at in range(0, n, piece)]
-            # Ids may be null: as objects from the start, a float would round them.
-            ids = pd.Series([r[0] for r in rows], dtype=object)
-            yield pd.DataFrame([r[1:] for r in rows], columns=["start", "length", "ids_crc32", "doc_tokens"]).assign(doc_id=ids)
+                rows += [(i, at, min(piece, n - at), zlib.crc32(ids[4 * at : 4 * (at + piece)]), n) for at in range(0, n, piece)]
+            own, *others = (pa.array([r[k] for r in rows], pa.int64()) for k in range(5))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(own), *others], ["doc_id", *longs])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"))
-    return rows.mapInPandas(cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return rows.mapInArrow(cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
@@ -152,17 +155,20 @@ def pack(cut: DataFrame, *, capacity: int = CAPACITY, group: int = GROUP) -> Dat
     groups = -(-max(1, rows.count()) // group)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
-    def solve(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True]).reset_index(drop=True)
-        sizes = part["length"].tolist()
+    order = [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")]
+
+    # In Arrow, as in `pieces`.
+    def solve(key: tuple, part: pa.Table) -> pa.Table:
+        part = part.drop_columns("_group").take(pc.sort_indices(part, order, null_placement="at_end"))
+        sizes = part["length"].to_pylist()
         sequence, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
         for w, members in enumerate(windows(sizes, capacity)):
             at = 0
             for i in members:
-                sequence[i], offset[i] = (int(key[0]) << 24) + w, at
+                sequence[i], offset[i] = (key[0].as_py() << 24) + w, at
                 at += sizes[i]
-        return part.assign(sequence_id=sequence, offset=offset).drop(columns="_group")
+        return part.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     dealt = rows.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return dealt.groupBy("_group").applyInPandas(solve, schema)
+    return dealt.groupBy("_group").applyInArrow(solve, schema)

@@ -252,6 +252,23 @@ def test_packing_is_whole(spark, odd, none):
     assert packing.pack(packing.pieces(none, VOCABULARY)).count() == 0
 
 
+BIG = 1 << 60  # a float rounds the ids beside it
+
+
+def big_rows():
+    base = prose(1, 120)
+    return [(BIG + 1, base, "en", "a", 0), (BIG + 3, base + " extra", "en", "a", 0), (None, prose(2, 40), "en", "a", 0), (BIG + 5, prose(3, 9_000), "en", "b", 0)]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_packing_keeps_large_ids_beside_null(table, kind):
+    docs = table(big_rows()).coalesce(1).withColumn("doc_id", F.col("doc_id").cast(kind))
+    cut = packing.pieces(docs, VOCABULARY)
+    for got in (cut, packing.pack(cut)):
+        assert dict(got.dtypes)["doc_id"] == docs.dtypes[0][1]
+        assert {None if r.doc_id is None else int(r.doc_id) for r in got.collect()} == {BIG + 1, BIG + 3, BIG + 5, None}
+
+
 # --- similarity join ---
 
 
@@ -333,6 +350,15 @@ def test_classes_of_odd_rows(odd, none):
     assert jaccard.classes(none).count() == 0 and jaccard.representatives(none).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_classes_keep_large_ids_beside_null(table, kind):
+    docs = table(big_rows()).coalesce(1).withColumn("doc_id", F.col("doc_id").cast(kind))
+    number = lambda i: -1 if i is None else int(i)
+    got = sorted((number(r.doc_id), r.n_shingles, number(r.component_id)) for r in jaccard.classes(docs).collect())
+    assert got == sorted((number(i), n, number(c)) for i, n, c in brute_classes(big_rows()))
+    assert sorted(number(r.doc_id) for r in jaccard.representatives(docs).collect()) == [-1, BIG + 1, BIG + 5]
+
+
 # --- url filters ---
 
 
