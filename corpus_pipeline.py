@@ -49,7 +49,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-# Estimates, models and the tokenizer are beyond SQL; tests hold the stages against brute force.
+# Estimates, models and the tokenizer are beyond SQL; tests hold some stages against expected ids, see the README.
 ORACLE_SQL = None
 
 
