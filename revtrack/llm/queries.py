@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, licenses, mixing, ordering, packing, quality, shards, simhash, toxicity, urls
+from . import alignment, divergence, jaccard, langid, licenses, mixing, neighbours, ordering, packing, quality, shards, simhash, toxicity, urls
 from .common import configure_batches, crc_remainder, rows_of, stage
 
 # --- quality ------------------------------------------------------------------------------------------------------
@@ -194,6 +194,55 @@ SELECT u.page_id, host, path, rule, coalesce(v, CASE WHEN l.page_id IS NULL THEN
 FROM u LEFT JOIN best USING (page_id) LEFT JOIN listed l ON l.page_id = u.page_id
 """
 
+# --- alignment of tokenizers --------------------------------------------------------------------------------------
+
+
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = rows_of(configure_batches(spark), sf_dir, "documents")
+    found, _ = alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+# --- nearest neighbours -------------------------------------------------------------------------------------------
+
+
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(rows_of(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+# --- divergence of sources ----------------------------------------------------------------------------------------
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(rows_of(configure_batches(spark), sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), o AS (SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL
+), k AS (SELECT lang, term, sum(n)::HUGEINT AS lang_n FROM o GROUP BY ALL HAVING count(*) >= 30
+), c AS (SELECT lang, source, term, sum(n)::HUGEINT AS n FROM o SEMI JOIN k USING (lang, term) GROUP BY ALL
+), l AS (SELECT lang, count(*)::HUGEINT AS v, sum(lang_n)::HUGEINT AS total FROM k GROUP BY lang
+), g AS (
+  SELECT lang, source, coalesce(v, 0) AS v, coalesce(total, 0) AS lang_total, coalesce(n, 0)::HUGEINT AS total FROM (SELECT DISTINCT lang, source FROM d)
+  LEFT JOIN l USING (lang) LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL) USING (lang, source)
+), p AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, 1 + (1000000000 * (coalesce(n, 0) + 5)) // (total + 5 * v) AS p, 1 + (1000000000 * (lang_n + 5)) // (lang_total + 5 * v) AS q
+  FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)
+), s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), x AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM x) WHERE part = 'pair' OR rank <= 50
+"""
+
 QUERIES = {
     "op1_outliers": (op1_outliers, None),
     "op2_licenses": (op2_licenses, None),
@@ -205,4 +254,7 @@ QUERIES = {
     "op8_pack": (op8_pack, None),
     "op9_jaccard": (op9_jaccard, None),
     "op10_urls": (op10_urls, OP10_SQL),
+    "op11_alignment": (op11_alignment, None),
+    "op12_neighbours": (op12_neighbours, None),
+    "op13_divergence": (op13_divergence, OP13_SQL),
 }
