@@ -40,7 +40,7 @@ def test_queries_on_odd_tables(spark, tmp_path, rows, table):
     spark.createDataFrame([(4, 1, 1), (8, 1, None)] if rows else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, None, None), (2, "http://x.com/en/", "")] if rows else [], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     vectors = [(0, [1.0, 0.5]), (1, [0.5, 0.5]), (2, None), (None, [1.0, 1.0]), (20, [0.0, 2.0])]
-    spark.createDataFrame(vectors if rows else [], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame(vectors if rows else [], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     for name in QUERIES:
         n = entry.queries()[name](spark, str(tmp_path)).count()
         assert n == (0 if not rows else {"op10_urls": 2, "op12_neighbours": 4}.get(name, n))
