@@ -1,7 +1,7 @@
-"""Page text and page structure as column expressions.
+"""Page text and detail pages as column expressions.
 
-No document tree is built: blocks are cut by pattern, and the few places that need matching end tags
-count opening and closing tags of one name.
+No document tree is built here: blocks are cut by pattern, and the few places that need matching end tags
+count opening and closing tags of one name. Listings need the structure; see `elements`.
 """
 
 from __future__ import annotations
@@ -20,17 +20,23 @@ from .text import clean_title_attribute, collapse, extract, first_group, let, st
 # All named character references of HTML, as the standard library lists them: name with semicolon -> characters.
 _NAMED = json.dumps({name[:-1]: chars for name, chars in html5.items() if name.endswith(";")}, ensure_ascii=False)
 
-ROW = r"(?is)<tr\b[^>]*>.*?(?=<tr\b|</tr\b|</tbody|</table|$)"
-ENTRY = r"(?is)<li\b[^>]*>.*?(?=<li\b|</li\b|$)"
-_BODY_OF_TABLE = r"(?is)<tbody\b[^>]*>.*?(?=</tbody|</table|$)"
-_CELL = r"(?is)<td\b[^>]*>(.*?)(?=</td|<td\b|</tr|$)"
-_LINK = r"(?is)(<a\b[^>]*>.*?</a>)"
 _STARTS_WITH_DATE = r"^\d{4}[.\-/]\d{1,2}[.\-/]\d{1,2}"
 
 
+# References that most pages get by with; the ampersand comes last, so that what it stands for is not read again.
+_FREQUENT = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'", "nbsp": "\xa0", "middot": "·", "copy": "©", "amp": "&"}
+_RARE = rf"&(?!(?:{'|'.join(_FREQUENT)});)(?:#|[A-Za-z])"
+
+
 def unescape(text: Column) -> Column:
     """Named and numeric character references to characters."""
-    return let(text, lambda x: F.when(F.contains(x, F.lit("&")), _unescape(x)).otherwise(x))
+
+    def frequent(x: Column) -> Column:
+        for name, char in _FREQUENT.items():
+            x = F.replace(x, F.lit(f"&{name};"), F.lit(char))
+        return x
+
+    return let(text, lambda x: F.when(~F.contains(x, F.lit("&")), x).when(x.rlike(_RARE), _unescape(x)).otherwise(frequent(x)))
 
 
 def _unescape(text: Column) -> Column:
@@ -187,66 +193,18 @@ def mentioned_extensions(text: Column) -> Column:
 # ---- board listings ---------------------------------------------------------------------------
 
 
-def _table_rows(html: Column, table: str) -> Column:
-    tables = F.array_join(F.regexp_extract_all(html, F.lit(rf"(?is){table}.*?(?=</table|$)"), 0), "")
-    bodies = F.array_join(F.regexp_extract_all(tables, F.lit(_BODY_OF_TABLE), 0), "")
-    return F.regexp_extract_all(bodies, F.lit(ROW), 0)
-
-
-def _list_entries(html: Column, name: str) -> Column:
-    inside = F.array_join(elements(html, open_tag("class", name)), "")
-    return F.regexp_extract_all(inside, F.lit(ENTRY), 0)
-
-
-def default_blocks(html: Column) -> Column:
-    """Row blocks by the first of six known listing layouts that yields any."""
-    layouts = (
-        _table_rows(html, open_tag("class", "board_list", "table")),
-        _table_rows(html, open_tag("class", "bbsList", "table")),
-        _list_entries(html, "board_list"),
-        _list_entries(html, "bbs_list"),
-        _list_entries(html, "board-list-wrap"),
-        _table_rows(html, r"<table\b[^>]*>"),
-    )
-    return F.coalesce(*[let(rows, lambda r: F.when(F.size(r) > 0, r)) for rows in layouts], F.array().cast("array<string>"))
-
-
-def profile_blocks(html: Column, container: Column, block: Column) -> Column:
-    """Row blocks of a profile: `block` matches inside the elements opened by `container`."""
-    inside = F.when(container.isNull(), html).otherwise(F.array_join(elements(html, container), ""))
-    return F.regexp_extract_all(inside, block, F.lit(0))
-
-
-def title_tag(block: Column, pattern: Column) -> Column:
-    """The profile's title link, else the first link of the block."""
-    return F.coalesce(first_group(block, pattern), first_group(block, _LINK))
-
-
 def title_text(tag: Column) -> Column:
-    """Cleaned title attribute when it has at least three characters, else the link text."""
+    """Cleaned title attribute when it has at least three characters, else the text of the element."""
     attr = clean_title_attribute(attribute(tag, "title"))
     return F.coalesce(let(attr, lambda a: F.when(F.length(a) >= 3, a)), joined_text(tag))
 
 
-def link_tag(block: Column, tag: Column, pattern: Column) -> Column:
-    """The profile's link, else the title tag when it is a link, else the first link around it."""
-    own = F.when(tag.rlike(r"(?i)^<a\b"), tag)
-    return F.coalesce(first_group(block, pattern), own, first_group(block, _LINK))
-
-
-def block_date(block: Column, pattern: Column) -> Column:
-    """Date in the profile's date field, else in the first cell that begins with a date."""
-    cells = F.transform(F.regexp_extract_all(block, F.lit(_CELL), 1), joined_text)
-    dated = F.try_element_at(F.filter(cells, lambda c: c.rlike(_STARTS_WITH_DATE)), F.lit(1))
-    field = F.regexp_replace(extract(block, pattern), r"<[^>]*>", "")
-    return F.when(pattern.isNull(), date_from_text(dated)).otherwise(date_from_text(unescape(field)))
-
-
-def pdf_links(block: Column) -> Column:
-    """`href`s of the block that end in .pdf, as written."""
-    tags = F.regexp_extract_all(block, F.lit(r"(?is)<a\b[^>]*>"), 0)
-    hrefs = F.transform(tags, lambda t: attribute(t, "href"))
-    return F.filter(hrefs, lambda h: F.endswith(F.lower(h), F.lit(".pdf")))
+def row_date(field: Column, cells: Column) -> Column:
+    """Date in the row's date field, else in the first cell that begins with a date."""
+    texts = F.transform(cells, joined_text)
+    dated = F.try_element_at(F.filter(texts, lambda c: c.rlike(_STARTS_WITH_DATE)), F.lit(1))
+    text = unescape(F.regexp_replace(_without_comments(field), r"<[^>]*>", ""))
+    return date_from_text(F.coalesce(text, dated))
 
 
 # ---- detail pages -----------------------------------------------------------------------------

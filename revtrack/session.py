@@ -18,6 +18,8 @@ _RUNTIME_CONF = {
     # Hot join keys are split at run time; partial aggregation covers the group-bys.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # What goes to a Python worker at once is bounded by size; bodies of pages may be long.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
 }
 
 # For the session builder: recording the call site of every column operation makes large plans slow to build.

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
+from ..functions.elements import listing_rows
 from ..functions.rules import board_keyword_match
 from ..functions.text import let
 from ..functions.urls import post_url, resolve_url
@@ -18,33 +19,28 @@ def board_page(
     body: Column,
     page_url: Column,
     keywords: Column,
-    container: Column | None = None,
-    block: Column | None = None,
+    rows: Column | None = None,
     title: Column | None = None,
     link: Column | None = None,
     date: Column | None = None,
 ) -> Column:
-    """Posts of a listing page. The last five are a site's patterns; null means the usual layout."""
+    """Posts of a listing page. The last four are a site's selectors; null means the usual layout. `seen` counts rows."""
     null = F.lit(None).cast("string")
-    container, block, title, link, date = (null if c is None else c for c in (container, block, title, link, date))
-    blocks = F.when(block.isNull(), H.default_blocks(body)).otherwise(H.profile_blocks(body, container, block))
+    rows, title, link, date = (null if c is None else c for c in (rows, title, link, date))
 
     def post(row: Column) -> Column:
-        return let(H.title_tag(row, title), lambda tag: let(H.link_tag(row, tag, link), lambda a: _post(row, tag, a)))
-
-    def _post(row: Column, tag: Column, a: Column) -> Column:
         return item(
-            H.title_text(tag),
-            post_url(page_url, H.attribute(a, "href"), H.attribute(a, "onclick")),
-            H.block_date(row, date),
-            F.transform(H.pdf_links(row), lambda href: resolve_url(page_url, href)),
+            H.title_text(row["title"]),
+            post_url(page_url, H.attribute(row["link"], "href"), H.attribute(row["link"], "onclick")),
+            H.row_date(row["field"], row["cells"]),
+            F.transform(row["files"], lambda href: resolve_url(page_url, href)),
         )
 
     def kept(posts: Column) -> Column:
         wanted = F.filter(posts, lambda p: has_text(p["title"]) & board_keyword_match(p["title"], keywords))
         return page(wanted, F.size(posts))
 
-    return let(F.transform(blocks, post), kept)
+    return let(F.transform(listing_rows(body, rows, title, date, link), post), kept)
 
 
 def frontier(pages: DataFrame, unit: Sequence[str] = ("config_id",)) -> DataFrame:

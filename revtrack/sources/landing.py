@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
+from ..functions.elements import is_selector
 from ..operators.quality import add_missing_columns
 from ..schemas import RAW_PAGES
 from .board import board_page
@@ -14,8 +15,9 @@ from .feed import feed_page
 from .items import PAGE_TYPE, page
 from .lawsearch import law_page
 from .publications import publications_page
-from .registry import FIELD_PATTERNS, board_patterns, detail_profiles, page_profiles
+from .registry import detail_profiles, page_profiles
 
+SELECTORS = ("list_selector", "title_selector", "link_selector", "date_selector")
 ROUTES = ("publications", "detail", "rss", "bbs_list", "law_api")
 
 
@@ -55,24 +57,18 @@ def routed_configs(configs: DataFrame, agencies: DataFrame, detail: DataFrame, p
     )
 
 
-def _field(selector: str) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in FIELD_PATTERNS.items() for x in pair])
-    return F.try_element_at(table, F.col(selector))
-
-
 def extract_pages(
     pages: DataFrame,
     configs: DataFrame,
     agencies: DataFrame,
     detail: DataFrame | None = None,
     publications: DataFrame | None = None,
-    selectors: DataFrame | None = None,
 ) -> DataFrame:
     """One row per landed page: what it holds (`items`, `seen`) or why it failed (`error`).
 
     The landing table is read once; every route is a branch of one expression, so a body is parsed only
-    by its own extractor. `selectors` (see `board_patterns`) says what a list selector stands for; one that is not there is
-    an error, not the usual layout. Pages of an unknown config or agency come back with an error and no agency.
+    by its own extractor. A selector of a config that cannot be read (see `elements.SELECTOR`) is an error, not the usual
+    layout. Pages of an unknown config or agency come back with an error and no agency.
     """
     spark = pages.sparkSession
     # A landing without crawl ids has one crawl of a config per day.
@@ -81,13 +77,11 @@ def extract_pages(
     publications = page_profiles(spark) if publications is None else publications
     known = (
         routed_configs(configs, agencies, detail, publications)
-        .join(board_patterns(spark) if selectors is None else selectors, "list_selector", "left")
-        .withColumn("known_selector", F.coalesce(F.col("list_selector") == "", F.lit(True)) | F.col("block_re").isNotNull())
+        .withColumn("unread", F.coalesce(*(F.when(~is_selector(F.col(s)), F.col(s)) for s in SELECTORS)))
         .select(
             "config_id", "agency_id", "agency_name", "label", "item_type", "source_type", "route", "detail", "publication",
-            "max_pages", "container_re", "block_re", "list_selector", "known_selector",
+            "max_pages", *SELECTORS, "unread",
             F.coalesce("keyword_filter", F.array().cast("array<string>")).alias("keywords"),
-            _field("title_selector").alias("title_re"), _field("date_selector").alias("date_re"), _field("link_selector").alias("link_re"),
         )
     )
     names = F.create_map(
@@ -101,10 +95,12 @@ def extract_pages(
         return page(F.lit(None).cast(PAGE_TYPE)["items"], F.lit(0), message)
 
     body = F.coalesce(c("body"), F.lit(""))
+    # Bodies of other routes stay out of the Python workers.
+    listed = (c("route") == "bbs_list") & ok & c("unread").isNull()
     found = (
         F.when(c("agency_id").isNull(), failed(F.concat(F.lit("no active config for "), c("agency_code"))))
-        .when((c("route") == "bbs_list") & ~c("known_selector"), failed(F.concat(F.lit("Unknown selector: "), c("list_selector"))))
-        .when((c("route") == "bbs_list") & ok, board_page(body, c("url"), c("keywords"), c("container_re"), c("block_re"), c("title_re"), c("link_re"), c("date_re")))
+        .when((c("route") == "bbs_list") & c("unread").isNotNull(), failed(F.concat(F.lit("Unknown selector: "), c("unread"))))
+        .when(listed, board_page(F.when(listed, body), c("url"), c("keywords"), *(c(s) for s in SELECTORS)))
         .when((c("route") == "bbs_list") & (c("page_num") == 1), failed(F.concat(F.lit("Page 1 fetch failed: "), http_error)))
         .when(c("route") == "bbs_list", failed(F.lit(None)))
         .when((c("route") == "detail") & ok, detail_page(body, c("page_num"), c("keywords"), c("detail")))

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
-from ..functions.html import ENTRY, ROW, open_tag
 
 _G, _A = fv.GUIDELINE_KEYWORDS, fv.ANNOUNCEMENT_KEYWORDS
 
@@ -89,26 +88,6 @@ PAGE_PROFILES = (
      "date_regex": None, "download_url_template": "{seq}"},
 )
 
-_ANY_A = r"(?is)(<a\b[^>]*>.*?</a>)"
-# Patterns that stand for the selectors above: container opening tag, row, title link, date field.
-SELECTOR_PATTERNS = {
-    "table tbody tr": (r"<(?i:table)\b[^>]*>", ROW),
-    "tbody tr": (r"<(?i:tbody)\b[^>]*>", ROW),
-    ".board-list-wrap > ul > li": (open_tag("class", "board-list-wrap"), ENTRY),
-    ".board_type01 li": (open_tag("class", "board_type01"), ENTRY),
-    ".com_list_box > ul > li": (open_tag("class", "com_list_box"), r"(?is)<li\b[^>]*>.*?(?=<li\b[^>]*>\s*<div|$)"),
-}
-FIELD_PATTERNS = {
-    "a": _ANY_A,
-    ".subject a": rf"(?is){open_tag('class', 'subject')}.*?(<a\b[^>]*>.*?</a>)",
-    ".title a": rf"(?is){open_tag('class', 'title')}.*?(<a\b[^>]*>.*?</a>)",
-    "a.text-table-ellipsis": rf"(?is)({open_tag('class', 'text-table-ellipsis', 'a')}.*?</a>)",
-    "a[href*='boardSeq']": r"(?is)(<a\b[^>]*\shref\s*=\s*[\"'][^\"']*boardSeq[^>]*>.*?</a>)",
-    "span.src": rf"(?is){open_tag('class', 'src', 'span')}(.*?)</span>",
-    ".data_list_area .list li:first-child .text":
-        rf"(?is){open_tag('class', 'data_list_area')}.*?{open_tag('class', 'list')}.*?<li\b.*?{open_tag('class', 'text')}(.*?)</",
-}
-
 DETAIL_SCHEMA = (
     "agency_code string, list_url string, id_param_name string, url_template string, error_marker string, "
     "title_section_marker string, title_regex string, date_regex string, file_regex string, "
@@ -165,9 +144,3 @@ def first_profile(profiles: DataFrame, agency_code: str) -> DataFrame:
 def keyword_lists(spark: SparkSession) -> DataFrame:
     rows = [(kind, text, i, word) for kind, text, words in fv.KEYWORD_LISTS for i, word in enumerate(words)]
     return spark.createDataFrame(rows, "kind string, description string, position int, keyword string")
-
-
-def board_patterns(spark: SparkSession) -> DataFrame:
-    """The row patterns by selector, for joining with configs."""
-    rows = [(selector, container, block) for selector, (container, block) in SELECTOR_PATTERNS.items()]
-    return spark.createDataFrame(rows, "list_selector string, container_re string, block_re string")

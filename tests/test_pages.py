@@ -6,6 +6,7 @@ from urllib.parse import urljoin
 
 from pyspark.sql import functions as F
 
+from revtrack.functions import elements as structure
 from revtrack.functions import html, urls
 from revtrack.sources.board import board_page, followed
 from revtrack.sources.detail import last_ids, worklist
@@ -104,11 +105,58 @@ def test_board_list_layout_and_keywords(spark):
 
 def test_board_profile_patterns(spark):
     body = "<ul class='board_type01'><li><a href='#view' onclick=\"doBbsFView('1','2')\" title='발간물'>x</a><span class='src'>2026.04.13조회수 235</span></li></ul><li>x</li>"
-    container, block = registry.SELECTOR_PATTERNS[".board_type01 li"]
-    page = _board(spark, body, container=container, block=block, title=registry.FIELD_PATTERNS["a"], date=registry.FIELD_PATTERNS["span.src"])
+    page = _board(spark, body, rows=".board_type01 li", title="a", date="span.src")
     assert [(i.title, i.published_date) for i in page["items"]] == [("발간물", date(2026, 4, 13))]
 
 
+NESTED = """<ul class='board'><li class=row><a href='1'>Post one</a><ul><li><a href='f/1.pdf'>attach</a></li></ul> tail <a href='f/2.PDF'>b</a></li>
+<li class=row><a href='2'>Post two</a></li></ul>"""
+
+
+def test_nested_rows_keep_their_tail(spark):
+    by = lambda rows, **more: [(i.title, i.url, i.attachment_urls) for i in _board(spark, NESTED, rows=rows, **more)["items"]]
+    one = ("Post one", "http://h.kr/l/1", ["http://h.kr/l/f/1.pdf", "http://h.kr/l/f/2.PDF"])
+    inner = ("attach", "http://h.kr/l/f/1.pdf", ["http://h.kr/l/f/1.pdf"])
+    two = ("Post two", "http://h.kr/l/2", [])
+    assert by("ul.board > li") == by("li.row") == [one, two]
+    assert by(".board li") == [one, inner, two]
+    assert by("li li") == [inner]
+    assert by("li.row", title="li ul a") == [("attach", one[1].replace("/1", "/f/1.pdf"), one[2]), two]
+    same = _board(spark, "<div class='l'><div class='l'><p class=r><a href=1>in</a></div><p class=r><a href=2>after</a></div><p class=r><a href=3>out</a>", rows=".l > p.r")
+    assert [i.title for i in same["items"]] == ["in", "after"]
+
+
+def test_tables_without_end_tags_and_within_cells(spark):
+    body = """<table class=board_list><tbody><tr><td>1<td><a href=1>a</a><table><tbody><tr><td>2020-01-02</table><td>2021.03.04<tr><td><a href=2>b</a><td> 2022/5/6 x</tbody></table>"""
+    assert [(i.title, str(i.published_date)) for i in _board(spark, body, rows="table.board_list > tbody > tr")["items"]] == [("a", "2020-01-02"), ("b", "2022-05-06")]
+    assert [i.title for i in _board(spark, "<table class=board_list><tr><td><a href=1>no body</a></table>")["items"]] == []
+    odd = "</li></div><!-- <li><a href=0>c</a> --><script>'<li><a href=1>s</a>'</script><ul><li a='>'><a href='2' title='x > y'>t</a><li><br/><a\nHREF=3 / >u"
+    assert [(i.title, i.url) for i in _board(spark, odd, rows="li")["items"]] == [("x > y", "http://h.kr/l/2"), ("u", "http://h.kr/l/3")]
+
+
+def test_a_title_within_its_link(spark):
+    body = "<a href='/out'><div class=r><h4>head</h4><i>2020-01-01</i></div></a><div class=r><a href=in><h4>two</h4></a><a class=go href=go>go</a></div>"
+    assert [(i.title, i.url) for i in _board(spark, body, rows=".r", title="h4")["items"]] == [("head", "http://h.kr/out"), ("two", "http://h.kr/l/in")]
+    assert [(i.url, i.published_date) for i in _board(spark, body, rows=".r", title="h4", link="a.go", date="i")["items"]] == [("http://h.kr/out", date(2020, 1, 1)), ("http://h.kr/l/go", None)]
+
+
+def test_selectors_of_the_registry_and_new_ones(evaluate):
+    page = """<table class=board_list><tbody><tr id=r1><td><a class='text-table-ellipsis x' href='?boardSeq=1'>a</a></td></tr></tbody></table><div class=board-list-wrap><ul><li id=l1><p class=subject><a id=s1>x</a></p>
+<ol><li id=l2></li></ol></li></ul></div><div class='board_type01 w'><ul><li id=l3><span class=src>d</span></li></ul></div><div class=com_list_box><ul><li id=l4><b class=title><a id=t1></a></b></li></ul></div>
+<div class=data_list_area><ul class=list><li><i class=text id=d1></i></li><li><i class=text id=d2></i></li></ul></div>"""
+    want = {
+        "table tbody tr": ["r1"], "tbody tr": ["r1"], ".board-list-wrap > ul > li": ["l1"], ".board_type01 li": ["l3"], ".com_list_box > ul > li": ["l4"], ".subject a": ["s1"], ".title a": ["t1"],
+        "span.src": [None], "a.text-table-ellipsis": [None], "a[href*='boardSeq']": [None], ".data_list_area .list li:first-child .text": ["d1"], "a": [None, "s1", "t1"],
+        "div li[id]": ["l1", "l2", "l3", "l4"], "#l1 > ol>li": ["l2"], "*[id^=d][class$='xt']": ["d1", "d2"], "i.text:first-child": ["d1", "d2"], "ul ul li": [], "div[class~=w] ul": [None],
+    }
+    known = {s for _, _, _, _, _, _, _, _, by, _ in registry.TARGETS for s in by if s}
+    assert known <= set(want)
+    found = structure.elements(page)
+    assert {s: [e.get("id") for e in structure.selected(found, s)] for s in want} == want
+    assert evaluate(structure.is_selector, [*want, "", None]) == [True] * (len(want) + 2)
+    assert evaluate(structure.is_selector, ["a:hover", "a, b", "a + b", "a >", "> a", "a[b", "a..b", "a::before"]) == [False] * 8
+
+
 def test_frontier(spark):
     rows = [(1, 1, 200, 2), (1, 2, 200, 0), (1, 3, 200, 5), (2, 1, 500, 0), (3, 1, 200, 1), (3, 2, 200, 1), (4, 1, 200, 1), (4, 2, 404, 0), (4, 3, 200, 1)]
     pages = spark.createDataFrame(rows, "config_id long, page_num int, http_status int, matched int")

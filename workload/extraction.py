@@ -38,9 +38,7 @@ _TEXT = "trim(regexp_replace(" + _UNESCAPED.format(f"regexp_replace(regexp_extra
 def _links(t: Tables) -> DataFrame:
     """The navigation of every page read as a listing."""
     pages = _pages(t)
-    page = board_page(
-        F.col("html"), F.col("url"), _no_keywords(), F.lit(html.open_tag("tag", "nav")), F.lit(html.ENTRY)
-    )
+    page = board_page(F.col("html"), F.col("url"), _no_keywords(), F.lit("nav li"))
     host = F.regexp_extract("url", r"^(https?://[^/?#]*)", 1)
     return pages.select("page_id", host.alias("host"), F.posexplode(page["items"]).alias("pos", "item")).select("page_id", "host", "pos", "item.title", "item.url")
 
@@ -52,7 +50,7 @@ _LINKS = """links AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)',
 
 def _listing(t: Tables) -> DataFrame:
     """Pages of a host as one listing that matches links with a keyword."""
-    page = board_page(F.col("html"), F.col("url"), F.array(F.lit("the"), F.lit("la")), F.lit(html.open_tag("tag", "nav")), F.lit(html.ENTRY))
+    page = board_page(F.col("html"), F.col("url"), F.array(F.lit("the"), F.lit("la")), F.lit("nav li"))
     return _pages(t).select(
         F.regexp_extract("url", r"^(https?://[^/?#]*)", 1).alias("config_id"), F.col("page_id").alias("page_num"),
         F.lit(200).alias("http_status"), F.size(page["items"]).alias("matched"),
@@ -70,6 +68,25 @@ def _orders_body(t: Tables, expr: str) -> DataFrame:
     return dealt(t.raw("orders")).selectExpr("*", f"{expr} AS body")
 
 
+# One body per layout: nested rows, end tags left out, a container in a container, rows that are no children, a script link.
+_DAY = "CAST(CAST(o_orderdate AS DATE) AS STRING)"
+_LAYOUTS = f"""CASE o_orderkey % 6
+  WHEN 0 THEN concat('<table class="board_list"><thead><tr><th><a href="h">head</a></th></tr></thead><tbody><tr><td>1</td><td><a href="v?no=', o_orderkey, '" title="', o_orderpriority, ' post(새 글)">x</a><table><tr><td><a href="f/', o_custkey, '.PDF">file</a></td></tr></table></td><td> ', {_DAY}, ' </td></tr></tbody></table>')
+  WHEN 1 THEN concat('<table class="wide bbsList"><tbody><tr><td>1<td><a href="v?no=', o_orderkey, '">', o_orderpriority, ' <b>post</b></a><td>', {_DAY}, '<tr><td>no link<td>', {_DAY}, '</table>')
+  WHEN 2 THEN concat('<div class="board_list"><ul><li><a href="v?no=', o_orderkey, '">', o_orderpriority, '</a><ul><li><a href="f/', o_custkey, '.PDF">file</a></li></ul></li><li><a href="w">last</a></li></ul></div><ul><li><a href="m">menu</a></li></ul>')
+  WHEN 3 THEN concat('<ul class="bbs_list"><li><div class="bbs_list"><a href="v?no=', o_orderkey, '">', o_orderpriority, '</a></div><li><a href="w">last</a></ul><table><tbody><tr><td><a href="t">table</a></td></tr></tbody></table>')
+  WHEN 4 THEN concat('<div class="board-list-wrap"><ul><li><div class="subject"><a href="v?no=', o_orderkey, '">', o_orderpriority, '</a></div><ul><li><a href="f/', o_custkey, '.pdf">file</a></li></ul></li><li><!-- <a href="c">c</a> --><a href="w">last</a></li></ul></div>')
+  ELSE concat('<TABLE><tr><td><a href="t">no body</a></td></tr><TBODY><tr><td><a href="#view" onclick="doBbsFView(', chr(39), '1', chr(39), ',', chr(39), o_orderkey, chr(39), ')">', o_orderpriority, '</a></td><td>', {_DAY}, '</td></tr></TBODY></TABLE>') END"""
+# (remainder, position, title, url, date, pdf) of the posts in them; K is the order, C the customer.
+_LAID_OUT = """SELECT * FROM (VALUES (0, 0, 'P post', 'http://h/v?no=K', true, 'http://h/f/C.PDF'), (0, 1, 'file', 'http://h/f/C.PDF', false, 'http://h/f/C.PDF'), (1, 0, 'Ppost', 'http://h/v?no=K', true, ''),
+  (2, 0, 'P', 'http://h/v?no=K', false, 'http://h/f/C.PDF'), (2, 1, 'file', 'http://h/f/C.PDF', false, 'http://h/f/C.PDF'), (2, 2, 'last', 'http://h/w', false, ''), (3, 0, 'P', 'http://h/v?no=K', false, ''),
+  (3, 1, 'last', 'http://h/w', false, ''), (4, 0, 'P', 'http://h/v?no=K', false, 'http://h/f/C.pdf'), (4, 1, 'last', 'http://h/w', false, ''), (5, 0, 'P', 'http://h/site/nia_kor/ex/bbs/View.do?cbIdx=1&bcIdx=K', true, '')) v(layout, pos, title, url, dated, pdf)"""
+_SECTIONS = f"""concat('<div id="main"><section class="entry hot"><h3 class="t x"><a href="v/', o_orderkey, '" rel="bookmark nofollow">', o_orderpriority, '</a></h3><a href="o">other</a><time class="d">at ', {_DAY}, '</time>',
+  '</section><section class="entry"><h3><span><a href="w/', o_custkey, '">second</a></span></h3></section></div><div><section class="entry"><h3><a href="z">outside</a></h3></section></div>')"""
+# Row, title, date and link selectors by order.
+_CHOSEN = """element_at(array(named_struct('rows', '#main > section.entry', 'title', 'h3 > a', 'date', 'time.d', 'link', 'a[href^="o"]'), named_struct('rows', ' div#main   section.hot', 'title', '.t.x a[rel~=bookmark]', 'date', 'section>.d', 'link', ''),
+  named_struct('rows', 'section:first-child', 'title', '*.t', 'date', CAST(NULL AS STRING), 'link', 'a[href$=none]')), CAST(o_orderkey % 3 + 1 AS INT))"""
+
 _FEED = """concat('<rss version="2.0"><channel><title>c</title><item><title> order ', CAST(o_orderkey AS STRING), ' &amp; ', o_orderpriority, ' </title><link>http://h/', CAST(o_custkey AS STRING),
   '</link><pubDate>', CAST(CAST(o_orderdate AS DATE) AS STRING), '</pubDate><category>', o_orderstatus, '</category><enclosure url="http://h/', CAST(o_orderkey AS STRING), '.pdf"/></item>
   <item><title>no link</title></item>', CASE WHEN o_orderstatus = 'P' THEN '</chan' ELSE '</channel></rss>' END)"""
@@ -105,6 +122,28 @@ def _feed(t: Tables, field: str, body: str = _FEED) -> DataFrame:
     return _orders_body(t, body).select("o_orderkey", F.explode(rows).alias("i"))
 
 
+def _laid_out(t: Tables) -> DataFrame:
+    """Posts of bodies in all six layouts, with dates and attachments."""
+    page = board_page(F.col("body"), F.lit("http://h/l"), _no_keywords())
+    rows = _orders_body(t, _LAYOUTS).select("o_orderkey", F.posexplode(page["items"]).alias("pos", "i"))
+    return rows.select("o_orderkey", "pos", "i.title", "i.url", "i.published_date", F.array_join("i.attachment_urls", " ").alias("files"))
+
+
+def _chosen(t: Tables) -> DataFrame:
+    """Posts by selectors that are a column of the table."""
+    by = F.expr(_CHOSEN)
+    page = board_page(F.col("body"), F.lit("http://h/l"), _no_keywords(), by["rows"], by["title"], by["link"], by["date"])
+    rows = _orders_body(t, _SECTIONS).select("o_orderkey", page.alias("p")).select("o_orderkey", "p.seen", F.posexplode("p.items").alias("pos", "i"))
+    return rows.select("o_orderkey", "seen", "pos", "i.title", "i.url", "i.published_date")
+
+
+def _whole_pages(t: Tables) -> DataFrame:
+    """Every child of a page's body as a row: its heading, else its first link."""
+    page = board_page(F.col("html"), F.col("url"), _no_keywords(), F.lit("body > *"), F.lit("h1"))
+    rows = _pages(t).select("page_id", page.alias("p")).select("page_id", "p.seen", F.posexplode("p.items").alias("pos", "i"))
+    return rows.select("page_id", "seen", "pos", "i.title", "i.url", "i.published_date")
+
+
 def _detail_profile() -> F:
     fields = {
         "error_marker": "오류가 발생", "title_section_marker": "titleBox", "title_regex": r"<h3>([^<]+)</h3>", "date_regex": r'class="date"[^>]*>(\d{4}-\d{2}-\d{2})',
@@ -169,6 +208,22 @@ QUERIES = {
         _q(_links),
         f"WITH {_LINKS} SELECT page_id, host, pos, title, url FROM links",
     ),
+    "s5_layouts_f12_f35": (
+        _q(_laid_out),
+        f"""SELECT o_orderkey, pos, replace(title, 'P', o_orderpriority) AS title, replace(replace(url, 'K', o_orderkey::VARCHAR), 'C', o_custkey::VARCHAR) AS url,
+ CASE WHEN dated THEN CAST(o_orderdate AS DATE) END AS published_date, replace(pdf, 'C', o_custkey::VARCHAR) AS files FROM orders JOIN ({_LAID_OUT}) ON layout = o_orderkey % 6""",
+    ),
+    "s5_whole_pages": (
+        _q(_whole_pages),
+        f"""WITH {_LINKS} SELECT page_id, 4 AS seen, 0 AS pos, title, url, CAST(NULL AS DATE) AS published_date FROM links WHERE pos = 0
+ UNION ALL SELECT page_id, 4, 1, trim(regexp_replace({_UNESCAPED.format("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")}, '\\s+', ' ', 'g')), '', NULL FROM pages""",
+    ),
+    "x2_selectors": (
+        _q(_chosen),
+        """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 2 END AS seen, pos, CASE WHEN pos = 0 THEN o_orderpriority WHEN o_orderkey % 3 = 0 THEN 'second' ELSE 'outside' END AS title,
+ CASE WHEN o_orderkey % 3 = 0 AND pos = 0 THEN 'http://h/o' WHEN pos = 0 AND o_orderkey % 3 = 1 THEN 'http://h/v/' || o_orderkey WHEN pos = 0 THEN '' WHEN o_orderkey % 3 = 0 THEN 'http://h/w/' || o_custkey ELSE 'http://h/z' END AS url,
+ CASE WHEN pos = 0 AND o_orderkey % 3 < 2 THEN CAST(o_orderdate AS DATE) END AS published_date FROM orders, (VALUES (0), (1)) v(pos) WHERE pos = 0 OR o_orderkey % 3 <> 1""",
+    ),
     "d1_first_per_url": (
         _q(lambda t: first_per_url(_links(t), ["host"], ["page_id", "pos"])),
         f"WITH {_LINKS} SELECT page_id, host, pos, title, url FROM links QUALIFY row_number() OVER (PARTITION BY host, url ORDER BY page_id, pos) = 1",
