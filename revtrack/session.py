@@ -48,28 +48,51 @@ def shared_dir(spark: SparkSession) -> str:
 _SCOPE = threading.local()
 
 
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Remove what is staged inside when the block has ended well; after a failure it stays for a look."""
     outer, _SCOPE.paths = getattr(_SCOPE, "paths", None), []
     try:
         yield
-        for path in _SCOPE.paths:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        remove(spark, _SCOPE.paths)
+    finally:
+        _SCOPE.paths = outer
+
+
+@contextmanager
+def step(spark: SparkSession, past: list[str]) -> Iterator[None]:
+    """A step of a chain whose results are written before the next one starts: removes what the step before has staged
+    (`past`) and notes there what this one stages, which its result may still read."""
+    remove(spark, past)
+    past.clear()
+    outer, _SCOPE.paths = getattr(_SCOPE, "paths", None), past
+    try:
+        yield
     finally:
         _SCOPE.paths = outer
 
 
 def stage(df: DataFrame, keep: bool = False) -> DataFrame:
-    """Write `df` to the shared folder and read it back; `keep` lets it outlive a `scratch` block.
+    """Write `df` to the shared folder and read it back; `keep` lets it outlive a `scratch` or `step` block.
 
     A parquet table rather than `checkpoint()`: it survives lost executors the same way, but the
     reader can prune columns and AQE knows its size.
     """
+    return stage_at(df, keep)[0]
+
+
+def stage_at(df: DataFrame, keep: bool = False) -> tuple[DataFrame, str]:
+    """As `stage`, with the table's path, for `remove`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/revtrack/{uuid.uuid4().hex}"
     if not keep and getattr(_SCOPE, "paths", None) is not None:
         _SCOPE.paths.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
