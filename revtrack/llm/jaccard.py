@@ -163,13 +163,21 @@ def representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         sets = map(shingles, raws)
         return pd.Series([set_id(s) if len(s) else None for s in sets], dtype="Int64")
 
-    found = classes(docs, doc_id=doc_id, text=text, percent=percent).where(F.col("class").isNotNull())
-    best = stage(found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set")).alias("b")).select(F.col("b.doc_id").alias("_id"), F.col("b.set").alias("_best")))
+    found = stage(classes(docs, doc_id=doc_id, text=text, percent=percent).where(F.col("class").isNotNull()).select("doc_id", "set", "class"))
+    best = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set")).alias("b"))
+    best = best.select("class", F.col("b.doc_id").alias("_id"), F.col("b.set").alias("_best"))
+    is_best = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("set") == F.col("_best"))
+    told = found.join(best, "class").groupBy("set", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(is_best).alias("best"))
+    # Rows that go, and rows of which equal ones stand several times. What stays is not moved while these lists are short
+    # enough for Spark to broadcast them.
+    told = stage(told.where("not best or n > 1"))
     keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).alias("_doc"), digest(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_set"))
-    # By set and id, so that copies spread out.
-    met = keyed.join(best, (F.col("_set") == F.col("_best")) & F.col("_doc").eqNullSafe(F.col("_id")), "left").where("_set IS NULL OR _best IS NOT NULL")
+    gone, often = (told.where(c).select(F.col("set").alias("_s"), F.col("doc_id").alias("_d")) for c in ("not best", "best"))
+    same = (F.col("_set") == F.col("_s")) & F.col("_doc").eqNullSafe(F.col("_d"))
+    kept = keyed.join(gone.union(often), same, "left_anti").select("_row")
     turn = F.row_number().over(Window.partitionBy("_set", "_doc").orderBy(F.lit(1)))
-    return met.withColumn("_turn", turn).where("_set IS NULL OR _turn = 1").select("_row.*")
+    one = keyed.join(often, same, "left_semi").withColumn("_turn", turn).where("_turn = 1").select("_row")
+    return kept.union(one).select("_row.*")
 
 
 def _shared_tokens(docs: DataFrame, doc_id: str, text: str, table, percent: int) -> DataFrame:
