@@ -3,9 +3,9 @@
 In order of arrival a post is *skipped* when its url is known, *skipped* when its title key already has a
 version of that day, and otherwise becomes a version - of a stored document, or of a new one. A row is
 thus taken exactly when its url and its (title, day) are both still free, which makes the accepted rows
-the matching a greedy pass would pick. It is found in rounds: the first row of every (title, day) is
-taken if it is also the first row of its url. One round settles everything unless the same url came with
-different titles or days; only then further rounds run on what is left.
+the matching a greedy pass would pick. The first row of every (title, day) is taken if it is also the
+first row of its url. That settles everything unless the same url came with different titles or days; rows
+that then conflict in turn are passed through in order, agency by agency.
 """
 
 from __future__ import annotations
@@ -14,8 +14,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.rules import categorize
@@ -123,29 +126,61 @@ def _against_store(copies: DataFrame, guidelines: DataFrame, versions: DataFrame
     )
 
 
+# Rows of an agency that conflict in turn and are settled in one task; their keys are some 200 bytes each.
+CHAINED = 500_000
+
+
 def _settle(fresh: DataFrame) -> DataFrame:
-    """The rows a pass in order would accept: each url and each (title, day) used once."""
-    parts = []
-    while True:
-        heads = (
-            fresh.groupBy(*EDITION)
-            .agg(F.min_by(F.struct("url", "guideline_id", "first"), "ord").alias("r"), F.min("ord").alias("ord"))
-            .select(*EDITION, "ord", "r.*")
-        )
-        first_of_url = fresh.groupBy(*URL).agg(F.min("ord").alias("url_ord"))
-        judged = stage(heads.join(first_of_url, URL).withColumn("wins", F.col("ord") == F.col("url_ord")).drop("url_ord"))
-        wins = judged.where("wins").drop("wins")
-        parts.append(wins)
-        if judged.where(~F.col("wins")).isEmpty():
-            break
-        left = fresh.join(wins.select(*EDITION), EDITION, "left_anti").join(wins.select(*URL), URL, "left_anti")
-        fresh = stage(left)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    """The rows a pass in order would accept: each url and each (title, day) used once.
+
+    A first round takes the first row of each (title, day) that is also the first of its url. What it leaves open are chains
+    of rows that conflict in turn; these lie within an agency, so the keys of an agency's open rows are passed through in
+    order, at any length of the chains. Agencies with more open rows than a task should hold go on round by round.
+    """
+    taken, left = _round(fresh)
+    if left is None:
+        return taken
+    left = stage(left)
+    many = stage(left.groupBy("agency_id").count().where(F.col("count") > CHAINED).select("agency_id"))
+    few = left.join(many, "agency_id", "left_anti")
+    keys = few.select(*EDITION, "url", "ord")
+
+    def in_order(part: pa.Table) -> pa.Table:
+        flat = part.select(["ord"]).flatten()
+        order = pc.sort_indices(flat, [(c, "ascending") for c in flat.column_names], null_placement="at_start")
+        rows = part.drop_columns("ord").take(order)
+        urls, editions, kept = set(), set(), []
+        for k, (url, *edition) in enumerate(zip(*(rows[c].to_pylist() for c in ("url", "norm_title", "pub_date")))):
+            if url not in urls and tuple(edition) not in editions:
+                urls.add(url)
+                editions.add(tuple(edition))
+                kept.append(k)
+        return rows.take(pa.array(kept, pa.int64()))
+
+    passed = keys.groupBy("agency_id").applyInArrow(in_order, T.StructType([keys.schema[c] for c in (*EDITION, "url")]))
+    out = taken.unionByName(stage(few.join(passed, [*EDITION, "url"], "left_semi").select(*taken.columns)))
+    left = None if many.isEmpty() else stage(left.join(many, "agency_id", "left_semi"))
+    while left is not None:
+        won, left = _round(left)
+        out, left = out.unionByName(won), None if left is None else stage(left)
     return out
 
 
+def _round(fresh: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows that are the first of their (title, day) and of their url, and those that do not meet them, if there can be any."""
+    heads = (
+        fresh.groupBy(*EDITION)
+        .agg(F.min_by(F.struct("url", "guideline_id", "first"), "ord").alias("r"), F.min("ord").alias("ord"))
+        .select(*EDITION, "ord", "r.*")
+    )
+    first_of_url = fresh.groupBy(*URL).agg(F.min("ord").alias("url_ord"))
+    judged = stage(heads.join(first_of_url, URL).withColumn("wins", F.col("ord") == F.col("url_ord")).drop("url_ord"))
+    wins = judged.where("wins").drop("wins")
+    if judged.where(~F.col("wins")).isEmpty():
+        return wins, None
+    return wins, fresh.join(wins.select(*EDITION), EDITION, "left_anti").join(wins.select(*URL), URL, "left_anti")
+
+
 def _last_types(known: DataFrame, taken: DataFrame) -> DataFrame:
     """Item type of the last post that reached each document, by url or as a version."""
     by_stored_url = known.where(F.col("url_owner").isNotNull()).select(

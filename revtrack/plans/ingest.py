@@ -135,12 +135,15 @@ def ingest(
     detail: DataFrame | None = None,
     publications: DataFrame | None = None,
     law_limit: int = LAW_ITEM_LIMIT,
+    bodies: DataFrame | None = None,
 ) -> DataFrame | None:
     """Merge one batch of landed pages into the store; returns the tallies per crawl.
 
     A batch may hold several crawls of a config. Undated posts take the day of their own crawl; pages of unknown
     configs or agencies are stored as `page_errors`.
 
+    `bodies` (url, body) are pages of single posts, which the scorer then sees the beginning of.
+
     `run` names the stream or job and its running number; a run the store already holds is left alone,
     so a replay after a crash changes nothing.
     """
@@ -151,7 +154,7 @@ def ingest(
         batch = last + 1
         configs, agencies = store.read("crawl_configs", last), store.read("agencies", last)
         found = posts_of(extract_pages(pages, configs, agencies, detail, publications), law_limit)
-        judged = stage(accept_items(found.items, scorer).withColumn("published_date", F.coalesce("published_date", "crawl_day")))
+        judged = stage(accept_items(found.items, scorer, bodies=bodies).withColumn("published_date", F.coalesce("published_date", "crawl_day")))
         merge = decide(judged, store.titles(last), store.read("guideline_versions", last), as_of, ARRIVAL, CRAWL)
         tallies = stage(merge.tallies, keep=True)
         _write_merge(store, merge, as_of, batch, last)

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.scoring import Scorer
 from ..plans.ingest import ingest
 from ..session import configure
-from ..sources.landing import stream_pages
+from ..sources.landing import read_pages, stream_pages
 from ..sources.store import Store
 
 
@@ -36,17 +36,20 @@ def ingest_stream(
     clock: Callable[[DataFrame], datetime | None] = latest_fetch,
     detail: DataFrame | None = None,
     publications: DataFrame | None = None,
+    bodies: str | None = None,
 ) -> StreamingQuery:
     """Read what has landed since the last call and merge it, then stop.
 
-    `name` tells streams that feed one store apart; keep it as long as the checkpoint.
+    `name` tells streams that feed one store apart; keep it as long as the checkpoint. `bodies` is a folder of pages of single
+    posts in the landing's layout; each batch sees what is there when it runs.
     """
 
     def merge(pages: DataFrame, batch_id: int) -> None:
         store = Store(configure(pages.sparkSession), store_root)
         as_of = clock(pages)
         if as_of is not None:
-            ingest(store, pages, as_of, (name, batch_id), scorer, detail, publications)
+            posts = read_pages(pages.sparkSession, bodies).where("http_status = 200").select("url", "body", "fetched_at") if bodies else None
+            ingest(store, pages, as_of, (name, batch_id), scorer, detail, publications, bodies=posts)
 
     return (
         stream_pages(spark, landing, max_files)

@@ -1,17 +1,19 @@
 """Revision upsert against a plain sequential replay, and the joins around it."""
 
 import random
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from revtrack.functions.rules import categorize
+from revtrack.operators import merge as merging
 from revtrack.operators.lookups import (
     absent, load_tally, mark_existing, mark_legal_bases, mark_titled_alike, titled_alike, with_agency, with_count,
 )
 from revtrack.operators.merge import decide, with_ids
 from revtrack.operators.pick import first_per_url, latest_run_per_config, top_per_key
-from revtrack.operators.scoring import accept_items
+from revtrack.operators.scoring import accept_items, score_borderline, with_snippets
 from revtrack.session import stage
 
 AS_OF = datetime(2026, 5, 1, 9)
@@ -109,6 +111,30 @@ def test_random_batches_equal_the_replay(spark):
             assert types.get((agency, gid), stored_kind) == kind, (agency, gid)
 
 
+def _chain(spark, n, agency=1):
+    """Posts of which each shares its url with the one before or its day with the one after."""
+    day = lambda k: date(2000, 1, 1) + timedelta(days=k)
+    posts = [(agency, 1, k, "T 가이드", f"u{k // 2}", day((k + 1) // 2), [], "guideline", True, False) for k in range(n)]
+    return spark.createDataFrame(posts, ITEMS).repartition(3), spark.createDataFrame([], GUIDELINES), spark.createDataFrame([], VERSIONS)
+
+
+@pytest.mark.parametrize("bound", [500_000, 20])
+def test_chains_of_any_length_take_the_same_writes(spark, monkeypatch, bound):
+    writes = []
+    monkeypatch.setattr(merging, "CHAINED", bound)
+    monkeypatch.setattr(merging, "stage", lambda df: writes.append(1) or stage(df))
+    for n in (5, 40) if bound == 20 else (5, 2_000):
+        writes.clear()
+        items, stored, versions = _chain(spark, n)
+        got = sorted((r.pub_date, r.url) for r in merging.decide(items, stored, versions, AS_OF).editions.collect())
+        urls, days, want = set(), set(), []
+        for r in sorted(items.collect(), key=lambda r: r.seq):
+            if r.url not in urls and r.published_date not in days:
+                urls.add(r.url), days.add(r.published_date), want.append((r.published_date, r.url))
+        assert got == sorted(want) and len(want) > n // 3
+        assert bound == 20 or len(writes) == 6
+
+
 def test_one_agency_scenario_and_its_repeat(spark):
     posts = [
         (1, "A 가이드 2025", "u1", date(2026, 1, 1)), (2, "A 가이드 v2.0", "u2", date(2026, 2, 1)),
@@ -151,6 +177,23 @@ def test_scorer_sees_borderline_posts_only(spark):
     assert {r.title for r in accept_items(items).where("accepted").collect()} == {"보안 안내서", "행사"}
 
 
+def test_the_scorer_sees_the_post_s_own_page_and_python_its_question_only(spark):
+    rows = [(1, 1, n, t, f"u{n}", None, [], "guideline") for n, t in enumerate(["업무보고", "로드맵", "보안 안내서", "계획", "업무 하나"])]
+    items = spark.createDataFrame(rows, ITEMS.split(", accepted")[0]).withColumn("label", F.lit("게시판")).withColumn("agency_name", F.lit("기관"))
+    bodies = spark.createDataFrame(
+        [("u0", "<main>표준 문서 첨부 계획.hwp</main>", 1), ("u1", "<main>소식</main>", 1), ("u2", "<main>표준</main>", 1), ("u4", "<main>표준</main>", 1), ("u4", "<main>새 소식</main>", 2), ("", "<main>표준</main>", 1)],
+        "url string, body string, fetched_at long",
+    )
+    scorer = lambda q: q.str.contains("본문 첫 500자: 표준").map({True: "yes", False: "no"})
+    got = {r.title: (r.accepted, r.scored) for r in accept_items(items, scorer, bodies=bodies).collect()}
+    assert got == {"업무보고": (True, True), "로드맵": (False, True), "보안 안내서": (True, False), "계획": (False, True), "업무 하나": (False, True)}
+    shown = with_snippets(items, bodies)
+    told = {r.title: r.reason for r in score_borderline(shown, scorer, "_snippet").collect()}
+    assert told["업무보고"] == "LLM=YES | 첨부=.hwp" and told["계획"] == "LLM=NO | 본문추출실패"
+    plan = score_borderline(shown, scorer, "_snippet")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInPandas" not in plan
+
+
 def test_ids_are_dense_and_unique(spark):
     rows = with_ids(spark.range(1000).withColumnRenamed("id", "v").repartition(7), 41).collect()
     assert sorted(r.id for r in rows) == list(range(42, 1042))

@@ -17,6 +17,7 @@ from revtrack.sources import registry
 from revtrack.sources.store import Store
 from revtrack.streaming.incremental import ingest_stream
 
+from .extraction import _TEXT as _PAGE_TEXT
 from .roles import LINES, Tables, lines, with_roles
 from .titles import _q, sql_category, sql_class, sql_label, sql_norm
 
@@ -63,6 +64,33 @@ def _line_scorer(questions):
     return questions.str.contains("tion").map({True: " yes, it is", False: "NO"})
 
 
+# Two of three pages name a file in front of their text.
+_WITH_FILE = "CASE WHEN page_id % 3 = 0 THEN html ELSE replace(html, '<article>', '<article> file_' || page_id || CASE WHEN page_id % 3 = 1 THEN '.pdf ' ELSE '.docx ' END) END"
+
+
+def _page_posts(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Pages as posts, two of three of them borderline by their title, and what is behind their urls."""
+    pages = t.raw("pages")
+    title = F.when(F.col("page_id") % 3 == 0, F.lit("보안 가이드라인")).otherwise(F.concat(F.lit("업무보고 "), F.col("page_id").cast("string")))
+    posts = pages.select("page_id", title.alias("title"), "url", F.lit("guideline").alias("item_type"), F.lit("board").alias("label"), F.lit("agency").alias("agency_name"))
+    return posts, pages.select("url", F.expr(_WITH_FILE).alias("body"))
+
+
+def _asked_pages(t: Tables) -> DataFrame:
+    posts, bodies = _page_posts(t)
+    return scoring.accept_items(posts, _body_scorer, bodies=bodies).select("page_id", "accepted", "scored")
+
+
+def _reasons(t: Tables) -> DataFrame:
+    posts, bodies = _page_posts(t)
+    return scoring.score_borderline(scoring.with_snippets(posts, bodies), _body_scorer, "_snippet").select("page_id", "is_guideline", "confidence", "reason")
+
+
+def _body_scorer(questions):
+    body = questions.str.extract(r"본문 첫 500자: ([\s\S]*?)(?:\n첨부파일|\n\n|\Z)")[0].fillna("")
+    return body.str.contains("tion").map({True: "yes", False: "no"})
+
+
 def _candidates(t: Tables) -> DataFrame:
     return t.spark.sql(f"SELECT {_CANDIDATE} FROM {{customer}}", customer=t.raw("customer"))
 
@@ -162,6 +190,17 @@ QUERIES = {
            .select("doc_id", "line_no", "is_guideline", "confidence", "reason")),
         f"WITH {LINES} SELECT doc_id, line_no, contains(title, 'tion') AS is_guideline, 'llm' AS confidence, CASE WHEN contains(title, 'tion') THEN 'LLM=YES, IT IS | 본문추출실패' ELSE 'LLM=NO | 본문추출실패' END AS reason FROM lines",
     ),
+    "x1_with_bodies": (
+        _q(_asked_pages),
+        f"""WITH own AS (SELECT url, min(left({_PAGE_TEXT}, 500)) AS s FROM (SELECT url, {_WITH_FILE} AS html FROM pages) GROUP BY 1),
+SELECT page_id, page_id % 3 = 0 OR contains(s, 'tion') AS accepted, page_id % 3 <> 0 AS scored FROM pages JOIN own USING (url)""",
+    ),
+    "x1_reasons_f20": (
+        _q(_reasons),
+        f"""WITH own AS (SELECT url, min(left({_PAGE_TEXT}, 500)) AS s FROM (SELECT url, {_WITH_FILE} AS html FROM pages) GROUP BY 1)
+SELECT page_id, contains(s, 'tion') AS is_guideline, 'llm' AS confidence, 'LLM=' || CASE WHEN contains(s, 'tion') THEN 'YES' ELSE 'NO' END
+ || CASE WHEN regexp_matches(s, 'file_[0-9]+[.]') THEN ' | 첨부=' || regexp_extract(s, 'file_[0-9]+([.][a-z]+)', 1) ELSE '' END AS reason FROM pages JOIN own USING (url)""",
+    ),
     "x1_accept_posts": (
         _q(lambda t: scoring.accept_items(t.posts.withColumn("label", F.lit("b")).withColumn("agency_name", F.lit("a")), _scorer).select("seq", "accepted", "scored")),
         with_roles("posts", body=f"""SELECT seq, CASE WHEN item_type = 'announcement' THEN true WHEN {sql_class('title')} IS NOT NULL THEN {sql_class('title')} ELSE contains(title, '전자정부') END AS accepted,
