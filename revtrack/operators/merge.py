@@ -24,6 +24,7 @@ from pyspark.sql.window import Window
 from ..functions.rules import categorize
 from ..functions.text import normalize_title, pdf_url, version_label
 from ..session import stage
+from ..sources.store import Stored
 
 URL = ["agency_id", "url"]
 TITLE = ["agency_id", "norm_title"]
@@ -42,8 +43,8 @@ class Merge:
 
 def decide(
     items: DataFrame,
-    guidelines: DataFrame,
-    versions: DataFrame,
+    guidelines: DataFrame | Stored,
+    versions: DataFrame | None,
     as_of: datetime,
     order: Sequence[str] = ("config_id", "seq"),
     unit: Sequence[str] = ("config_id",),
@@ -51,10 +52,11 @@ def decide(
     """Classify `items` (see `accept_items`) into new documents, new versions and skipped posts.
 
     `items`: agency_id, config_id, title, url, published_date, attachment_urls, item_type, accepted, scored
-    and the `order` columns, which must be unique. `guidelines` may carry `norm_title` already. Tallies are per agency and `unit`.
+    and the `order` columns, which must be unique. `guidelines` may carry `norm_title` already; instead of
+    both tables a store's `stored()` may be given, with `versions` null. Tallies are per agency and `unit`.
     """
     copies = stage(_copies(items, as_of, order, unit))
-    known = stage(_against_store(copies, guidelines, versions))
+    known = stage(_against_store(copies, guidelines if versions is None else _whole(guidelines, versions)))
     fresh = known.where(F.col("url_owner").isNull() & ~F.col("day_taken"))
     taken = _settle(fresh)
 
@@ -99,22 +101,25 @@ def _copies(items: DataFrame, as_of: datetime, order: Sequence[str], unit: Seque
     )
 
 
-def _against_store(copies: DataFrame, guidelines: DataFrame, versions: DataFrame) -> DataFrame:
-    """Add `url_owner`, `guideline_id` and `day_taken` from the stored rows the batch can touch."""
+def _whole(guidelines: DataFrame, versions: DataFrame) -> Stored:
+    """Whole tables as what a batch is matched against."""
     if "norm_title" not in guidelines.columns:
         guidelines = guidelines.withColumn("norm_title", normalize_title(F.col("title")))
-    stored_urls = guidelines.where(F.coalesce("source_url", F.lit("")) != "").withColumnRenamed("source_url", "url")
-    by_url = (
-        stored_urls.join(copies.select(*URL).distinct(), URL, "left_semi").groupBy(*URL).agg(F.max("id").alias("url_owner"))
-    )
-    by_title = (
-        guidelines.join(copies.select(*TITLE).distinct(), TITLE, "left_semi")
-        .groupBy(*TITLE)
-        .agg(F.max("id").alias("guideline_id"))
+    urls = guidelines.where(F.coalesce("source_url", F.lit("")) != "").select("agency_id", F.col("source_url").alias("url"), "id")
+    return Stored(
+        lambda keys: guidelines.select(*TITLE, "id"), lambda keys: urls, lambda keys: versions.select("guideline_id", "published_date"),
+        lambda keys: guidelines.select(F.col("id").alias("guideline_id"), F.col("item_type").alias("stored_type")),
     )
+
+
+def _against_store(copies: DataFrame, stored: Stored) -> DataFrame:
+    """Add `url_owner`, `guideline_id` and `day_taken` from the stored rows the batch can touch."""
+    urls, titles = (copies.select(*key).distinct() for key in (URL, TITLE))
+    by_url = stored.by_url(urls).join(urls, URL, "left_semi").groupBy(*URL).agg(F.max("id").alias("url_owner"))
+    by_title = stage(stored.by_title(titles).join(titles, TITLE, "left_semi").groupBy(*TITLE).agg(F.max("id").alias("guideline_id")))
     placed = copies.join(by_url, URL, "left").join(by_title, TITLE, "left")
     days = (
-        versions.select("guideline_id", F.col("published_date").alias("pub_date"))
+        stored.days(by_title.select("guideline_id")).select("guideline_id", F.col("published_date").alias("pub_date"))
         .join(by_title.select("guideline_id"), "guideline_id", "left_semi")
         .distinct()
         .withColumn("taken", F.lit(True))

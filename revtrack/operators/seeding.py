@@ -12,7 +12,7 @@ from .. import fixed_values as fv
 from ..functions.rules import basis_type
 from ..functions.text import normalize_title
 from ..session import stage
-from ..sources.store import Store
+from ..sources.store import Store, replanned
 from .lookups import load_tally, mark_existing, mark_legal_bases, mark_titled_alike
 from .merge import with_ids
 
@@ -27,6 +27,7 @@ def _first_in_load(marked: DataFrame, keys: list[str]) -> DataFrame:
     return marked.withColumn("exists", F.col("exists") | (F.row_number().over(first) > 1)).drop("_at")
 
 
+@replanned
 def seed_agencies(store: Store, publishers: DataFrame, at: datetime) -> DataFrame:
     """Store publishers whose code is new, with their targets as configs; returns the tally.
 
@@ -49,6 +50,7 @@ def seed_agencies(store: Store, publishers: DataFrame, at: datetime) -> DataFram
     return load_tally(marked)
 
 
+@replanned
 def seed_documents(store: Store, documents: DataFrame, at: datetime, alike: bool) -> DataFrame:
     """Store curated documents with their first version unless already there; returns the tally.
 
@@ -74,6 +76,7 @@ def seed_documents(store: Store, documents: DataFrame, at: datetime, alike: bool
     return load_tally(marked)
 
 
+@replanned
 def seed_legal_bases(store: Store, rules: DataFrame, at: datetime) -> DataFrame:
     """Store searched rules as legal bases unless already there; returns the tally.
 

@@ -14,7 +14,7 @@ from ..operators.scoring import Scorer, accept_items
 from ..session import scratch, stage
 from ..sources.board import followed
 from ..sources.landing import extract_pages
-from ..sources.store import Run, Store
+from ..sources.store import Run, Store, replanned
 
 LAW_ITEM_LIMIT = 50
 # One visit of a config's source: it has its own frontier, failure, limit, clock and run.
@@ -117,15 +117,16 @@ def _write_merge(store: Store, merge: Merge, as_of: datetime, batch: int, last:
         stamp.alias("detected_at"),
     )
     store.write("guideline_versions", with_ids(versions, store.last_id("guideline_versions", last)), batch)
-    stored = store.read("guidelines", last).select(F.col("id").alias("guideline_id"), F.col("item_type").alias("stored_type"))
+    types = stage(merge.types)
     changed = (
-        stored.join(merge.types, "guideline_id")
+        store.stored(last).types(types).join(types, "guideline_id")
         .where(F.col("stored_type") != F.col("item_type"))
         .select("guideline_id", "item_type", stamp.alias("updated_at"))
     )
     store.write("guideline_types", changed, batch)
 
 
+@replanned
 def ingest(
     store: Store,
     pages: DataFrame,
@@ -145,7 +146,7 @@ def ingest(
     `bodies` (url, body) are pages of single posts, which the scorer then sees the beginning of.
 
     `run` names the stream or job and its running number; a run the store already holds is left alone,
-    so a replay after a crash changes nothing.
+    so a replay after a crash changes nothing. When another writer commits meanwhile, the batch is planned again.
     """
     if run is not None and store.holds(run):
         return None
@@ -155,7 +156,7 @@ def ingest(
         configs, agencies = store.read("crawl_configs", last), store.read("agencies", last)
         found = posts_of(extract_pages(pages, configs, agencies, detail, publications), law_limit)
         judged = stage(accept_items(found.items, scorer, bodies=bodies).withColumn("published_date", F.coalesce("published_date", "crawl_day")))
-        merge = decide(judged, store.titles(last), store.read("guideline_versions", last), as_of, ARRIVAL, CRAWL)
+        merge = decide(judged, store.stored(last), None, as_of, ARRIVAL, CRAWL)
         tallies = stage(merge.tallies, keep=True)
         _write_merge(store, merge, as_of, batch, last)
         store.write("crawl_runs", with_ids(run_rows(found, tallies, as_of), store.last_id("crawl_runs", last)), batch)
