@@ -105,7 +105,7 @@ def _rules(t: Tables) -> DataFrame:
     return t.spark.sql(f"SELECT {_RULE} FROM {{orders}}", orders=t.raw("orders"))
 
 
-def stream_ingest(spark, sf_dir: str, backlog: bool = False) -> DataFrame:
+def streamed(spark, sf_dir: str, backlog: bool = False) -> Store:
     """Every page lands as a detail page of one of 25 agencies and is merged by the stream.
 
     Two crawls land, one after the other, each with the whole table: the second meets what the first has stored. With
@@ -139,6 +139,12 @@ def stream_ingest(spark, sf_dir: str, backlog: bool = False) -> DataFrame:
     ])
     query = ingest_stream(spark, f"{root}/landing", store.root, f"{root}/checkpoint", max_files=None if backlog else 1, detail=profiles)
     query.awaitTermination()
+    return store
+
+
+def stream_ingest(spark, sf_dir: str, backlog: bool = False) -> DataFrame:
+    """Versions per document after both crawls."""
+    store = streamed(spark, sf_dir, backlog)
     guidelines = store.read("guidelines").select(F.col("id").alias("guideline_id"), "agency_id", "norm_title", "item_type")
     return (
         store.read("guideline_versions").join(guidelines, "guideline_id")
@@ -151,6 +157,20 @@ _STREAMED = f"""WITH p AS (SELECT page_id % 25 AS agency_id, trim(regexp_extract
 SELECT agency_id, {sql_norm('title')} AS norm_title, 'announcement' AS item_type, least(2, count(*)) AS versions, DATE '2001-08-01' + CAST(least(2, count(*)) - 1 AS INTEGER) AS published_date FROM p WHERE title <> '' AND contains(title, 'e') GROUP BY ALL"""
 
 
+def run_rows(spark, sf_dir: str) -> DataFrame:
+    """The run of each crawl: its status and what it found and stored."""
+    runs = streamed(spark, sf_dir, backlog=True).read("crawl_runs")
+    return runs.select("agency_id", "config_id", "status", F.col("started_at").cast("date").alias("day"), "items_found", "items_new", "error_message")
+
+
+# The first crawl stores each title once, the second what the first had no day for.
+_RUN_ROWS = f"""WITH p AS (SELECT page_id % 25 AS agency_id, trim(regexp_extract(substring(html, strpos(html, '<article>') + 9, 2000), '<h1>([^<]+)</h1>', 1)) AS title FROM pages),
+g AS (SELECT agency_id, {sql_norm('title')} AS norm_title, count(*) AS n FROM p WHERE title <> '' AND contains(title, 'e') GROUP BY ALL),
+a AS (SELECT agency_id, sum(n) AS found, count(*) AS titles, count_if(n > 1) AS more FROM g GROUP BY 1)
+SELECT i.agency_id, i.agency_id AS config_id, 'success' AS status, DATE '2001-08-01' + d AS day, CAST(coalesce(found, 0) AS INTEGER) AS items_found,
+ CAST(coalesce(CASE WHEN d = 0 THEN titles ELSE more END, 0) AS INTEGER) AS items_new, CAST(NULL AS VARCHAR) AS error_message FROM (SELECT DISTINCT agency_id FROM p) i LEFT JOIN a USING (agency_id), (VALUES (0), (1)) v(d)"""
+
+
 def seeded_versions(spark, sf_dir: str) -> DataFrame:
     """Curated documents made from customers, most of them several times and all without url, stored with their versions."""
     t = Tables(spark, sf_dir)
@@ -236,6 +256,7 @@ SELECT count(*) AS searched, count(*) - (SELECT count(*) FROM h) AS created, (SE
     ),
     "t1_stream_ingest": (stream_ingest, _STREAMED),
     "t1_backlog": (lambda spark, sf_dir: stream_ingest(spark, sf_dir, backlog=True), _STREAMED),
+    "t5_run_rows": (run_rows, _RUN_ROWS),
     "d9_seeded_versions": (
         seeded_versions,
         """WITH d AS (SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS agency_id, 'curated ' || c_mktsegment || (c_custkey % 7) AS title FROM customer)
