@@ -70,7 +70,8 @@ def repaired(body: Column) -> Column:
         both = F.concat(quoted(F.substring(part, F.lit(1), end - 1)), plain(F.substring(part, end + 3, F.length(part))))
         return F.when(i == 0, plain(part)).when(end == 0, quoted(part)).otherwise(both)
 
-    wanted = F.contains(body, F.lit("&")) | F.contains(body, F.lit("<![CDATA["))
+    # A feed with XML's own five references only is read as it is.
+    wanted = body.rlike("&(?!(?:amp|lt|gt|quot|apos);)") | F.contains(body, F.lit("<![CDATA["))
     return F.when(wanted, F.array_join(F.transform(F.split(body, r"<!\[CDATA\["), section), "")).otherwise(body)
 
 

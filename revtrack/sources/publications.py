@@ -34,8 +34,10 @@ def publications_page(body: Column, page_url: Column, keywords: Column, profile:
         )
 
     def firsts(entries: Column) -> Column:
-        seqs = F.transform(entries, lambda e: e["serial"])
-        return F.filter(entries, lambda e, i: F.array_position(seqs, e["serial"]) == i + 1)
+        """The first of each sequence id, in order: sorted by id and place, so that a page of any length takes no pairs."""
+        marked = F.array_sort(F.transform(entries, lambda e, i: F.struct(e["serial"].alias("serial"), i.alias("at"), e.alias("e"))))
+        first = let(marked, lambda m: F.filter(m, lambda s, k: (k == 0) | (F.get(m, k - 1)["serial"] != s["serial"])))
+        return F.transform(F.array_sort(F.transform(first, lambda s: F.struct(s["at"], s["e"]))), lambda s: s["e"])
 
     def kept(entries: Column) -> Column:
         return page(F.filter(entries, lambda e: publication_keyword_match(e["title"], keywords)), F.size(entries))

@@ -68,8 +68,13 @@ def _orders_text(t: Tables, expr: str) -> DataFrame:
     return t.spark.sql(f"SELECT o_orderkey, {expr} AS x FROM {{orders}}", orders=t.raw("orders"))
 
 
+_RULE_KIND = "CASE p_type WHEN 'LARGE' THEN '훈령' WHEN 'ECONOMY' THEN '예규' WHEN 'SMALL' THEN '고시' WHEN 'MEDIUM' THEN '규칙' ELSE p_type END"
+
+
 def _file_text(t: Tables) -> DataFrame:
-    return t.raw("part").select("p_partkey", F.concat("p_name", F.lit(".pdf and "), "p_brand", F.lit(".DOCX, none.txt "), "p_type", F.lit(".hwpx")).alias("x"))
+    """Names of files with endings that are known, written large, unknown, or cut short by the pattern."""
+    ending = F.element_at(F.array(*(F.lit(e) for e in (".pdf", ".XLSX", ".txt", ".hwpx", " pdf"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return t.raw("part").select("p_partkey", F.concat("p_name", ending, F.lit(" and "), "p_brand", F.when(F.col("p_size") > 25, ".DOCX").otherwise(".png"), F.lit(", "), "p_type", F.lit(".pptx")).alias("x"))
 
 
 QUERIES = {
@@ -120,7 +125,7 @@ WHEN {sql_any('title', _DOC_RULES[2][2])} THEN 'ing' WHEN source = 'src3' THEN '
     ),
     "f18_mentioned_extensions": (
         _q(lambda t: _file_text(t).select("p_partkey", F.array_join(html.mentioned_extensions(F.col("x")), ",").alias("extensions"))),
-        "SELECT p_partkey, '.pdf,.DOCX,.hwp' AS extensions FROM part",
+        "SELECT p_partkey, concat_ws(',', CASE p_partkey % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.XLSX' WHEN 3 THEN '.hwp' END, CASE WHEN p_size > 25 THEN '.DOCX' END, '.pptx') AS extensions FROM part",
     ),
     "f20_question": (
         _q(lambda t: lines(t).select("doc_id", "line_no", F.md5(question.question(F.col("title"), F.col("source"), F.col("lang"), F.lit(""))).alias("question"))),
@@ -157,7 +162,7 @@ count(*) AS board_all, CAST(0 AS BIGINT) AS detail_none FROM lines GROUP BY 1"""
         f"WITH {LINES} SELECT source, CAST(count_if(contains(replace(replace(title, 'theat', ''), 'them', ''), 'thea') OR contains(replace(replace(title, 'theat', ''), 'them', ''), 'emque')) AS BIGINT) AS n FROM lines GROUP BY 1",
     ),
     "f22_rule_types": (
-        _q(lambda t: t.raw("part").select("p_partkey", rules.rule_type(F.col("p_type")).alias("rule_type"), rules.basis_type(F.when(F.col("p_type") == "LARGE", "예규").otherwise(F.col("p_type"))).alias("basis_type"))),
-        "SELECT p_partkey, p_type AS rule_type, CASE WHEN p_type = 'LARGE' THEN 'yegyu' ELSE 'gosi' END AS basis_type FROM part",
+        _q(lambda t: t.raw("part").select("p_partkey", rules.rule_type(F.expr(_RULE_KIND)).alias("rule_type"), rules.basis_type(F.when(F.col("p_type") == "LARGE", "예규").otherwise(F.col("p_type"))).alias("basis_type"))),
+        f"SELECT p_partkey, CASE WHEN p_type IN ('SMALL', 'MEDIUM') THEN '고시' ELSE {_RULE_KIND} END AS rule_type, CASE WHEN p_type = 'LARGE' THEN 'yegyu' ELSE 'gosi' END AS basis_type FROM part",
     ),
 }
