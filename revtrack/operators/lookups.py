@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 
 def with_agency(df: DataFrame, agencies: DataFrame) -> DataFrame:
     """Agency code and short name per row, `?` where the agency is unknown."""
@@ -44,38 +46,43 @@ def _lowered_pattern(needle: Column) -> Column:
     return F.concat(F.lit("%"), F.regexp_replace(F.lower(needle), r"\\(?![%_\\])", ""), F.lit("%"))
 
 
+# Characters of the pieces that titles are found by.
+GRAM = 3
+
+
+def _grams(text: Column, size: int) -> Column:
+    """All pieces of `size` characters; of size 0 the empty one."""
+    if not size:
+        return F.array(F.lit(""))
+    n = F.length(text) - (size - 1)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+
 def titled_alike(candidates: DataFrame, existing: DataFrame, key: str, chars: int = 30) -> DataFrame:
     """Keys of candidates whose first `chars` characters occur in a stored title of the same agency.
 
-    Case does not count, and `%`, `_` in a candidate act as wildcards. Every stored title is cut into
-    its substrings of the lengths asked for, and these are matched by equality on the longest literal
-    run of the candidate, so no agency is compared pair by pair.
+    Case does not count, and `%`, `_` in a candidate act as wildcards. A candidate is found by the rarest of the
+    short pieces of its longest literal run: only pieces that a candidate asks for are kept of the stored titles, only titles with
+    the rarest one meet it, and no agency is compared pair by pair. Shorter runs, down to none, are pieces themselves.
     """
     head = F.lower(F.substring("title", 1, chars))
     runs = F.split(head, r"[%_\\]")
     longest = F.aggregate(runs, F.lit(""), lambda best, run: F.when(F.length(run) > F.length(best), run).otherwise(best))
-    needles = candidates.select(
-        F.col(key).alias("_key"), "agency_id", longest.alias("part"), _lowered_pattern(F.substring("title", 1, chars)).alias("pattern")
-    ).withColumn("size", F.length("part"))
+    needles = candidates.select(F.col(key).alias("_key"), "agency_id", longest.alias("part"), _lowered_pattern(F.substring("title", 1, chars)).alias("pattern"))
     # Candidates that ask the same thing are asked once.
-    asked = needles.select("agency_id", "part", "pattern").distinct()
-    sizes = needles.select("agency_id", "size").distinct()
-    parts = (
-        existing.select("agency_id", F.lower("title").alias("stored"))
-        .distinct()
-        .join(sizes, "agency_id")
-        .where(F.length("stored") >= F.col("size"))
-        .select(
-            "agency_id", "stored",
-            F.explode(
-                F.array_distinct(
-                    F.transform(F.sequence(F.lit(1), F.length("stored") - F.col("size") + 1), lambda i: F.substr("stored", i, F.col("size")))
-                )
-            ).alias("part"),
-        )
-    )
+    asked = stage(needles.select("agency_id", "part", "pattern").distinct().withColumn("size", F.least(F.length("part"), F.lit(GRAM))))
+    sizes = sorted(r[0] for r in asked.where("size is not null").select("size").distinct().collect())  # GRAM + 1 at most
+    if not sizes:
+        return candidates.select(key).limit(0)
+    own = F.coalesce(*(F.when(F.col("size") == k, _grams(F.col("part"), k)) for k in sizes))
+    pieces = asked.select("agency_id", "part", "pattern", F.explode(F.array_distinct(own)).alias("gram"))
+    titles = existing.select("agency_id", F.lower("title").alias("stored")).where("stored is not null").distinct()
+    held = titles.select("agency_id", "stored", F.explode(F.array_distinct(F.concat(*(_grams(F.col("stored"), k) for k in sizes)))).alias("gram"))
+    held = stage(held.join(pieces.select("agency_id", "gram").distinct(), ["agency_id", "gram"], "left_semi"))
+    counts = held.groupBy("agency_id", "gram").agg(F.count("*").alias("n"))
+    rarest = pieces.join(counts, ["agency_id", "gram"], "left").groupBy("agency_id", "part", "pattern").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram"))
     found = (
-        parts.join(asked, ["agency_id", "part"])
+        held.join(rarest, ["agency_id", "gram"])
         .where(F.call_function("like", F.col("stored"), F.col("pattern")))
         .select("agency_id", "pattern")
         .distinct()
