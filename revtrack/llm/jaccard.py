@@ -1,16 +1,18 @@
 """Similarity join on word n-grams with several global token orders.
 
-A set is a text's distinct 5-word shingles (64-bit hashes). Two sets whose Jaccard similarity is at least `percent` share a
-token among the first `n - ceil(percent * n) + 1` of each, whatever global order the tokens are put in. Orders sort by how
-often tokens occur in the corpus (counted over all texts, in a table of fixed size), rare first, then by a hash that is
-different in each order. The first order yields candidates; a candidate must also share prefix tokens under the others before
-its sets are compared.
+A set is a text's distinct 5-word shingles (64-bit hashes). Two sets whose Jaccard similarity is at least `percent` have a
+number of tokens in common among the first `n - ceil(percent * n) + 1` of each, whatever global order the tokens are put in.
+Three orders are used: by rarity (how often tokens occur in the corpus, counted over all texts in a table of fixed size, ties by
+hash), and two by hashes alone. The first order yields candidates. For the other two every set has a compact row: its first
+token, and counts of its prefix tokens in `CELLS` cells. A candidate whose cells cannot make up the common prefix tokens that a
+link takes under either order is dropped before any set is moved; the smaller count of each cell, added up, is at least the
+number of common prefix tokens, so no link is lost.
 
 The result is each document's class: what is reachable over links. Tokens that very many sets share are not paired up. For
-each token the smallest set leads and every other one is compared with it; then, where a token still has several classes, its
-sets are compared with others drawn by hash. What is left is compared pair by pair: sets of one token and different classes
-whose sizes and positions of a common token fit and, since Jaccard distance is a metric, whose distances to the
-leader differ by no more than the threshold.
+each token that set leads in which it comes first: few rarer tokens, which are what an edit brings in, stand before it, so a
+leader is in the middle of its near copies. Every other set is compared with it; then, where a token still has several classes,
+its sets are compared with the leader of those that have the same first token under the second or the third order. What is left is compared pair by pair: sets of one token and different classes whose sizes and positions of a common token fit and,
+since Jaccard distance is a metric, whose distances to the leader differ by no more than the threshold.
 No link between classes is lost, and a group of near copies costs as many comparisons as it has members.
 
 Cases: a text without words (or null) has an empty set and is linked with nothing; a text with fewer words than a shingle is
@@ -30,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import stage
 
@@ -37,8 +40,8 @@ WIDTH, PERCENT = 5, 75
 ORDERS = 3
 # Cells of the token count table that every task gets (a byte each), and rows that it travels in.
 COUNT_BITS, CHUNKS = 24, 256
-# Turns in which sets of a token meet one of them, drawn anew, before the pairs that are left are compared.
-TURNS = 1
+# Cells (a byte each) in which a set's prefix tokens are counted, for each order after the first.
+CELLS = 256
 # Bits of the filter that picks the documents whose sets are wanted.
 FILTER_BITS = 24
 
@@ -78,18 +81,30 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 def prefix(tokens: np.ndarray, counts: np.ndarray, order: int, percent: int = PERCENT) -> np.ndarray:
     """The first tokens of a set under one of the global orders, in that order."""
     k = prefix_length(len(tokens), percent)
-    rare = counts[(tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64)].astype(np.uint64)
-    place = (rare << np.uint64(56)) | (_mix(tokens + _ODD[order]) >> np.uint64(8))
+    place = _mix(tokens + _ODD[order])
+    if order == 1:
+        rare = counts[(tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64)].astype(np.uint64)
+        place = (rare << np.uint64(56)) | (place >> np.uint64(8))
     first = np.argpartition(place, k - 1)[:k]
     return tokens[first[np.argsort(place[first])]]
 
 
-def measure(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """One row per document (`doc_id, n, set`), and token counts of each task in rows with a `chunk`."""
+def compact(tokens: np.ndarray, percent: int = PERCENT) -> tuple[list[int], bytes]:
+    """A set's first token, and its prefix tokens counted in cells, under each order after the first."""
+    heads, cells = [], []
+    for order in range(2, ORDERS + 1):
+        own = prefix(tokens, None, order, percent)
+        heads.append(int(own[0].view(np.int64)))
+        cells.append(np.minimum(np.bincount((own & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8))
+    return heads, np.concatenate(cells).tobytes()
+
+
+def measure(docs: DataFrame, doc_id: str, text: str, percent: int = PERCENT) -> DataFrame:
+    """One row per document (`doc_id, n, set, head2, head3, cells`), and token counts of each task in rows with a `chunk`."""
     kind = docs.schema[doc_id].dataType.simpleString()
     size = (1 << COUNT_BITS) // CHUNKS
 
-    names = ["doc_id", "n", "set", "chunk", "counts"]
+    names = ["doc_id", "n", "set", "head2", "head3", "cells", "chunk", "counts"]
 
     # In Arrow: pandas makes floats of a batch's ids as soon as one is null, which rounds those above 2^53.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,16 +113,21 @@ def measure(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             sets, of = [shingles(r) for r in batch["raw"].to_pylist()], batch["doc_id"].type
             if len(sets):
                 np.add.at(counts, (np.concatenate(sets) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
-            n, ids = pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], n, ids, pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names)
+            told = [compact(s, percent) if len(s) else ([None, None], None) for s in sets]
+            columns = [
+                batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
+                *(pa.array([h[i] for h, _ in told], pa.int64()) for i in range(2)), pa.array([c for _, c in told], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names)
         parts = [(c, counts[c * size : (c + 1) * size]) for c in range(CHUNKS)]
         parts = [(c, zlib.compress(p.astype("<u4").tobytes(), 1)) for c, p in parts if p.any()]
         if parts:
             chunk, packed = pa.array([c for c, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), of), pa.array([0] * len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), chunk, packed], names)
+            no = [pa.nulls(len(parts), kind) for kind in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), of), pa.array([0] * len(parts), pa.int64()), *no, chunk, packed], names)
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n long, set long, chunk int, counts binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, n long, set long, head2 long, head3 long, cells binary, chunk int, counts binary")
 
 
 def count_table(measured: DataFrame) -> np.ndarray:
@@ -132,23 +152,29 @@ def count_table(measured: DataFrame) -> np.ndarray:
 def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """`doc_id, n_shingles, set, component_id, class` of every row; `class` is a digest that a class's rows share (null: empty set)."""
     spark = docs.sparkSession
-    measured = stage(measure(docs, doc_id, text))
+    measured = stage(measure(docs, doc_id, text, percent))
     nodes = measured.where(F.col("chunk").isNull()).select("doc_id", "n", "set")
+    # One row per distinct set.
+    known = measured.where(F.col("set").isNotNull()).groupBy("set").agg(
+        F.min("doc_id").alias("least"), F.max("n").alias("n"), F.max("head2").alias("head2"), F.max("head3").alias("head3"), F.max("cells").alias("cells")
+    )
+    known = stage(known)
     table = spark.sparkContext.broadcast(count_table(measured))
     shared = stage(_shared_tokens(docs, doc_id, text, table, percent))
-    sets = stage(_wanted_sets(docs, doc_id, text, nodes, shared))
-    sizes = stage(nodes.where(F.col("set").isNotNull()).groupBy("set").agg(F.max("n").alias("n")))
+    table.unpersist()
+
+    def compared(pairs: DataFrame, worth: bool = True) -> DataFrame:
+        pairs = stage(_fitting(pairs, known, percent, worth))
+        return _verified(pairs, stage(_wanted_sets(docs, doc_id, text, known, pairs)), percent)
+
     pairs = shared.where("set <> leader").groupBy(F.col("leader").alias("a"), F.col("set").alias("b")).agg(F.count(F.lit(1)).alias("met"))
-    led = stage(_verified(stage(_fitting(pairs, sizes, percent)), sets, table, percent))
+    led = stage(compared(pairs))
     label = components(led.where("linked").select("a", "b"))
-    for turn in range(1, TURNS + 1):
-        pairs = stage(_fitting(_met(_open(shared, label), turn), sizes, percent))
-        label = _joined(label, _verified(pairs, sets, table, percent))
-    pairs = stage(_rest(_open(shared, label), led, sizes, percent))
-    label = _joined(label, _verified(pairs, sets, table, percent))
+    open_ = _open(shared, label)
+    label = _joined(label, compared(_met(open_, known)))
+    label = _joined(label, compared(_rest(_open(open_.drop("label"), label), led, known, percent), worth=False))
     # From sets back to documents: one row per distinct set, then one per document.
-    own = nodes.where(F.col("set").isNotNull()).groupBy("set").agg(F.min("doc_id").alias("least"))
-    own = own.join(label.withColumnRenamed("node", "set"), "set", "left").withColumn("class", F.coalesce("label", "set"))
+    own = known.select("set", "least").join(label.withColumnRenamed("node", "set"), "set", "left").withColumn("class", F.coalesce("label", "set"))
     least = own.groupBy("class").agg(F.min("least").alias("component_id"))
     named = own.join(least, "class").select(F.col("set").alias("_set"), "class", "component_id")
     out = nodes.join(named, F.col("set") == F.col("_set"), "left")
@@ -182,7 +208,7 @@ def representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
 def _shared_tokens(docs: DataFrame, doc_id: str, text: str, table, percent: int) -> DataFrame:
     """`token, set, pos, leader`: prefix tokens of the first order that at least two sets have, with their positions from 1; the
-    smallest set leads."""
+    set with the smallest position leads."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -198,19 +224,20 @@ def _shared_tokens(docs: DataFrame, doc_id: str, text: str, table, percent: int)
 
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw")).mapInPandas(run, "token long, set long, pos int")
     each = Window.partitionBy("token")
-    known = rows.withColumn("leader", F.min("set").over(each)).withColumn("_top", F.max("set").over(each))
-    return known.where("leader <> _top").drop("_top")
+    known = rows.withColumn("leader", F.min(F.struct("pos", "set")).over(each)["set"])
+    known = known.withColumn("_least", F.min("set").over(each)).withColumn("_top", F.max("set").over(each))
+    return known.where("_least <> _top").drop("_least", "_top")
 
 
-def _wanted_sets(docs: DataFrame, doc_id: str, text: str, nodes: DataFrame, shared: DataFrame) -> DataFrame:
-    """`set, tokens` of at least the sets that share a token; read from one document each, picked by a filter of fixed size.
+def _wanted_sets(docs: DataFrame, doc_id: str, text: str, known: DataFrame, pairs: DataFrame) -> DataFrame:
+    """`set, tokens` of at least the sets in `pairs`; read from one document each, picked by a filter of fixed size.
 
     A set may come more than once (ids that are not unique) and others may be among them (chance hits of the filter): both
     go when the table is joined with pairs and links are made distinct.
     """
     spark = docs.sparkSession
-    wanted = shared.select("set").distinct()
-    first = nodes.where(F.col("set").isNotNull()).groupBy("set").agg(F.min("doc_id").alias("doc_id")).join(wanted, "set", "left_semi")
+    wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
+    first = known.select("set", F.col("least").alias("doc_id")).join(wanted, "set", "left_semi")
     cell = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)) + 1  # the bitmap functions count from 1
     width = 8 * 4096  # bits of one bitmap row
     marked = first.select(cell.alias("c")).groupBy(F.bitmap_bucket_number("c").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("bits"))
@@ -243,16 +270,10 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, table, percent: int) -> DataFrame:
-    """`a, b, linked, distance` of pairs of sets. The distance is null where a filter has already told that there is no link."""
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """`a, b, linked, distance` of pairs of sets."""
 
-    def compare_one(a: np.ndarray, b: np.ndarray) -> tuple[bool, float | None]:
-        if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-            return False, None
-        # Under every other order the two must share a prefix token as well.
-        for order in range(2, ORDERS + 1):
-            if not _overlap(np.sort(prefix(a, table.value, order, percent)), np.sort(prefix(b, table.value, order, percent))):
-                return False, None
+    def compare_one(a: np.ndarray, b: np.ndarray) -> tuple[bool, float]:
         common = _overlap(a, b)
         union = len(a) + len(b) - common
         return 100 * common >= percent * union, 1 - common / union
@@ -260,7 +281,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, table, percent: int) -> DataFra
     @F.pandas_udf("linked boolean, distance double")
     def compare(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         told = [compare_one(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b)]
-        return pd.DataFrame({"linked": [t[0] for t in told], "distance": pd.array([t[1] for t in told], "Float64")})
+        return pd.DataFrame({"linked": [t[0] for t in told], "distance": [t[1] for t in told]})
 
     of = lambda side: sets.select(F.col("set").alias(side), F.col("tokens").alias(f"t{side}"))
     joined = pairs.join(of("b"), "b").join(of("a"), "a")
@@ -278,12 +299,28 @@ def _common_prefix_tokens(x: str, y: str, percent: int) -> Column:
     return F.expr(f"greatest(1, least({spare(x)}, {spare(y)}) + {overlap})")
 
 
-def _fitting(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs `a, b` worth comparing early: their sizes allow a link and a good part of the tokens that it takes were `met`."""
+@F.pandas_udf(T.LongType())
+def _common_at_most(one: pd.Series, other: pd.Series) -> pd.Series:
+    """How many prefix tokens two sets can have in common at most by their cells, under that order where it is the least."""
+    a, b = (np.frombuffer(b"".join(x), np.uint8).reshape(len(x), ORDERS - 1, CELLS) for x in (one, other))
+    low = np.minimum(a, b)
+    # A cell that is full in both says nothing.
+    most = np.where((low == 255).any(2), np.iinfo(np.int64).max, low.sum(2, dtype=np.int64))
+    return pd.Series(most.min(1))
+
+
+def _fitting(pairs: DataFrame, known: DataFrame, percent: int, worth: bool) -> DataFrame:
+    """Pairs `a, b` whose sizes allow a link and whose compact rows may have enough prefix tokens in common under the second
+    and the third order. Where that is `worth` it, only those that `met` at a good part of the tokens a link takes under the first."""
     for side in ("a", "b"):
-        pairs = pairs.join(sizes.select(F.col("set").alias(side), F.col("n").alias(f"n{side}")), side)
-    worth = 4 * F.col("met") >= _common_prefix_tokens("na", "nb", percent)
-    return pairs.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & worth).select("a", "b")
+        pairs = pairs.join(known.select(F.col("set").alias(side), F.col("n").alias(f"n{side}")), side)
+    takes = _common_prefix_tokens("na", "nb", percent)
+    pairs = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    if worth:
+        pairs = pairs.where(4 * F.col("met") >= takes)
+    for side in ("a", "b"):
+        pairs = pairs.join(known.select(F.col("set").alias(side), F.col("cells").alias(f"c{side}")), side)
+    return pairs.where(_common_at_most("ca", "cb") >= takes).select("a", "b")
 
 
 def _joined(label: DataFrame, verified: DataFrame) -> DataFrame:
@@ -294,27 +331,31 @@ def _joined(label: DataFrame, verified: DataFrame) -> DataFrame:
 
 def _open(shared: DataFrame, label: DataFrame) -> DataFrame:
     """`token, set, pos, leader, label` of tokens whose sets are in more than one class so far; most tokens have one by now."""
-    known = shared.distinct().join(label.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))
-    each = Window.partitionBy("token")
-    both = known.withColumn("_least", F.min("label").over(each)).withColumn("_most", F.max("label").over(each))
-    return stage(both.where("_least <> _most").drop("_least", "_most"))
+    known = shared.join(label.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))
+    several = known.groupBy("token").agg(F.min("label").alias("_least"), F.max("label").alias("_most")).where("_least <> _most")
+    return stage(known.join(several.select("token"), "token", "left_semi").distinct())
 
 
-def _met(open_: DataFrame, turn: int) -> DataFrame:
-    """Pairs `a, b` of each open token's sets with one of them, drawn by hash, and how many tokens they `met` at."""
-    drawn = open_.groupBy("token").agg(F.min_by(F.struct("set", "label"), F.xxhash64("set", F.lit(turn))).alias("one"))
-    met = open_.join(drawn, "token").where(F.col("label") != F.col("one.label")).select(F.col("set").alias("x"), F.col("one.set").alias("y"))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"))
+def _met(open_: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs `a, b` of each open token's sets with the leader of those that have the same first token under another order, and
+    how many tokens they `met` at."""
+    rows = open_.join(known.select("set", "head2", "head3"), "set")
+    met = []
+    for head in ("head2", "head3"):
+        least = rows.groupBy("token", head).agg(F.min(F.struct("pos", "set", "label")).alias("one"))
+        both = rows.select("token", head, "set", "label").join(least, ["token", head]).where(F.col("label") != F.col("one.label"))
+        met.append(both.select("token", F.col("one.set").alias("a"), F.col("set").alias("b")))
+    return met[0].union(met[1]).groupBy("a", "b").agg(F.count_distinct("token").alias("met"))
 
 
-def _rest(open_: DataFrame, led: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+def _rest(open_: DataFrame, led: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """All pairs `a, b` that share a token, are in different classes so far, and may yet be linked.
 
     All that two sets have in common stands from their first common token on, so at that token what is left of the shorter
     remainder must be enough; a pair that passes at a later token only would have passed there.
     """
     far = led.select(F.col("a").alias("leader"), F.col("b").alias("set"), "distance").distinct()
-    known = open_.join(far, ["leader", "set"], "left").join(sizes, "set")
+    known = open_.join(far, ["leader", "set"], "left").join(sets.select("set", "n"), "set")
     known = known.withColumn("distance", F.when(F.col("set") == F.col("leader"), F.lit(0.0)).otherwise(F.col("distance")))
     known = stage(known.select("token", "set", "pos", "n", "distance", "label"))
     other = known.select("token", *(F.col(c).alias(f"o_{c}") for c in ("set", "pos", "n", "distance", "label")))

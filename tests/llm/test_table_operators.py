@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -338,6 +339,16 @@ def test_prefixes_of_linked_sets_meet_in_every_order():
             assert len(np.intersect1d(jaccard.prefix(a, counts, order), jaccard.prefix(b, counts, order)))
 
 
+def test_cells_never_tell_less_than_the_common_prefix_tokens():
+    draw = np.random.default_rng(5)
+    for size in (1, 7, 300, 200_000):
+        a = np.unique(draw.integers(0, 1 << 63, size).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: max(1, size - size // 8)], draw.integers(0, 1 << 63, size // 10).astype(np.uint64)]))
+        common = [len(np.intersect1d(jaccard.prefix(a, None, k), jaccard.prefix(b, None, k))) for k in range(2, jaccard.ORDERS + 1)]
+        rows = [pd.Series([jaccard.compact(x)[1]]) for x in (a, b)]
+        assert jaccard._common_at_most.func(*rows)[0] >= min(common)
+
+
 def test_classes_of_odd_rows(odd, none):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.classes(odd).collect()]
     want = [(i, n, i if not n else c) for i, n, c in brute_classes(odd_rows())]
