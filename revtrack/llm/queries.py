@@ -161,31 +161,30 @@ RULES = {
     ("example.net", "/de/8"): "block",
     ("org", "/es/"): "block",
 }
-# Hosts blocked whatever the path, where no rule decides.
-BLOCKED_HOSTS = tuple(
-    f"{name}.example.{end}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for end in ("com", "net", "org")
-)
 
 
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules first; hosts whose pages are often junk (`urls.junk_hosts` of the whole table) are blocked where no rule decides."""
     rule_keys = spark.createDataFrame([(h + p,) for h, p in RULES], "key string")
-    host_keys = spark.createDataFrame([(h,) for h in BLOCKED_HOSTS], "key string")
-    rules = urls.DigestArray(spark, rule_keys, {len(p) for _, p in RULES})
-    hosts = urls.DigestArray(spark, host_keys, {0})
     verdicts = F.create_map(*(F.lit(x) for (h, p), v in RULES.items() for x in (h + p, v)))
-    pages = rows_of(configure_batches(spark), sf_dir, "pages").select("page_id", urls.host_of(F.col("url")).alias("host"), urls.path_of(F.col("url")).alias("path"))
-    found = pages.withColumn("rule", rules.longest_match(F.col("host"), F.col("path"))).withColumn("listed", hosts.longest_match(F.col("host"), F.col("path")))
+    crawl = rows_of(configure_batches(spark), sf_dir, "pages").select("page_id", "html", urls.host_of(F.col("url")).alias("host"), urls.path_of(F.col("url")).alias("path"))
+    ruled = urls.longest_keys_of(crawl.drop("html"), rule_keys, {len(p) for _, p in RULES}, "rule")
+    found = urls.longest_keys_of(ruled, urls.junk_hosts(crawl), {0}, "listed")
     verdict = F.coalesce(F.try_element_at(verdicts, F.col("rule")), F.when(F.col("listed").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
     return found.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.col("listed").isNotNull().alias("listed"))
 
 
 _SQL_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for (h, p), v in RULES.items())
-_SQL_HOSTS = ", ".join(f"('{h}')" for h in BLOCKED_HOSTS)
 OP10_SQL = rf"""
 WITH u AS (
   SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
-), r(h, p, v) AS (VALUES {_SQL_RULES}), b(h) AS (VALUES {_SQL_HOSTS}),
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+    coalesce(html, '') AS html FROM pages
+), r(h, p, v) AS (VALUES {_SQL_RULES}),
+b AS (
+  SELECT host AS h FROM u WHERE host <> '' GROUP BY host
+  HAVING 100 * count_if({urls.JUNK_RATIO} * (length(html) - length(translate(html, '{urls.JUNK_SYMBOLS}', ''))) > length(html)) >= {urls.JUNK_PERCENT} * count(*)
+),
 best AS (
   SELECT page_id, max_by(h || p, length(h || p)) AS rule, max_by(v, length(h || p)) AS v
   FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id

@@ -3,10 +3,12 @@
 A list of keys (host suffix + path prefix) is stored as three files: 64-bit xxhash digests in order, where each
 stored string ends, and the strings. Every executor gets them once and its workers map them into memory; a batch of
 urls is probed by vectorised binary search, and what is found is confirmed against the stored string, so equal digests
-of different strings do no harm. Only pages of the files that are touched are in memory.
+of different strings do no harm. Only pages of the files that are touched are in memory. `longest_keys_of` measures the list:
+one that is too long to be copied to every executor is joined by digest and string instead, with the same result.
 
 Cases: a url that is null or has no `://` has an empty host and path and fits no key; empty hosts fit nothing; repeated
-keys are stored once; an empty list fits nothing; very long urls are cut nowhere. Other columns are not read.
+keys are stored once; an empty list fits nothing; very long urls are cut nowhere. Other columns are not read. A page without
+a body counts as one that is no junk.
 """
 
 from __future__ import annotations
@@ -24,12 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import shared_dir
-from .common import worker_cache
+from .common import stage, worker_cache
 
-# The files are copied to every executor: a list beyond this is refused, and belongs into a join.
-MAX_FILE_BYTES = 2 << 30
+# The files are copied to every executor: a longer list is joined.
+MAX_FILE_BYTES = 512 << 20
 SEED = 42
 PARTS = ("digests", "ends", "strings")
+# A page is junk when more than one character in JUNK_RATIO is one of JUNK_SYMBOLS; a host with this share of junk pages is blocked.
+JUNK_SYMBOLS, JUNK_RATIO, JUNK_PERCENT = "#*$%|", 50, 20
 
 
 def host_of(url: Column) -> Column:
@@ -45,6 +49,38 @@ def _lower(column: Column) -> Column:
     return F.translate(column, upper, upper.lower())
 
 
+def junk_hosts(pages: DataFrame) -> DataFrame:
+    """The block list of a crawl, as `key`: hosts of `pages` (`host, html`) whose pages are junk in JUNK_PERCENT of all cases or more."""
+    html = F.coalesce("html", F.lit(""))
+    symbols = F.length(html) - F.length(F.translate(html, JUNK_SYMBOLS, ""))
+    counts = pages.where("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if(JUNK_RATIO * symbols > F.length(html)).alias("junk"))
+    return counts.where(100 * F.col("junk") >= JUNK_PERCENT * F.col("n")).select(F.col("host").alias("key"))
+
+
+def longest_keys_of(rows: DataFrame, keys: DataFrame, path_lengths: Iterable[int], name: str) -> DataFrame:
+    """Add the longest of `keys` that fits each row's `host, path` as column `name`: by a digest array, or by a join if the list is long."""
+    kept = stage(keys.where(F.col("key").isNotNull()).select("key").distinct())
+    size = kept.agg(F.sum(F.octet_length("key") + 16)).first()[0] or 0
+    if size <= MAX_FILE_BYTES:
+        return rows.withColumn(name, DigestArray(rows.sparkSession, kept, path_lengths).longest_match(F.col("host"), F.col("path")))
+    return joined_keys(rows, kept, path_lengths, name)
+
+
+def joined_keys(rows: DataFrame, keys: DataFrame, path_lengths: Iterable[int], name: str) -> DataFrame:
+    """As the digest array finds them: each distinct host and path is asked for once, its possible keys meet the list by digest."""
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    prefixes = F.filter(F.array(*(F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in sorted(set(path_lengths)))), lambda p: p.isNotNull())
+    both = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
+    asked = rows.where("host <> ''").select("host", "path").distinct().select("host", "path", F.explode(F.array_distinct(both)).alias("key"))
+    stored = keys.select(F.xxhash64("key").alias("_digest"), F.col("key").alias("_key"))
+    found = (
+        asked.join(stored, (F.xxhash64("key") == F.col("_digest")) & (F.col("key") == F.col("_key")))
+        .groupBy(F.col("host").alias("_h"), F.col("path").alias("_p")).agg(F.max_by("key", F.length("key")).alias("_found"))
+    )
+    return rows.join(found, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left").drop("_h", "_p").withColumnRenamed("_found", name)
+
+
 def sorted_keys(keys: DataFrame) -> DataFrame:
     """`digest, key` of distinct keys in the order of the unsigned digest; made by Spark, whatever the length of the list."""
     digest = F.xxhash64(F.col("key"))  # the same as xxh64 of its UTF-8 bytes with seed 42
@@ -78,7 +114,7 @@ class DigestArray:
                 end = int(ends[-1])
                 written += 16 * len(chunk) + sum(map(len, strings))
                 if written > MAX_FILE_BYTES:
-                    raise ValueError(f"a digest array of more than {MAX_FILE_BYTES} bytes; use a join")
+                    raise ValueError(f"a digest array of more than {MAX_FILE_BYTES} bytes; use `longest_keys_of`")
                 for stream, data in zip(streams, (np.array([r.digest for r in chunk], "<i8").tobytes(), ends.astype("<u8").tobytes(), b"".join(strings))):
                     stream.write(bytearray(data))
         finally:

@@ -388,3 +388,22 @@ def test_longest_key_wins_and_collisions_are_told_apart(spark):
     assert urls.longest_keys(fake, [0], ["b.org", "a.org"], ["", ""]) == ["b.org", None]
     empty = urls.DigestArray(spark, spark.createDataFrame([], "key string"), {0})
     assert pages.select(empty.longest_match(F.col("h"), F.col("p")).alias("k")).where("k IS NOT NULL").count() == 0
+
+
+def test_long_lists_are_joined_with_the_same_result(spark, monkeypatch):
+    keys = spark.createDataFrame([(k,) for k in ["com/en/", "example.com/en/7", "net/", "blocked.org", "net/", None]], "key string")
+    hosts = ["a.example.com", "com", "m.blocked.org", "notblocked.org", "net", "xnet", "", "net.", "é.net", "blocked.org"]
+    paths = ["/en/77", "/en/1", "", "/", "/", "/", "/", "/x", "/", "/en/"]
+    rows = spark.createDataFrame(list(enumerate(zip(hosts, paths))), "i int, u struct<host string, path string>").select("i", "u.*")
+    array = {r.i: r.k for r in urls.longest_keys_of(rows, keys, {0, 1, 4, 5}, "k").collect()}
+    monkeypatch.setattr(urls, "MAX_FILE_BYTES", 0)
+    joined = urls.longest_keys_of(rows, keys, {0, 1, 4, 5}, "k")
+    assert joined.columns == ["i", "host", "path", "k"] and {r.i: r.k for r in joined.collect()} == array
+    assert array[0] == "example.com/en/7" and array[2] == array[9] == "blocked.org" and array[3] is None and array[6] is None
+
+
+def test_hosts_of_many_junk_pages_are_listed(spark):
+    rows = [("bad.org", "a | b | c | d"), ("bad.org", "clean words")] + [("good.org", "clean words")] * 5 + [("good.org", "# # # #"), ("", "####"), ("none.org", None)]
+    pages = spark.createDataFrame(rows, "host string, html string")
+    assert [r.key for r in urls.junk_hosts(pages).collect()] == ["bad.org"]
+    assert urls.junk_hosts(pages.limit(0)).count() == 0
