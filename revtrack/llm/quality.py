@@ -1,15 +1,18 @@
 """Robust multivariate outliers: minimum covariance determinant estimates per language and source.
 
 Every text gives a vector of transformed statistics. For each group (language and source) the estimate with the smallest
-covariance determinant over a share COVERED of its rows is sought by concentration steps: distances under the present
-estimate, the nearest share of rows, their mean and covariance, again. Steps are Spark aggregates: rows are added up per
-group and distance bin, so a step moves a few hundred rows per group whatever the group's size, and no group is ever
-gathered. A text is rejected when its robust Mahalanobis distance is above the cutoff.
+covariance determinant over a share COVERED of its rows is sought from several fixed starts (STARTS) by concentration
+steps: distances under the present estimate, the nearest share of rows, their mean and covariance, again. A few steps are
+taken from every start; the one with the least determinant is then followed until the determinant falls no further in any group.
+Steps are Spark aggregates: rows are added up per group, start and distance bin, so a step moves a few hundred rows per
+group and start whatever the group's size, and no group is ever gathered. A text is rejected when its robust Mahalanobis
+distance is above the cutoff.
 
 Cases: a null text has no words; rows with a null language or source form groups of their own; groups of fewer than
 LEAST_GROUP rows are estimated together by language, and those still too few as one; if that too has fewer rows, its texts
-get no distance and are not rejected; statistics that are equal throughout a group are kept apart from zero variance by
-FLOOR; repeated rows count as often as they occur; an empty table gives an empty result.
+get no distance and are not rejected; statistics that vary less than FLOOR in a group, or not at all, get the deviation FLOOR;
+very long texts are read whole; repeated rows count as often as they occur; of equal determinants the first start's is taken;
+an empty table gives an empty result; columns of other names are neither read nor changed by `keep`.
 """
 
 from __future__ import annotations
@@ -27,8 +30,15 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 
-# Share of a group's rows that its estimate rests on, and concentration steps.
-COVERED, STEPS = 0.75, 8
+# Share of a group's rows that its estimate rests on; concentration steps from every start, and at most from the best one.
+COVERED, FIRST_STEPS, STEPS = 0.75, 2, 10
+# A determinant that falls by less than this in its logarithm has settled.
+SETTLED = 1e-3
+# Where concentration starts: around the medians, with the quartile ranges alone, or with the correlations of all rows,
+# of rows drawn in by the hyperbolic tangent, or of their directions.
+STARTS = ("quartiles", "all", "tanh", "directions")
+# Share of covariances that is given up, so that statistics in step do not make an estimate singular.
+LOOSE = 0.01
 LEAST_GROUP = 50
 # Distance bins: so many to a doubling of the squared distance.
 BINS = 16
@@ -136,12 +146,44 @@ def _distance(x: Column, mean: Column, precision: Column) -> Column:
     return F.when(total < 0, F.lit(0.0)).otherwise(total)
 
 
-MODEL = "group string, n long, mean array<double>, precision array<double>"
+MODEL = "group string, start int, n long, mean array<double>, precision array<double>, log_det double"
 
 
-def _model(group: str, n: int, mean: np.ndarray, cov: np.ndarray) -> pd.DataFrame:
-    cov = cov + np.diag(np.square(list(FLOOR.values())))
-    return pd.DataFrame({"group": [group], "n": [n], "mean": [mean.tolist()], "precision": [np.linalg.inv(cov).ravel().tolist()]})
+def floored(cov: np.ndarray) -> np.ndarray:
+    """The covariance with every deviation at least FLOOR and slightly loosened covariances.
+
+    Variance that is missing is added on the diagonal alone: a statistic that hardly varies is not made to go with another.
+    """
+    out = cov * (1 - LOOSE)
+    np.fill_diagonal(out, np.maximum(np.diag(cov), np.square(list(FLOOR.values()))))
+    return out
+
+
+def _model(group: str, start: int, n: int, mean: np.ndarray, cov: np.ndarray) -> tuple:
+    cov = floored(cov)
+    return group, start, n, mean.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])
+
+
+def _models(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in MODEL.split(", ")])
+
+
+def concentrated(distance_bins: pd.DataFrame, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of the nearest share COVERED of rows that are added up by `bin`: `k` rows, sums `s{i}`, products `s{i}_{j}`."""
+    part = distance_bins.sort_values("bin")
+    n = part["k"].to_numpy(float)
+    wanted = max(1.0, COVERED * n.sum())
+    # Whole bins from the nearest on; of the last one, the share that is still wanted.
+    taken = np.clip((wanted - (np.cumsum(n) - n)) / n, 0, 1)
+    k = (taken * n).sum()
+    mean = np.array([(taken * part[f"s{i}"]).sum() for i in range(p)]) / k
+    cov = np.zeros((p, p))
+    for i in range(p):
+        for j in range(i, p):
+            cov[i, j] = cov[j, i] = (taken * part[f"s{i}_{j}"]).sum() / k - mean[i] * mean[j]
+    # Rounding and shares of bins can leave a slightly negative variance.
+    values, vectors = np.linalg.eigh(cov)
+    return mean, (vectors * np.maximum(values, 0)) @ vectors.T
 
 
 def _consistent(p: int) -> float:
@@ -154,40 +196,73 @@ def _consistent(p: int) -> float:
     return COVERED / (0.5 * (1 + math.erf(u / math.sqrt(2))))
 
 
-def fit(measured: DataFrame) -> DataFrame:
-    """One estimate per group (MODEL) from stored rows `group, x`; groups that are too small are left out."""
-    p = len(NAMES)
-    rows = measured.where(F.col("x").isNotNull() & F.col("group").isNotNull())
+def _products(values: list[Column], name: str) -> list[Column]:
+    return [F.sum(values[i] * values[j]).alias(f"{name}{i}_{j}") for i in range(len(values)) for j in range(i, len(values))]
 
-    def first(part: pd.DataFrame) -> pd.DataFrame:
-        q = np.array([part[f"q{i}"].iloc[0] for i in range(p)], float)
-        return _model(part["group"].iloc[0], int(part["n"].iloc[0]), q[:, 1], np.diag(np.square((q[:, 2] - q[:, 0]) / 1.349)))
 
+def starts(rows: DataFrame) -> DataFrame:
+    """The estimates that concentration starts from, one of each of STARTS per group: the medians, and deviations from the quartile ranges."""
+    p = len(NAMES)
     quartiles = [F.percentile_approx(F.col("x")[i], [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(p)]
-    start = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), *quartiles).where(F.col("n") >= LEAST_GROUP)
-    model = stage(start.groupBy("group").applyInPandas(first, MODEL))
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    known = stage(rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), *quartiles).where(F.col("n") >= LEAST_GROUP))
+    wide = lambda i: F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOOR[NAMES[i]]))
+    scaled = rows.join(known, "group").select("group", "n", *(f"q{i}" for i in range(p)), *(((F.col("x")[i] - F.col(f"q{i}")[1]) / wide(i)).alias(f"z{i}") for i in range(p)))
+    z = [F.col(f"z{i}") for i in range(p)]
+    length = F.greatest(F.sqrt(sum((v * v for v in z[1:]), z[0] * z[0])), F.lit(1e-9))
+    kinds = _products(z, "a") + _products([F.tanh(v) for v in z], "b") + _products([v / length for v in z], "c")
+    sums = scaled.groupBy("group").agg(F.first("n").alias("n"), *(F.first(f"q{i}").alias(f"q{i}") for i in range(p)), *kinds)
+
+    def first(part: pd.DataFrame) -> pd.DataFrame:
+        row, made = part.iloc[0], []
+        q = np.array([row[f"q{i}"] for i in range(p)], float)
+        sd = np.maximum((q[:, 2] - q[:, 0]) / 1.349, list(FLOOR.values()))
+        for number, kind in enumerate(" abc"):
+            correlation = np.eye(p)
+            if kind != " ":
+                cov = np.array([[row[f"{kind}{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)], float)
+                size = np.sqrt(np.maximum(np.diag(cov), 1e-300))
+                correlation = cov / np.outer(size, size)
+                np.fill_diagonal(correlation, 1.0)
+            made.append(_model(row["group"], number, int(row["n"]), q[:, 1], correlation * np.outer(sd, sd)))
+        return _models(made)
+
+    return sums.groupBy("group").applyInPandas(first, MODEL)
+
+
+def concentrate(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """One concentration step of every estimate."""
+    p = len(NAMES)
     factor = _consistent(p)
 
-    def concentrate(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("bin")
-        n = part["k"].to_numpy(float)
-        wanted = max(1.0, COVERED * n.sum())
-        # Whole bins from the nearest on; of the last one, the share that is still wanted.
-        taken = np.clip((wanted - (np.cumsum(n) - n)) / n, 0, 1)
-        k = (taken * n).sum()
-        mean = np.array([(taken * part[f"s{i}"]).sum() for i in range(p)]) / k
-        cov = np.zeros((p, p))
-        for i, j in pairs:
-            cov[i, j] = cov[j, i] = (taken * part[f"s{i}_{j}"]).sum() / k - mean[i] * mean[j]
-        # Rounding and shares of bins can leave a slightly negative variance.
-        values, vectors = np.linalg.eigh(cov)
-        return _model(part["group"].iloc[0], int(n.sum()), mean, (vectors * np.maximum(values, 0)) @ vectors.T * factor)
-
-    sums = [F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(p)] + [F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"s{i}_{j}") for i, j in pairs]
-    for _ in range(STEPS):
-        far = rows.join(model, "group").withColumn("bin", F.floor(F.log2(_distance(F.col("x"), F.col("mean"), F.col("precision")) + 1e-6) * BINS))
-        model = stage(far.groupBy("group", "bin").agg(F.count(F.lit(1)).alias("k"), *sums).groupBy("group").applyInPandas(concentrate, MODEL))
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        mean, cov = concentrated(part, p)
+        return _models([_model(part["group"].iloc[0], int(part["start"].iloc[0]), int(part["k"].sum()), mean, cov * factor)])
+
+    x = [F.col("x")[i] for i in range(p)]
+    sums = [F.sum(v).alias(f"s{i}") for i, v in enumerate(x)] + _products(x, "s")
+    # Estimates are few: some per language and source.
+    far = rows.join(model.drop("n", "log_det"), "group").withColumn("bin", F.floor(F.log2(_distance(F.col("x"), F.col("mean"), F.col("precision")) + 1e-6) * BINS))
+    return far.groupBy("group", "start", "bin").agg(F.count(F.lit(1)).alias("k"), *sums).groupBy("group", "start").applyInPandas(one, MODEL)
+
+
+def fit(measured: DataFrame) -> DataFrame:
+    """One estimate per group (MODEL) from stored rows `group, x`: of those found from all starts the one with the least
+    determinant; groups that are too small are left out."""
+    rows = measured.where(F.col("x").isNotNull() & F.col("group").isNotNull())
+    model = stage(starts(rows))
+    for _ in range(FIRST_STEPS):
+        model = stage(concentrate(rows, model))
+    best = F.min_by(F.struct(*model.columns), F.struct("log_det", "start"))
+    model = stage(model.groupBy("group").agg(best.alias("_best")).select("_best.*"))
+    for _ in range(STEPS - FIRST_STEPS):
+        # A step made of whole bins can also end slightly higher: then the estimate before it stays.
+        stepped = concentrate(rows, model).select("group", F.struct("start", "n", "mean", "precision", "log_det").alias("_new"))
+        joined = model.join(stepped, "group").withColumn("_falls", F.col("_new.log_det") < F.col("log_det") - SETTLED)
+        columns = (F.when(F.col("_falls"), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in model.columns[1:])
+        after = stage(joined.select("group", *columns, "_falls"))
+        model = after.drop("_falls")
+        if after.where("_falls").isEmpty():
+            break
     return model
 
 

@@ -1,5 +1,6 @@
 """Quality outliers, licence scan, toxicity and language identification."""
 
+import itertools
 import random
 import re
 from collections import Counter
@@ -76,6 +77,51 @@ def test_estimate_equals_concentration_in_memory(spark):
     assert d[:60].min() > d[60:].max() and np.abs(np.array(model.mean)).max() < 0.5
 
 
+def test_determinant_is_the_least_over_subsets(spark, monkeypatch):
+    """A small group: the least determinant over all subsets of the covered size, by brute force."""
+    draw = np.random.default_rng(8)
+    p = len(quality.NAMES)
+    x = draw.normal(size=(16, p))
+    x[:4] = x[:4] * 0.1 + 9  # a tight cluster apart from the rest, which must not be what the estimate rests on
+    monkeypatch.setattr(quality, "LEAST_GROUP", 10)
+    rows = spark.createDataFrame([("g", v.tolist()) for v in x], "group string, x array<double>")
+    model = quality.fit(rows).first()
+    covered = round(quality.COVERED * len(x))
+    dets = {
+        take: np.linalg.slogdet(quality.floored(np.cov(x[list(take)].T, bias=True) * quality._consistent(p)))[1]
+        for take in itertools.combinations(range(len(x)), covered)
+    }
+    best = min(dets, key=dets.get)
+    assert min(best) >= 4
+    # Distances are binned, so the subset may be cut within a bin: nearly the least, and far below what other starts give.
+    assert model.log_det < dets[best] + 0.5 and model.log_det < np.median(list(dets.values()))
+    assert np.abs(np.array(model.mean) - x[list(best)].mean(axis=0)).max() < 0.3
+
+
+def test_every_start_and_the_least_determinant(spark):
+    draw = np.random.default_rng(5)
+    p = len(quality.NAMES)
+    x = draw.normal(size=(300, p)) @ draw.normal(size=(p, p))
+    x[:90] += 12
+    rows = spark.createDataFrame([("g", v.tolist()) for v in x], "group string, x array<double>")
+    first = quality.starts(rows)
+    assert sorted(r.start for r in first.collect()) == list(range(len(quality.STARTS)))
+    ends = first
+    for _ in range(quality.FIRST_STEPS):
+        ends = quality.concentrate(rows, ends)
+    assert quality.fit(rows).first().log_det <= min(r.log_det for r in ends.collect()) + 1e-9
+
+
+def test_deviations_are_at_least_the_floor():
+    p = len(quality.NAMES)
+    least = np.array(list(quality.FLOOR.values()))
+    assert np.allclose(quality.floored(np.zeros((p, p))), np.diag(least**2))
+    wide = np.diag((10 * least) ** 2)
+    assert np.allclose(quality.floored(wide), wide)  # nothing is added to a variance above it
+    same = np.ones((p, p))
+    assert np.isfinite(np.linalg.inv(quality.floored(same))).all()
+
+
 def test_quality_of_odd_rows(odd, none):
     got = quality.assess(odd, "doc_id").collect()
     assert len(got) == len(odd_rows())
