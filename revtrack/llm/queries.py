@@ -157,7 +157,7 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 RULES = {
     ("com", "/en/"): "block",
     ("example.com", "/en/7"): "allow",
-    ("net", "/de/"): "block",
+    ("net", "/de/"): "allow",
     ("example.net", "/de/8"): "block",
     ("org", "/es/"): "block",
 }

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from revtrack.llm import jaccard, mixing, ordering, packing, shards, simhash, urls
+from revtrack.llm import jaccard, mixing, ordering, packing, queries, shards, simhash, urls
 from revtrack.llm.common import configure_batches, stage
 
 from .conftest import odd_rows, prose
@@ -407,3 +407,17 @@ def test_hosts_of_many_junk_pages_are_listed(spark):
     pages = spark.createDataFrame(rows, "host string, html string")
     assert [r.key for r in urls.junk_hosts(pages).collect()] == ["bad.org"]
     assert urls.junk_hosts(pages.limit(0)).count() == 0
+
+
+def test_rules_have_the_verdicts_of_the_contract(spark, tmp_path):
+    """One junk page makes `example.net` a listed host, so an allowing rule shows against it; other hosts are not listed."""
+    rows = {
+        "http://a.com/en/x": ("com/en/", "block"), "http://example.com/en/7x": ("example.com/en/7", "allow"), "http://b.net/de/x": ("net/de/", "allow"),
+        "http://example.net/de/7": ("net/de/", "allow"), "http://example.net/de/8": ("example.net/de/8", "block"), "http://example.net/fr/": (None, "block"),
+        "http://c.org/es/": ("org/es/", "block"), "http://c.org/en/": (None, "allow"),
+    }
+    pages = [(i, url, "#" * 50 if "example.net" in url else "text") for i, url in enumerate(rows)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in queries.op10_urls(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(rows))] == list(rows.values())
+    assert queries.RULES == {("com", "/en/"): "block", ("example.com", "/en/7"): "allow", ("net", "/de/"): "allow", ("example.net", "/de/8"): "block", ("org", "/es/"): "block"}
