@@ -25,10 +25,13 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RAW_PAGES).parquet(path)
 
 
-def stream_pages(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+def stream_pages(spark: SparkSession, path: str, max_files: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Landed pages as a stream; a micro-batch takes at most `max_files` files, or files of `max_bytes` together, at least one."""
     reader = spark.readStream.schema(RAW_PAGES)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
+    elif max_bytes:
+        reader = reader.option("maxBytesPerTrigger", max_bytes)
     return reader.parquet(path)
 
 

@@ -37,9 +37,12 @@ def ingest_stream(
     detail: DataFrame | None = None,
     publications: DataFrame | None = None,
     bodies: str | None = None,
+    max_bytes: int | None = None,
 ) -> StreamingQuery:
     """Read what has landed since the last call and merge it, then stop.
 
+    A micro-batch takes `max_files` files, or files of `max_bytes` together, else all there is. Each has a fixed cost (about a
+    hundred small jobs), so a landing of many files is better bounded by bytes.
     `name` tells streams that feed one store apart; keep it as long as the checkpoint. `bodies` is a folder of pages of single
     posts in the landing's layout; each batch sees what is there when it runs.
     """
@@ -52,7 +55,7 @@ def ingest_stream(
             ingest(store, pages, as_of, (name, batch_id), scorer, detail, publications, bodies=posts)
 
     return (
-        stream_pages(spark, landing, max_files)
+        stream_pages(spark, landing, max_files, max_bytes)
         .writeStream.foreachBatch(merge)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

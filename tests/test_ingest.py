@@ -287,3 +287,25 @@ def test_older_files_get_the_added_column(spark, tmp_path):
     old = spark.createDataFrame([(1, 1, None, "t", "ai", None, None, None, DAY, DAY)], "id long, agency_id long, mandate_id long, title string, category string, description string, source_url string, pdf_url string, created_at timestamp, updated_at timestamp")
     old.write.parquet(str(tmp_path / "g"))
     assert read_table(spark, "guidelines", str(tmp_path / "g")).first().item_type == "guideline"
+
+
+def test_micro_batches_follow_the_size_of_the_landing(spark, tmp_path, monkeypatch):
+    from revtrack.sources.landing import stream_pages
+    from revtrack.streaming import incremental
+    from workload import sync
+
+    spark.createDataFrame([(n, f"N{n}") for n in range(25)], "n_nationkey long, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    for n in range(10):
+        spark.createDataFrame([(n, f"http://h/{n}", "<article><h1>the page</h1>")], "page_id long, url string, html string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/pages.parquet")
+    met = []
+    monkeypatch.setattr(incremental, "ingest", lambda store, pages, *rest, **named: met.append(sorted((r.crawl_id, r.page_num) for r in pages.collect())))
+    sync.streamed(spark, str(tmp_path))
+    assert met == [[(f"crawl {k}", n) for n in range(10)] for k in range(2)]
+
+    files = spark.read.parquet(f"{tmp_path}/pages.parquet").select(F.lit(1).cast("bigint").alias("config_id"))
+    files.repartition(4).write.parquet(f"{tmp_path}/landing")
+    for bytes_, n in ((1 << 30, 1), (1, 4)):
+        batches = []
+        stream = stream_pages(spark, f"{tmp_path}/landing", max_bytes=bytes_).writeStream.foreachBatch(lambda rows, i: batches.append(rows.count()))
+        stream.option("checkpointLocation", f"{tmp_path}/cp{n}").trigger(availableNow=True).start().awaitTermination()
+        assert len(batches) == n and sum(batches) == 10

@@ -22,6 +22,8 @@ from .roles import LINES, Tables, lines, with_roles
 from .titles import _q, sql_category, sql_class, sql_label, sql_norm
 
 AS_OF = datetime(2001, 8, 1)
+# Landed pages per micro-batch of the stream.
+BATCH_BYTES = 1 << 30
 _EMPTY = "array<string>"
 
 
@@ -108,8 +110,8 @@ def _rules(t: Tables) -> DataFrame:
 def streamed(spark, sf_dir: str, backlog: bool = False) -> Store:
     """Every page lands as a detail page of one of 25 agencies and is merged by the stream.
 
-    Two crawls land, one after the other, each with the whole table: the second meets what the first has stored. With
-    `backlog` both are in one micro-batch.
+    Two crawls land, one after the other, each with the whole table: the stream is called after each, so the second meets
+    what the first has stored. With `backlog` it is called once, after both.
     """
     t = Tables(spark, sf_dir)
     root = f"{shared_dir(spark)}/revtrack/{uuid.uuid4().hex}"
@@ -130,15 +132,17 @@ def streamed(spark, sf_dir: str, backlog: bool = False) -> Store:
     )
     # The second crawl is a day later; undated posts are versions of their own crawl's day.
     crawls = [page.withColumn("crawl_id", F.lit(f"crawl {n}")).withColumn("fetched_at", F.col("fetched_at") + F.make_interval(days=F.lit(n))) for n in range(2)]
-    for crawl in crawls:
-        crawl.select(*RAW_PAGES.fieldNames()).write.mode("append").parquet(f"{root}/landing")
     # One profile per agency; the agencies are a closed list of 25.
     profiles = registry.detail_profiles(spark, [
         {"agency_code": f"NATION_{n}", "list_url": "list", "id_param_name": "id", "url_template": "https://x.example/{id}", "error_marker": "never seen in a page",
          "title_section_marker": "<article>", "title_regex": "<h1>([^<]+)</h1>"} for n in range(25)
     ])
-    query = ingest_stream(spark, f"{root}/landing", store.root, f"{root}/checkpoint", max_files=None if backlog else 1, detail=profiles)
-    query.awaitTermination()
+    for n, crawl in enumerate(crawls, 1):
+        crawl.select(*RAW_PAGES.fieldNames()).write.mode("append").parquet(f"{root}/landing")
+        if n == len(crawls) or not backlog:
+            # The number of micro-batches follows the size of what has landed, not its files.
+            query = ingest_stream(spark, f"{root}/landing", store.root, f"{root}/checkpoint", detail=profiles, max_bytes=None if backlog else BATCH_BYTES)
+            query.awaitTermination()
     return store
 
 
