@@ -260,3 +260,40 @@ def test_last_ids_and_worklist(spark):
     work = worklist(last)
     assert work.count() == 300
     assert work.where("seq_id = 11951 and list_url like '%222'").first().url == "https://www.fsec.or.kr/bbs/detail?menuNo=222&bbsNo=11951"
+
+
+def test_time_of_a_listing_follows_its_rows():
+    """Eight times the rows take some eight times as long, not 64 times."""
+    import time
+
+    how = [structure.compiled(x) for x in ("tr", "td > a", "td", "td a")]
+
+    def seconds(n: int) -> float:
+        html = "<table>" + "<tr><td><a href='v.pdf'>x</a><td>2024-01-01" * n + "</table>"
+        began = time.perf_counter()
+        assert len(list(structure._pieces(html, [], *how))) == n
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(12_000) < 24 * min(seconds(1_500) for _ in range(3))
+
+
+def test_rows_are_dealt_out_to_tasks_of_bounded_size(spark, monkeypatch):
+    from workload import roles
+
+    assert roles.dealt(spark.range(40)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(roles, "DEALT_ROWS", 2)
+    sizes = roles.dealt(spark.range(40)).rdd.glom().map(len).collect()
+    assert len(sizes) == 20 and sum(sizes) == 40
+
+
+def test_dates_and_paths_beside_the_short_cuts(evaluate):
+    from revtrack.functions.dates import date_from_text
+    from revtrack.functions.urls import resolve_url
+
+    days = [str(d) if d else None for d in evaluate(date_from_text, ["at 2024.1/02.", "2024-13-01", "no day", "", None, "20240102", "x 1-2-3 2024/12/31"])]
+    assert days == ["2024-01-02", None, None, None, None, "2024-01-02", "2024-12-31"]
+    got = evaluate(lambda h: resolve_url(F.lit("http://h/a/b"), h), ["c", "./c", "../c/.", "/x//y", "..", "c/.d/..e", None])
+    assert got == ["http://h/a/c", "http://h/a/c", "http://h/c/", "http://h/x//y", "http://h/", "http://h/a/c/.d/..e", None]
+    tags = evaluate(lambda t: html.attribute(t, "title"), ['<a TITLE="x &amp; y">', "<a x=title>", '<a href="/title">', "<a title=z>", None])
+    assert tags == ["x & y", None, None, "z", None]

@@ -16,9 +16,13 @@ NOW = datetime(2024, 2, 13)
 BASE = "https://posts.example"
 
 
+# Rows of a task that makes bodies and parses them: with more rows there are more tasks, not longer ones.
+DEALT_ROWS = 100_000
+
+
 def dealt(rows: DataFrame) -> DataFrame:
-    """Rows dealt out over all cores before bodies are made from them and parsed."""
-    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    """Rows of a table dealt out over all cores, or more tasks, before bodies are made from them and parsed."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // DEALT_ROWS)))
 
 
 class Tables:
