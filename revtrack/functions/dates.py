@@ -26,9 +26,9 @@ def _year_one_on(day: Column) -> Column:
     return let(day, lambda d: F.when(d >= F.lit("0001-01-01").cast("date"), d))
 
 
-def _delimited(text: Column, pattern: str = _DELIMITED) -> Column:
-    parts = [F.regexp_extract(text, pattern, i) for i in (1, 2, 3)]
-    return _year_one_on(F.try_to_date(F.concat_ws("-", *parts), "y-M-d"))
+def _delimited(text: Column) -> Column:
+    """Only what looks like a date reaches the parser: refusing a text costs it an exception."""
+    return let(F.regexp_extract(text, _DELIMITED, 0), lambda d: F.when(d != "", _year_one_on(F.try_to_date(F.translate(d, "./", "--"), "y-M-d"))))
 
 
 def date_from_text(text: Column) -> Column:

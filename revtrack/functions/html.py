@@ -61,7 +61,7 @@ def _unescape(text: Column) -> Column:
 
 
 def _without_comments(html: Column) -> Column:
-    return F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+    return let(html, lambda h: F.when(F.contains(h, F.lit("<!--")), F.regexp_replace(h, r"(?s)<!--.*?-->", "")).otherwise(h))
 
 
 def joined_text(html: Column) -> Column:
@@ -78,14 +78,12 @@ def spaced_text(html: Column) -> Column:
 def attribute(tag: Column, name: str) -> Column:
     """Value of an attribute of the opening tag `tag` starts with, unescaped; null when absent."""
     head = rf"(?is)^<\w+\b[^>]*?\s{name}\s*=\s*"
-    return let(
-        tag,
-        lambda t: unescape(
-            F.coalesce(
-                first_group(t, head + '"([^"]*)"'), first_group(t, head + "'([^']*)'"), first_group(t, head + r"([^\s>\"']+)")
-            )
-        ),
-    )
+
+    def value(t: Column) -> Column:
+        return unescape(F.coalesce(first_group(t, head + '"([^"]*)"'), first_group(t, head + "'([^']*)'"), first_group(t, head + r"([^\s>\"']+)")))
+
+    # Most tags do not have it; a plain search tells that sooner than three patterns.
+    return let(tag, lambda t: F.when(F.contains(F.lower(t), F.lit(name)), value(t)))
 
 
 def open_tag(kind: str, name: str, tag: str = r"\w+") -> str:

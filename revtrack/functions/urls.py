@@ -21,7 +21,7 @@ def page_url(base: Column, param: Column, page_num: Column) -> Column:
 
 def _fold_dots(segments: Column) -> Column:
     """Resolve `.` and `..` path segments."""
-    return let(segments, _folded)
+    return let(segments, lambda s: F.when(F.array_contains(s, ".") | F.array_contains(s, ".."), _folded(s)).otherwise(F.array_join(s, "/")))
 
 
 def _folded(segments: Column) -> Column:
