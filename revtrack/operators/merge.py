@@ -146,7 +146,7 @@ def _settle(fresh: DataFrame) -> DataFrame:
     if left is None:
         return taken
     left = stage(left)
-    many = stage(left.groupBy("agency_id").count().where(F.col("count") > CHAINED).select("agency_id"))
+    many = left.groupBy("agency_id").count().where(F.col("count") > CHAINED).select("agency_id")
     few = left.join(many, "agency_id", "left_anti")
     keys = few.select(*EDITION, "url", "ord")
 
