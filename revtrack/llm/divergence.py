@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,15 +33,19 @@ SCALE, ADDED = 1_000_000_000, 5
 SPAN = 4_096
 PAIRS = 256
 # Entries that a task counts before it hands them on.
-COUNTED = 1 << 18
+COUNTED = 1 << 19
+# Rows of a batch in which they go.
+HANDED = 1 << 15
 
 # ASCII letters to lower case, other ASCII to blanks; bytes of longer characters stay.
 _LETTERS = bytes(b if b > 127 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
 _SUM = "decimal(38,0)"
+# (n + ADDED) * SCALE and N + ADDED * V up to these are below 2^63.
+_SMALL, _LARGE = 9_000_000_000, 1 << 62
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """`lang, source, term, n, docs`; each group also has a row with a null term."""
+def told_counts(docs: DataFrame) -> DataFrame:
+    """`lang, source, term, n, docs` as tasks hand them on, a term once or a few times each; each group also has rows with a null term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
@@ -48,10 +53,10 @@ def term_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for lang, source, raw in zip(*(batch[c].to_pylist() for c in ("lang", "source", "raw"))):
                 n, docs = held.setdefault((lang, source), (Counter(), Counter()))
-                before = len(n)
-                once = Counter(raw.translate(_LETTERS).split())
-                n.update(once)
-                docs.update(once.keys())
+                before, words = len(n), raw.translate(_LETTERS).split()
+                # Both meet new terms in the same order, so their entries stand side by side.
+                n.update(words)
+                docs.update(dict.fromkeys(words).keys())
                 size += len(n) - before
                 if size >= COUNTED:
                     yield from _handed_on(held)
@@ -59,25 +64,40 @@ def term_counts(docs: DataFrame) -> DataFrame:
         yield from _handed_on(held)
 
     rows = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")), F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
-    told = rows.mapInArrow(run, "lang string, source string, term string, n long, docs long")
-    return told.groupBy("lang", "source", "term").agg(F.sum(F.col("n").cast("decimal(28,0)")).alias("n"), F.sum("docs").alias("docs"))
+    return rows.mapInArrow(run, "lang string, source string, term string, n long, docs long")
 
 
 def _handed_on(held: dict) -> Iterator[pa.RecordBatch]:
     for (lang, source), (n, docs) in held.items():
-        rows = [None, *n]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(rows)), pa.array([source] * len(rows)), pa.array([r if r is None else r.decode() for r in rows], pa.string()),
-             pa.array([0, *n.values()], pa.int64()), pa.array([0, *(docs[r] for r in n)], pa.int64())],
-            ["lang", "source", "term", "n", "docs"],
-        )
+        # Terms of a group as they were met, in batches of a size that goes well from process to process.
+        columns = [pa.array([None, *n], pa.binary()).cast(pa.string()), pa.array([0, *n.values()], pa.int64()), pa.array([0, *docs.values()], pa.int64())]
+        groups = [pa.repeat(pa.scalar(x, pa.string()), len(n) + 1) for x in (lang, source)]
+        whole = pa.RecordBatch.from_arrays([*groups, *columns], ["lang", "source", "term", "n", "docs"])
+        for at in range(0, len(whole), HANDED):
+            yield whole.slice(at, HANDED)
+
+
+def kept_counts(docs: DataFrame, least_docs: int) -> DataFrame:
+    """`lang, source, term, n, lang_n, first` of the terms that a language keeps: counts of the group and of the language, and
+    whether this is the one row of the language's term that stands for it; each group also has a row with a null term.
+
+    Dealt out by language and term once; a group's counts, the language's and what it keeps are all found there.
+    """
+    counts = told_counts(docs).repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    each = Window.partitionBy("lang", "term")
+    known = counts.withColumn("lang_docs", F.sum("docs").over(each)).withColumn("lang_n", F.sum("n").over(each))
+    known = known.withColumn("first", F.col("source") == F.min("source").over(each))
+    return known.where(F.col("term").isNull() | (F.col("lang_docs") >= least_docs)).select("lang", "source", "term", "n", "lang_n", "first")
 
 
 def share(n: Column, total: Column, v: Column) -> Column:
     """The share of a count in `total`, with `v` kept terms; whole numbers, as long."""
+    # Within 64 bits where that is enough.
+    small = (n <= _SMALL) & (total <= _LARGE) & (v <= _SMALL)
+    plain = F.call_function("div", (n.cast("long") + ADDED) * F.lit(SCALE), total.cast("long") + F.lit(ADDED) * v.cast("long"))
     over = (n.cast("decimal(27,0)") + ADDED) * F.lit(SCALE).cast("decimal(10,0)")
     under = total.cast("decimal(28,0)") + F.lit(ADDED) * v.cast("decimal(19,0)")
-    return (F.call_function("div", over, under) + 1).cast("long")
+    return F.when(small, plain).otherwise(F.call_function("div", over, under).cast("long")) + 1
 
 
 class Forest:
@@ -131,18 +151,16 @@ def _joined(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, int]:
 
 def _priced(part: pa.Table) -> pa.Table:
     """All ordered pairs of the groups of a span, with the distance of their trees."""
-    rows = part.select(["source", "term", "n", "total"]).to_pylist()
-    totals = {r["source"]: int(r["total"]) for r in rows if r["term"] is None}
+    is_group = pc.is_null(part["term"])
+    totals = {r["source"]: int(r["total"]) for r in part.select(["source", "total"]).filter(is_group).to_pylist()}
     sources = sorted(totals)
-    cells = [r for r in rows if r["term"] is not None]
-    terms = {t: k for k, t in enumerate(sorted({r["term"] for r in cells}))}
-    wide = 1 << max(0, len(terms) - 1).bit_length()
-    large = any(r["n"] >= 1 << 62 for r in cells)
-    counts = np.zeros((len(sources), wide), object if large else np.int64)
-    counts[:, len(terms) :] = -1
-    row_of = {s: k for k, s in enumerate(sources)}
-    for r in cells:
-        counts[row_of[r["source"]], terms[r["term"]]] = int(r["n"])
+    cells = part.select(["source", "term", "n"]).filter(pc.invert(is_group))
+    terms = cells["term"].combine_chunks().dictionary_encode()
+    wide = 1 << max(0, len(terms.dictionary) - 1).bit_length()
+    n = cells["n"].to_numpy()
+    counts = np.zeros((len(sources), wide), object if n.max(initial=0) >= 1 << 62 else np.int64)
+    counts[:, len(terms.dictionary) :] = -1
+    counts[pc.index_in(cells["source"], pa.array(sources, pa.string())).to_numpy(), terms.indices.to_numpy()] = n
     forest, lists = Forest(counts), ([], [], [])
     left, right = np.triu_indices(len(sources), 1)
     for at in range(0, len(left), PAIRS):
@@ -151,26 +169,23 @@ def _priced(part: pa.Table) -> pa.Table:
             for s, o in ((i, j), (j, i)):
                 for column, x in zip(lists, (sources[s], sources[o], value)):
                     column.append(x)
-    n = len(lists[0])
-    lang = part["lang"].slice(0, 1).to_pylist() * n
+    lang = part["lang"].slice(0, 1).to_pylist() * len(lists[0])
     return pa.table({"lang": pa.array(lang, pa.string()), "source": pa.array(lists[0], pa.string()), "item": pa.array(lists[1], pa.string()), "value": pa.array(lists[2], pa.int64())})
 
 
 def audit(docs: DataFrame, *, least_docs: int = LEAST_DOCS, terms: int = TERMS, span: int = SPAN) -> DataFrame:
     """`lang, source, part, item, value, rank`: the other sources by distance, and the terms a source uses more than its language."""
-    counts = stage(term_counts(docs))
-    kept = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n"))
-    kept = stage(kept.where(F.col("docs") >= least_docs).select("lang", "term", "lang_n"))
-    cells = stage(counts.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "lang_n"))
-    langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
-    totals = cells.groupBy("lang", "source").agg(F.sum("n").alias("n"))
-    groups = counts.where("term is null").select("lang", "source").join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
+    counts = stage(kept_counts(docs, least_docs))
+    cells = counts.where("term is not null")
+    totals = cells.groupBy("lang", "source").agg(F.sum("n").alias("n"), F.count_if("first").alias("v"))
+    langs = totals.groupBy("lang").agg(F.sum("v").alias("v"), F.sum("n").alias("lang_total"))
+    groups = counts.where("term is null").select("lang", "source").join(totals.drop("v"), ["lang", "source"], "left").join(langs, "lang", "left")
     none = F.lit(0).cast(_SUM)
-    groups = stage(groups.select("lang", "source", F.coalesce("n", none).alias("total"), F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("lang_total", none).alias("lang_total")))
+    groups = stage(groups.select("lang", "source", F.coalesce(F.col("n").cast(_SUM), none).alias("total"), F.coalesce("v", F.lit(0)).alias("v"), F.coalesce(F.col("lang_total").cast(_SUM), none).alias("lang_total")))
 
     spans = -(-max(1, groups.agg(F.max("v")).first()[0] or 0) // span)
-    dealt = cells.select("lang", F.pmod(F.xxhash64("term"), F.lit(spans)).alias("span"), "source", "term", "n", none.alias("total"))
-    everywhere = groups.select("lang", F.explode(F.sequence(F.lit(0), F.lit(spans - 1)).cast("array<long>")).alias("span"), "source", F.lit(None).cast("string").alias("term"), none.alias("n"), (F.col("total") + ADDED * F.col("v")).cast(_SUM).alias("total"))
+    dealt = cells.select("lang", F.pmod(F.xxhash64("term"), F.lit(spans)).alias("span"), "source", "term", "n", F.lit(None).cast(_SUM).alias("total"))
+    everywhere = groups.select("lang", F.explode(F.sequence(F.lit(0), F.lit(spans - 1)).cast("array<long>")).alias("span"), "source", F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("n"), (F.col("total") + ADDED * F.col("v")).cast(_SUM).alias("total"))
     pairs = dealt.union(everywhere).groupBy("lang", "span").applyInArrow(_priced, "lang string, source string, item string, value long")
     pairs = pairs.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from revtrack.llm import alignment, divergence, neighbours
-from revtrack.llm.common import configure_batches
+from revtrack.llm.common import configure_batches, stage
 
 from .conftest import odd_rows, prose
 
@@ -241,3 +241,19 @@ def test_divergence_on_odd_rows(spark, odd, none):
     assert got == plain_audit(odd_rows(), 1, 50)
     assert divergence.audit(odd).where("part = 'pair' and value = 0").count() > 0
     assert divergence.audit(none).count() == 0
+
+
+def test_divergence_writes_counts_once_and_holds_few(spark, table, monkeypatch):
+    rows = [(i, prose(i % 50, 30), ("en", "de")[i % 2], f"s{i % 3}", 0) for i in range(120)]
+    writes = []
+    monkeypatch.setattr(divergence, "stage", lambda df: writes.append(df.columns) or stage(df))
+    monkeypatch.setattr(divergence, "COUNTED", 40)
+    monkeypatch.setattr(divergence, "HANDED", 7)
+    got = {tuple(r) for r in divergence.audit(table(rows), least_docs=4).select("lang", "source", "part", "item", "value", "rank").collect()}
+    assert got == plain_audit(rows, 4, 50) and len(writes) == 2
+
+
+def test_shares_beyond_64_bits(spark):
+    rows = spark.createDataFrame([(3, 20, 4), (9_000_000_000, 10**17, 7), (9_000_000_001, 10**17, 7), (10**17, 10**18, 10**6), (10**18, 5 * 10**18, 1)], "n long, total long, v long").withColumn("total", F.col("total").cast("decimal(38,0)"))
+    got = rows.select("n", "total", "v", divergence.share(F.col("n"), F.col("total"), F.col("v")).alias("s")).collect()
+    assert [r.s for r in got] == [1 + 10**9 * (r.n + 5) // (int(r.total) + 5 * r.v) for r in got]
