@@ -40,6 +40,8 @@ WIDTH, PERCENT = 5, 75
 ORDERS = 3
 # Cells of the token count table that every task gets (a byte each), and rows that it travels in.
 COUNT_BITS, CHUNKS = 24, 256
+# Tokens that a task counts before it hands them on.
+COUNTED = 1 << 20
 # Cells (a byte each) in which a set's prefix tokens are counted, for each order after the first.
 CELLS = 256
 # Bits of the filter that picks the documents whose sets are wanted.
@@ -106,30 +108,49 @@ def measure(docs: DataFrame, doc_id: str, text: str, percent: int = PERCENT) ->
 
     names = ["doc_id", "n", "set", "head2", "head3", "cells", "chunk", "counts"]
 
+    def counted(held: list[np.ndarray], of: pa.DataType) -> pa.RecordBatch:
+        at, n = np.unique(np.concatenate(held), return_counts=True)
+        edges = np.searchsorted(at, np.arange(CHUNKS + 1) * size)
+        parts = [(c, packed_counts(at[i:j] - c * size, n[i:j])) for c, (i, j) in enumerate(zip(edges[:-1], edges[1:])) if j > i]
+        chunk, packed = pa.array([c for c, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())
+        no = [pa.nulls(len(parts), kind) for kind in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.nulls(len(parts), of), pa.array([0] * len(parts), pa.int64()), *no, chunk, packed], names)
+
     # In Arrow: pandas makes floats of a batch's ids as soon as one is null, which rounds those above 2^53.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, of = np.zeros(1 << COUNT_BITS, np.uint32), pa.null()
+        # Cells of tokens rather than a table with a place for each cell: a worker holds what it has read since, not 2^COUNT_BITS counts.
+        held, wait, of = [], 0, pa.null()
         for batch in batches:
             sets, of = [shingles(r) for r in batch["raw"].to_pylist()], batch["doc_id"].type
-            if len(sets):
-                np.add.at(counts, (np.concatenate(sets) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
             told = [compact(s, percent) if len(s) else ([None, None], None) for s in sets]
             columns = [
                 batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
                 *(pa.array([h[i] for h, _ in told], pa.int64()) for i in range(2)), pa.array([c for _, c in told], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names)
-        parts = [(c, counts[c * size : (c + 1) * size]) for c in range(CHUNKS)]
-        parts = [(c, zlib.compress(p.astype("<u4").tobytes(), 1)) for c, p in parts if p.any()]
-        if parts:
-            chunk, packed = pa.array([c for c, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())
-            no = [pa.nulls(len(parts), kind) for kind in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), of), pa.array([0] * len(parts), pa.int64()), *no, chunk, packed], names)
+            for s in sets:
+                held.append((s >> np.uint64(64 - COUNT_BITS)).astype(np.uint32))
+                wait += len(s)
+                if wait >= COUNTED:
+                    yield counted(held, of)
+                    held, wait = [], 0
+        if wait:
+            yield counted(held, of)
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"))
     return rows.mapInArrow(run, f"doc_id {kind}, n long, set long, head2 long, head3 long, cells binary, chunk int, counts binary")
 
 
+def packed_counts(at: np.ndarray, n: np.ndarray) -> bytes:
+    """Counts `n` of the cells `at` of a chunk, which ascend: gaps between cells, then counts."""
+    return zlib.compress(np.diff(at, prepend=0).astype("<u4").tobytes() + n.astype("<u4").tobytes(), 1)
+
+
+def unpacked_counts(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    gaps, n = np.frombuffer(zlib.decompress(packed), "<u4").reshape(2, -1)
+    return np.cumsum(gaps, dtype=np.int64), n
+
+
 def count_table(measured: DataFrame) -> np.ndarray:
     """Rank of frequency (one byte, 8 to a doubling) for each cell; its size is fixed, 2^COUNT_BITS bytes."""
     size = (1 << COUNT_BITS) // CHUNKS
@@ -137,16 +158,19 @@ def count_table(measured: DataFrame) -> np.ndarray:
     def add(part: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(size, np.uint32)
         for packed in part["counts"]:
-            total += np.frombuffer(zlib.decompress(packed), "<u4")
-        return pd.DataFrame({"chunk": part["chunk"].iloc[:1], "counts": [zlib.compress(total.tobytes(), 1)]})
+            at, n = unpacked_counts(packed)
+            total[at] += n
+        at = np.flatnonzero(total)
+        return pd.DataFrame({"chunk": part["chunk"].iloc[:1], "counts": [packed_counts(at, total[at])]})
 
     parts = measured.where(F.col("chunk").isNotNull()).select("chunk", "counts")
     # Tasks are added up in two rounds, so that no round meets them all in one place.
     some = parts.withColumn("_some", F.pmod(F.crc32("counts"), F.lit(32))).groupBy("chunk", "_some").applyInPandas(add, "chunk int, counts binary")
-    table = np.zeros(1 << COUNT_BITS, np.uint32)
+    ranks = np.zeros(1 << COUNT_BITS, np.uint8)
     for row in some.groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect():
-        table[row.chunk * size : (row.chunk + 1) * size] = np.frombuffer(zlib.decompress(row.counts), "<u4")
-    return np.minimum(np.log2(np.maximum(table, 1)) * 8, 255).astype(np.uint8)
+        at, n = unpacked_counts(row.counts)
+        ranks[row.chunk * size + at] = np.minimum(np.log2(n) * 8, 255).astype(np.uint8)
+    return ranks
 
 
 def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:

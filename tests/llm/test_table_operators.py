@@ -421,3 +421,17 @@ def test_rules_have_the_verdicts_of_the_contract(spark, tmp_path):
     got = {r.page_id: (r.rule, r.verdict) for r in queries.op10_urls(spark, str(tmp_path)).collect()}
     assert [got[i] for i in range(len(rows))] == list(rows.values())
     assert queries.RULES == {("com", "/en/"): "block", ("example.com", "/en/7"): "allow", ("net", "/de/"): "allow", ("example.net", "/de/8"): "block", ("org", "/es/"): "block"}
+
+
+def test_token_counts_are_handed_on_as_they_are_met(spark, table, monkeypatch):
+    monkeypatch.setattr(jaccard, "COUNTED", 500)
+    rows = [(i, prose(i % 90, 20 + i % 40), "en", "a", 0) for i in range(300)] + [(None, None, "en", "a", 0), (900, "", "en", "a", 0)]
+    measured = jaccard.measure(table(rows).coalesce(1), "doc_id", "text")
+    counted = measured.where("chunk is not null").groupBy("chunk").count()
+    assert counted.agg({"count": "max"}).first()[0] > 2
+    want = np.zeros(1 << jaccard.COUNT_BITS, np.uint32)
+    for _, text, *_ in rows:
+        np.add.at(want, (jaccard.shingles((text or "").encode()) >> np.uint64(64 - jaccard.COUNT_BITS)).astype(np.int64), 1)
+    assert want.max() > 3
+    assert (jaccard.count_table(measured) == np.minimum(np.log2(np.maximum(want, 1)) * 8, 255).astype(np.uint8)).all()
+    assert not jaccard.count_table(measured.limit(0)).any()
