@@ -3,10 +3,10 @@
 A set is a text's distinct 5-word shingles (64-bit hashes). Two sets whose Jaccard similarity is at least `percent` have a
 number of tokens in common among the first `n - ceil(percent * n) + 1` of each, whatever global order the tokens are put in.
 Three orders are used: by rarity (how often tokens occur in the corpus, counted over all texts in a table of fixed size, ties by
-hash), and two by hashes alone. The first order yields candidates. For the other two every set has a compact row: its first
-token, and counts of its prefix tokens in `CELLS` cells. A candidate whose cells cannot make up the common prefix tokens that a
-link takes under either order is dropped before any set is moved; the smaller count of each cell, added up, is at least the
-number of common prefix tokens, so no link is lost.
+hash), and two by hashes alone. The first order yields candidates; of the other two every set has its first token. Every set
+also has a compact row: a bitmap of all its tokens, at least four bits a token. Bits that only one of two sets has stand for
+as many tokens or more that the other lacks. A candidate that lacks more than a link allows is dropped before any set is
+moved, so no link is lost.
 
 The result is each document's class: what is reachable over links. Tokens that very many sets share are not paired up. For
 each token that set leads in which it comes first: few rarer tokens, which are what an edit brings in, stand before it, so a
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage
+from .common import stage, worker_cache
 
 WIDTH, PERCENT = 5, 75
 ORDERS = 3
@@ -42,8 +42,8 @@ ORDERS = 3
 COUNT_BITS, CHUNKS = 24, 256
 # Tokens that a task counts before it hands them on.
 COUNTED = 1 << 20
-# Cells (a byte each) in which a set's prefix tokens are counted, for each order after the first.
-CELLS = 256
+# Bits of a set's bitmap: the least and the most, and how many for each token.
+LEAST_BITS, MOST_BITS, BITS = 1 << 8, 1 << 22, 4
 # Bits of the filter that picks the documents whose sets are wanted.
 FILTER_BITS = 24
 
@@ -91,22 +91,21 @@ def prefix(tokens: np.ndarray, counts: np.ndarray, order: int, percent: int = PE
     return tokens[first[np.argsort(place[first])]]
 
 
-def compact(tokens: np.ndarray, percent: int = PERCENT) -> tuple[list[int], bytes]:
-    """A set's first token, and its prefix tokens counted in cells, under each order after the first."""
-    heads, cells = [], []
-    for order in range(2, ORDERS + 1):
-        own = prefix(tokens, None, order, percent)
-        heads.append(int(own[0].view(np.int64)))
-        cells.append(np.minimum(np.bincount((own & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8))
-    return heads, np.concatenate(cells).tobytes()
+def compact(tokens: np.ndarray) -> tuple[list[int], bytes]:
+    """A set's first token under each order after the first, and its size and bitmap; bits are a power of two."""
+    heads = [int(tokens[np.argmin(_mix(tokens + _ODD[order]))].view(np.int64)) for order in range(2, ORDERS + 1)]
+    size = min(max(LEAST_BITS, 1 << (BITS * len(tokens) - 1).bit_length()), MOST_BITS)
+    bits = np.zeros(size, bool)
+    bits[(tokens & np.uint64(size - 1)).astype(np.int64)] = True
+    return heads, np.array([len(tokens)], "<u8").tobytes() + np.packbits(bits).tobytes()
 
 
-def measure(docs: DataFrame, doc_id: str, text: str, percent: int = PERCENT) -> DataFrame:
-    """One row per document (`doc_id, n, set, head2, head3, cells`), and token counts of each task in rows with a `chunk`."""
+def measure(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """One row per document (`doc_id, n, set, head2, head3, bits`), and token counts of each task in rows with a `chunk`."""
     kind = docs.schema[doc_id].dataType.simpleString()
     size = (1 << COUNT_BITS) // CHUNKS
 
-    names = ["doc_id", "n", "set", "head2", "head3", "cells", "chunk", "counts"]
+    names = ["doc_id", "n", "set", "head2", "head3", "bits", "chunk", "counts"]
 
     def counted(held: list[np.ndarray], of: pa.DataType) -> pa.RecordBatch:
         at, n = np.unique(np.concatenate(held), return_counts=True)
@@ -119,10 +118,11 @@ def measure(docs: DataFrame, doc_id: str, text: str, percent: int = PERCENT) ->
     # In Arrow: pandas makes floats of a batch's ids as soon as one is null, which rounds those above 2^53.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Cells of tokens rather than a table with a place for each cell: a worker holds what it has read since, not 2^COUNT_BITS counts.
+        worker_cache("sets")  # empty: gives back what another operator has left in the worker
         held, wait, of = [], 0, pa.null()
         for batch in batches:
             sets, of = [shingles(r) for r in batch["raw"].to_pylist()], batch["doc_id"].type
-            told = [compact(s, percent) if len(s) else ([None, None], None) for s in sets]
+            told = [compact(s) if len(s) else ([None, None], None) for s in sets]
             columns = [
                 batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
                 *(pa.array([h[i] for h, _ in told], pa.int64()) for i in range(2)), pa.array([c for _, c in told], pa.binary()),
@@ -138,7 +138,7 @@ def measure(docs: DataFrame, doc_id: str, text: str, percent: int = PERCENT) ->
             yield counted(held, of)
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n long, set long, head2 long, head3 long, cells binary, chunk int, counts binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, n long, set long, head2 long, head3 long, bits binary, chunk int, counts binary")
 
 
 def packed_counts(at: np.ndarray, n: np.ndarray) -> bytes:
@@ -176,11 +176,11 @@ def count_table(measured: DataFrame) -> np.ndarray:
 def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """`doc_id, n_shingles, set, component_id, class` of every row; `class` is a digest that a class's rows share (null: empty set)."""
     spark = docs.sparkSession
-    measured = stage(measure(docs, doc_id, text, percent))
+    measured = stage(measure(docs, doc_id, text))
     nodes = measured.where(F.col("chunk").isNull()).select("doc_id", "n", "set")
     # One row per distinct set.
     known = measured.where(F.col("set").isNotNull()).groupBy("set").agg(
-        F.min("doc_id").alias("least"), F.max("n").alias("n"), F.max("head2").alias("head2"), F.max("head3").alias("head3"), F.max("cells").alias("cells")
+        F.min("doc_id").alias("least"), F.max("n").alias("n"), F.max("head2").alias("head2"), F.max("head3").alias("head3"), F.max("bits").alias("bits")
     )
     known = stage(known)
     table = spark.sparkContext.broadcast(count_table(measured))
@@ -194,9 +194,9 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", perc
     pairs = shared.where("set <> leader").groupBy(F.col("leader").alias("a"), F.col("set").alias("b")).agg(F.count(F.lit(1)).alias("met"))
     led = stage(compared(pairs))
     label = components(led.where("linked").select("a", "b"))
-    open_ = _open(shared, label)
-    label = _joined(label, compared(_met(open_, known)))
-    label = _joined(label, compared(_rest(_open(open_.drop("label"), label), led, known, percent), worth=False))
+    open_ = _open(shared, label, known.select("set", "n", "head2", "head3"))
+    label = _joined(label, compared(_met(open_)))
+    label = _joined(label, compared(_rest(_open(open_.drop("label", "head2", "head3"), label), led, percent), worth=False))
     # From sets back to documents: one row per distinct set, then one per document.
     own = known.select("set", "least").join(label.withColumnRenamed("node", "set"), "set", "left").withColumn("class", F.coalesce("label", "set"))
     least = own.groupBy("class").agg(F.min("least").alias("component_id"))
@@ -210,6 +210,7 @@ def representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     @F.pandas_udf("long")
     def digest(raws: pd.Series) -> pd.Series:
+        worker_cache("sets")
         sets = map(shingles, raws)
         return pd.Series([set_id(s) if len(s) else None for s in sets], dtype="Int64")
 
@@ -218,16 +219,20 @@ def representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     best = best.select("class", F.col("b.doc_id").alias("_id"), F.col("b.set").alias("_best"))
     is_best = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("set") == F.col("_best"))
     told = found.join(best, "class").groupBy("set", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(is_best).alias("best"))
-    # Rows that go, and rows of which equal ones stand several times. What stays is not moved while these lists are short
-    # enough for Spark to broadcast them.
+    # Rows that go, and rows of which equal ones stand several times. Only rows whose ids may be among theirs, by a filter of
+    # fixed size, are looked at and moved.
     told = stage(told.where("not best or n > 1"))
-    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).alias("_doc"), digest(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_set"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).alias("_doc"), F.col(text).alias("_text"), _cell(doc_id).alias("_cell"))
+    rows = rows.withColumn("k", F.bitmap_bucket_number("_cell")).join(F.broadcast(_marked(told)), "k", "left")  # 512 rows at most
+    byte = F.expr("cast(conv(hex(substring(bits, cast(bitmap_bit_position(_cell) div 8 + 1 as int), 1)), 16, 10) as int)")
+    rows = rows.withColumn("_listed", F.coalesce(F.expr("cast(pow(2, bitmap_bit_position(_cell) % 8) as int)").bitwiseAND(byte) > 0, F.lit(False)))
+    keyed = rows.where("_listed").select("_row", "_doc", digest(F.coalesce(F.col("_text"), F.lit("")).cast("binary")).alias("_set"))
     gone, often = (told.where(c).select(F.col("set").alias("_s"), F.col("doc_id").alias("_d")) for c in ("not best", "best"))
     same = (F.col("_set") == F.col("_s")) & F.col("_doc").eqNullSafe(F.col("_d"))
     kept = keyed.join(gone.union(often), same, "left_anti").select("_row")
     turn = F.row_number().over(Window.partitionBy("_set", "_doc").orderBy(F.lit(1)))
     one = keyed.join(often, same, "left_semi").withColumn("_turn", turn).where("_turn = 1").select("_row")
-    return kept.union(one).select("_row.*")
+    return rows.where("not _listed").select("_row").union(kept).union(one).select("_row.*")
 
 
 def _shared_tokens(docs: DataFrame, doc_id: str, text: str, table, percent: int) -> DataFrame:
@@ -235,6 +240,7 @@ def _shared_tokens(docs: DataFrame, doc_id: str, text: str, table, percent: int)
     set with the smallest position leads."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_cache("sets")
         for batch in batches:
             tokens = {}
             for raw in batch["raw"]:
@@ -253,27 +259,39 @@ def _shared_tokens(docs: DataFrame, doc_id: str, text: str, table, percent: int)
     return known.where("_least <> _top").drop("_least", "_top")
 
 
+def _cell(doc_id: str) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(1 << FILTER_BITS)) + 1  # the bitmap functions count from 1
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    """Bitmaps of the cells of `doc_id`: `k, bits` for each bucket of 32,768 cells."""
+    marked = rows.select(_cell("doc_id").alias("c")).groupBy(F.bitmap_bucket_number("c").alias("k"))
+    return marked.agg(F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("bits"))
+
+
+def _filter(rows: DataFrame):
+    """These bitmaps in one, of fixed size, for every task."""
+    width = 4096  # bytes of one bitmap
+    bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for row in _marked(rows).collect():  # 2^FILTER_BITS bits at most
+        at = (row.k - 1) * width
+        bits[at : at + width] = np.frombuffer(row.bits, np.uint8)
+    return rows.sparkSession.sparkContext.broadcast(bits)
+
+
 def _wanted_sets(docs: DataFrame, doc_id: str, text: str, known: DataFrame, pairs: DataFrame) -> DataFrame:
     """`set, tokens` of at least the sets in `pairs`; read from one document each, picked by a filter of fixed size.
 
     A set may come more than once (ids that are not unique) and others may be among them (chance hits of the filter): both
     go when the table is joined with pairs and links are made distinct.
     """
-    spark = docs.sparkSession
     wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
-    first = known.select("set", F.col("least").alias("doc_id")).join(wanted, "set", "left_semi")
-    cell = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)) + 1  # the bitmap functions count from 1
-    width = 8 * 4096  # bits of one bitmap row
-    marked = first.select(cell.alias("c")).groupBy(F.bitmap_bucket_number("c").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("bits"))
-    bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for row in marked.collect():  # 2^FILTER_BITS bits at most
-        at = (row.k - 1) * width // 8
-        bits[at : at + width // 8] = np.frombuffer(row.bits, np.uint8)
-    sent = spark.sparkContext.broadcast(bits)
+    sent = _filter(known.select("set", F.col("least").alias("doc_id")).join(wanted, "set", "left_semi"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_cache("sets")
         for batch in batches:
-            c = batch["c"].to_numpy(np.int64)
+            c = batch["c"].to_numpy(np.int64) - 1
             hit = (sent.value[c >> 3] >> (c & 7).astype(np.uint8)) & 1
             found = {}
             for raw in batch["raw"][hit.astype(bool)]:
@@ -282,7 +300,7 @@ def _wanted_sets(docs: DataFrame, doc_id: str, text: str, known: DataFrame, pair
                     found[key] = own.tobytes()
             yield pd.DataFrame({"set": list(found), "tokens": list(found.values())})
 
-    rows = docs.select(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1 << FILTER_BITS)).alias("c"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"))
+    rows = docs.select(_cell(doc_id).alias("c"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"))
     return rows.mapInPandas(run, "set long, tokens binary")
 
 
@@ -318,33 +336,40 @@ def _common_prefix_tokens(x: str, y: str, percent: int) -> Column:
     Of a linked pair, all but a few tokens are common; those few cannot fill a prefix, and the common ones that come first
     are the same in both.
     """
-    overlap = f"(({percent} * ({x} + {y}) + {99 + percent}) div {100 + percent})"
     spare = lambda n: f"(1 - (({percent} * {n} + 99) div 100))"  # noqa: E731  prefix length minus size
-    return F.expr(f"greatest(1, least({spare(x)}, {spare(y)}) + {overlap})")
+    return F.expr(f"greatest(1, least({spare(x)}, {spare(y)}) + {_common_tokens(x, y, percent)})")
+
+
+def _common_tokens(x: str, y: str, percent: int) -> str:
+    """How many tokens two linked sets of sizes `x` and `y` have in common at least."""
+    return f"(({percent} * ({x} + {y}) + {99 + percent}) div {100 + percent})"
 
 
 @F.pandas_udf(T.LongType())
 def _common_at_most(one: pd.Series, other: pd.Series) -> pd.Series:
-    """How many prefix tokens two sets can have in common at most by their cells, under that order where it is the least."""
-    a, b = (np.frombuffer(b"".join(x), np.uint8).reshape(len(x), ORDERS - 1, CELLS) for x in (one, other))
-    low = np.minimum(a, b)
-    # A cell that is full in both says nothing.
-    most = np.where((low == 255).any(2), np.iinfo(np.int64).max, low.sum(2, dtype=np.int64))
-    return pd.Series(most.min(1))
+    """How many tokens two sets can have in common at most by their sizes and bitmaps."""
+
+    def of_pair(x: bytes, y: bytes) -> int:
+        (a, b), (n, m) = (np.frombuffer(z, np.uint8, offset=8) for z in (x, y)), (int.from_bytes(z[:8], "little") for z in (x, y))
+        # A longer bitmap is folded to the other's length, as fewer of a token's bits would have placed it.
+        size = min(len(a), len(b))
+        a, b = (np.bitwise_or.reduce(z.reshape(-1, size)) for z in (a, b))
+        return min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
+
+    return pd.Series([of_pair(x, y) for x, y in zip(one, other)], dtype="int64")
 
 
 def _fitting(pairs: DataFrame, known: DataFrame, percent: int, worth: bool) -> DataFrame:
-    """Pairs `a, b` whose sizes allow a link and whose compact rows may have enough prefix tokens in common under the second
-    and the third order. Where that is `worth` it, only those that `met` at a good part of the tokens a link takes under the first."""
+    """Pairs `a, b` whose sizes and bitmaps allow a link. Where that is `worth` it, only those that `met` at a good part of the
+    prefix tokens a link takes under the first order."""
     for side in ("a", "b"):
         pairs = pairs.join(known.select(F.col("set").alias(side), F.col("n").alias(f"n{side}")), side)
-    takes = _common_prefix_tokens("na", "nb", percent)
     pairs = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     if worth:
-        pairs = pairs.where(4 * F.col("met") >= takes)
+        pairs = pairs.where(4 * F.col("met") >= _common_prefix_tokens("na", "nb", percent))
     for side in ("a", "b"):
-        pairs = pairs.join(known.select(F.col("set").alias(side), F.col("cells").alias(f"c{side}")), side)
-    return pairs.where(_common_at_most("ca", "cb") >= takes).select("a", "b")
+        pairs = pairs.join(known.select(F.col("set").alias(side), F.col("bits").alias(f"bits{side}")), side)
+    return pairs.where(_common_at_most("bitsa", "bitsb") >= F.expr(_common_tokens("na", "nb", percent))).select("a", "b")
 
 
 def _joined(label: DataFrame, verified: DataFrame) -> DataFrame:
@@ -353,44 +378,47 @@ def _joined(label: DataFrame, verified: DataFrame) -> DataFrame:
     return components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links))
 
 
-def _open(shared: DataFrame, label: DataFrame) -> DataFrame:
-    """`token, set, pos, leader, label` of tokens whose sets are in more than one class so far; most tokens have one by now."""
+def _open(shared: DataFrame, label: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """Rows of `shared` with their `label`, and the columns of `sets`, of tokens whose sets are in more than one class so far;
+    most tokens have one by now."""
     known = shared.join(label.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))
     several = known.groupBy("token").agg(F.min("label").alias("_least"), F.max("label").alias("_most")).where("_least <> _most")
-    return stage(known.join(several.select("token"), "token", "left_semi").distinct())
+    found = known.join(several.select("token"), "token", "left_semi").distinct()
+    return stage(found if sets is None else found.join(sets, "set"))
 
 
-def _met(open_: DataFrame, known: DataFrame) -> DataFrame:
+def _met(open_: DataFrame) -> DataFrame:
     """Pairs `a, b` of each open token's sets with the leader of those that have the same first token under another order, and
     how many tokens they `met` at."""
-    rows = open_.join(known.select("set", "head2", "head3"), "set")
     met = []
     for head in ("head2", "head3"):
-        least = rows.groupBy("token", head).agg(F.min(F.struct("pos", "set", "label")).alias("one"))
-        both = rows.select("token", head, "set", "label").join(least, ["token", head]).where(F.col("label") != F.col("one.label"))
+        # One shuffle for each order; groups are the sets of one token that also have the first token under that order in common.
+        least = F.min(F.struct("pos", "set", "label")).over(Window.partitionBy("token", head))
+        both = open_.select("token", "set", "label", least.alias("one")).where(F.col("label") != F.col("one.label"))
         met.append(both.select("token", F.col("one.set").alias("a"), F.col("set").alias("b")))
     return met[0].union(met[1]).groupBy("a", "b").agg(F.count_distinct("token").alias("met"))
 
 
-def _rest(open_: DataFrame, led: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _rest(open_: DataFrame, led: DataFrame, percent: int) -> DataFrame:
     """All pairs `a, b` that share a token, are in different classes so far, and may yet be linked.
 
     All that two sets have in common stands from their first common token on, so at that token what is left of the shorter
     remainder must be enough; a pair that passes at a later token only would have passed there.
     """
     far = led.select(F.col("a").alias("leader"), F.col("b").alias("set"), "distance").distinct()
-    known = open_.join(far, ["leader", "set"], "left").join(sets.select("set", "n"), "set")
+    known = open_.join(far, ["leader", "set"], "left")
     known = known.withColumn("distance", F.when(F.col("set") == F.col("leader"), F.lit(0.0)).otherwise(F.col("distance")))
     known = stage(known.select("token", "set", "pos", "n", "distance", "label"))
-    other = known.select("token", *(F.col(c).alias(f"o_{c}") for c in ("set", "pos", "n", "distance", "label")))
-    apart = F.abs(F.col("distance") - F.col("o_distance"))
-    most = 1 + F.least(F.col("n") - F.col("pos"), F.col("o_n") - F.col("o_pos"))
-    return known.join(other, "token").where(
-        (F.col("label") < F.col("o_label"))
-        & ((100 + percent) * most >= percent * (F.col("n") + F.col("o_n")))
-        & (100 * F.least("n", "o_n") >= percent * F.greatest("n", "o_n"))
+    # Both sides are one table as it is, so it is shuffled once.
+    one, other = known.alias("one"), known.alias("other")
+    apart = F.abs(F.col("one.distance") - F.col("other.distance"))
+    most = 1 + F.least(F.col("one.n") - F.col("one.pos"), F.col("other.n") - F.col("other.pos"))
+    return one.join(other, F.col("one.token") == F.col("other.token")).where(
+        (F.col("one.label") < F.col("other.label"))
+        & ((100 + percent) * most >= percent * (F.col("one.n") + F.col("other.n")))
+        & (100 * F.least("one.n", "other.n") >= percent * F.greatest("one.n", "other.n"))
         & F.coalesce(apart <= 1 - percent / 100 + 1e-9, F.lit(True))
-    ).select(F.col("set").alias("a"), F.col("o_set").alias("b")).distinct()
+    ).select(F.col("one.set").alias("a"), F.col("other.set").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -435,3 +435,39 @@ def test_token_counts_are_handed_on_as_they_are_met(spark, table, monkeypatch):
     assert want.max() > 3
     assert (jaccard.count_table(measured) == np.minimum(np.log2(np.maximum(want, 1)) * 8, 255).astype(np.uint8)).all()
     assert not jaccard.count_table(measured.limit(0)).any()
+
+
+def test_bitmaps_drop_far_pairs_and_never_a_link():
+    draw = np.random.default_rng(11)
+    for n in (4, 40, 1_270, 9_000):
+        for share in (0.75, 0.9, 0.3):
+            both = draw.integers(0, 1 << 63, int(n * share)).astype(np.uint64)
+            a, b = (np.unique(np.concatenate([both, draw.integers(0, 1 << 63, extra).astype(np.uint64)])) for extra in ((n - len(both)), (n - len(both)) // 3))
+            most = jaccard._common_at_most.func(*(pd.Series([jaccard.compact(x)[1]]) for x in (a, b)))[0]
+            assert most >= len(np.intersect1d(a, b))
+            # A link takes 75% of the union; sets of 1,270 tokens that had 30% in common could not be told from links by counts of a prefix.
+            if share == 0.3 and n > 40:
+                assert most < 0.75 * (len(a) + len(b)) / 1.75
+
+
+def test_rows_that_stay_are_not_moved(spark, table):
+    """The rows kept come from the table itself: lists too long to broadcast move the rows on them and no others."""
+    rows = [(i, prose(i, 60), "en", "a", 0) for i in range(60)] + [(100 + i, prose(i, 60), "en", "b", 0) for i in range(20)] + [(5, prose(5, 60), "en", "a", 0)]
+    had = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = jaccard.representatives(table(rows))
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(60))
+        assert "BroadcastHashJoin" in kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)
+
+
+def test_worker_caches_are_held_one_at_a_time():
+    from revtrack.llm.common import worker_cache
+
+    cache = worker_cache("tokenizers")
+    cache["path"] = "loaded"
+    assert worker_cache("tokenizers") is cache
+    worker_cache("sets")
+    assert worker_cache("tokenizers") == {}
