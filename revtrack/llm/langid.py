@@ -185,6 +185,7 @@ def identify(model: Model, text: Column) -> Column:
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
     def identified(raw: pd.Series) -> pd.DataFrame:
+        worker_cache("languages")  # empty: gives back what another operator has left in the worker
         lang, score, ambiguous = model.predict(raw.tolist())
         return pd.DataFrame({"lang_pred": lang, "score": score, "ambiguous": ambiguous})
 

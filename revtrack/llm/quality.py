@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, worker_cache
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 SYMBOLS = b"#*$%&|<>"
@@ -88,6 +88,7 @@ def stats(text: Column) -> Column:
 
     @F.pandas_udf(STATS)
     def counted(raws: pd.Series) -> pd.DataFrame:
+        worker_cache("statistics")  # empty: gives back what another operator has left in the worker
         return pd.DataFrame([text_stats(r) for r in raws], columns=[c.split()[0] for c in STATS.split(", ")])
 
     return counted(F.coalesce(text, F.lit("")).cast("binary"))

@@ -471,3 +471,9 @@ def test_worker_caches_are_held_one_at_a_time():
     assert worker_cache("tokenizers") is cache
     worker_cache("sets")
     assert worker_cache("tokenizers") == {}
+
+
+def test_readers_unpack_few_long_texts_at_a_time(spark):
+    from revtrack.llm.common import configure_batches
+
+    assert int(configure_batches(spark).conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 1_000
