@@ -91,7 +91,8 @@ def stats(text: Column) -> Column:
         worker_cache("statistics")  # empty: gives back what another operator has left in the worker
         return pd.DataFrame([text_stats(r) for r in raws], columns=[c.split()[0] for c in STATS.split(", ")])
 
-    return counted(F.coalesce(text, F.lit("")).cast("binary"))
+    # A filter on the statistics would be moved below them with the function in it, and texts counted twice, in twice the workers.
+    return counted.asNondeterministic()(F.coalesce(text, F.lit("")).cast("binary"))
 
 
 def base_failed(s: Column) -> Column:
@@ -201,6 +202,17 @@ def _products(values: list[Column], name: str) -> list[Column]:
     return [F.sum(values[i] * values[j]).alias(f"{name}{i}_{j}") for i in range(len(values)) for j in range(i, len(values))]
 
 
+def _in_one(sums: DataFrame, names: list[str]) -> DataFrame:
+    """The columns `names` as one array `sums`, for a Python worker: every column on its way there takes buffers for some
+    thousands of rows, which Spark gives back late, and a group has a few hundred rows at most."""
+    return sums.select(*(c for c in sums.columns if c not in names), F.array(*names).alias("sums"))
+
+
+def _apart(part: pd.DataFrame, names: list[str]) -> pd.DataFrame:
+    """The reverse of `_in_one`, in a worker."""
+    return part.drop(columns="sums").join(pd.DataFrame(np.stack(part["sums"].to_numpy()), columns=names, index=part.index))
+
+
 def starts(rows: DataFrame) -> DataFrame:
     """The estimates that concentration starts from, one of each of STARTS per group: the medians, and deviations from the quartile ranges."""
     p = len(NAMES)
@@ -211,11 +223,13 @@ def starts(rows: DataFrame) -> DataFrame:
     z = [F.col(f"z{i}") for i in range(p)]
     length = F.greatest(F.sqrt(sum((v * v for v in z[1:]), z[0] * z[0])), F.lit(1e-9))
     kinds = _products(z, "a") + _products([F.tanh(v) for v in z], "b") + _products([v / length for v in z], "c")
-    sums = scaled.groupBy("group").agg(F.first("n").alias("n"), *(F.first(f"q{i}").alias(f"q{i}") for i in range(p)), *kinds)
+    parts = [F.first(f"q{i}")[k].alias(f"q{i}_at{k}") for i in range(p) for k in range(3)]
+    sums = scaled.groupBy("group").agg(F.first("n").alias("n"), *parts, *kinds)
+    names = sums.columns[2:]
 
     def first(part: pd.DataFrame) -> pd.DataFrame:
-        row, made = part.iloc[0], []
-        q = np.array([row[f"q{i}"] for i in range(p)], float)
+        row, made = _apart(part, names).iloc[0], []
+        q = np.array([[row[f"q{i}_at{k}"] for k in range(3)] for i in range(p)], float)
         sd = np.maximum((q[:, 2] - q[:, 0]) / 1.349, list(FLOOR.values()))
         for number, kind in enumerate(" abc"):
             correlation = np.eye(p)
@@ -227,7 +241,7 @@ def starts(rows: DataFrame) -> DataFrame:
             made.append(_model(row["group"], number, int(row["n"]), q[:, 1], correlation * np.outer(sd, sd)))
         return _models(made)
 
-    return sums.groupBy("group").applyInPandas(first, MODEL)
+    return _in_one(sums, names).groupBy("group").applyInPandas(first, MODEL)
 
 
 def concentrate(rows: DataFrame, model: DataFrame) -> DataFrame:
@@ -236,14 +250,16 @@ def concentrate(rows: DataFrame, model: DataFrame) -> DataFrame:
     factor = _consistent(p)
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
-        mean, cov = concentrated(part, p)
+        mean, cov = concentrated(_apart(part, names), p)
         return _models([_model(part["group"].iloc[0], int(part["start"].iloc[0]), int(part["k"].sum()), mean, cov * factor)])
 
     x = [F.col("x")[i] for i in range(p)]
     sums = [F.sum(v).alias(f"s{i}") for i, v in enumerate(x)] + _products(x, "s")
     # Estimates are few: some per language and source.
     far = rows.join(model.drop("n", "log_det"), "group").withColumn("bin", F.floor(F.log2(_distance(F.col("x"), F.col("mean"), F.col("precision")) + 1e-6) * BINS))
-    return far.groupBy("group", "start", "bin").agg(F.count(F.lit(1)).alias("k"), *sums).groupBy("group", "start").applyInPandas(one, MODEL)
+    added = far.groupBy("group", "start", "bin").agg(F.count(F.lit(1)).alias("k"), *sums)
+    names = added.columns[4:]
+    return _in_one(added, names).groupBy("group", "start").applyInPandas(one, MODEL)
 
 
 def fit(measured: DataFrame) -> DataFrame:

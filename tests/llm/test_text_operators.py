@@ -122,6 +122,28 @@ def test_deviations_are_at_least_the_floor():
     assert np.isfinite(np.linalg.inv(quality.floored(same))).all()
 
 
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_counted_once_where_rows_are_kept(table):
+    """With the function in a filter as well, tasks had two Python workers each and counted every text twice."""
+    rows = [(i, prose(i, 60), "en", "s", 0) for i in range(60)] + [(100, "few words", "en", "s", 0), (101, None, None, None, 0)]
+    kept = quality.keep(table(rows))
+    assert len(re.findall(r"ArrowEvalPython \[", _plan(kept))) == 1
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(60))
+
+
+def test_sums_reach_workers_in_one_column(spark):
+    """Dozens of columns took off-heap buffers for thousands of rows in every task of every step."""
+    draw = np.random.default_rng(6)
+    rows = spark.createDataFrame([("g", v.tolist()) for v in draw.normal(size=(80, len(quality.NAMES)))], "group string, x array<double>")
+    first = quality.starts(rows)
+    for made, names in ((first, ["group", "n", "sums"]), (quality.concentrate(rows, first), ["group", "start", "bin", "k", "sums"])):
+        sent = re.search(r"FlatMapGroupsInPandas \[[^\]]*\], \w+\(([^)]*)\)", _plan(made))[1]
+        assert re.findall(r"(\w+)#", sent) == names
+
+
 def test_quality_of_odd_rows(odd, none):
     got = quality.assess(odd, "doc_id").collect()
     assert len(got) == len(odd_rows())
